@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from logloom.llm.bpe import op8_bpe
 from logloom.llm.quality import op1_quality
+from logloom.llm.simhash import op5_simhash
 from logloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {}
