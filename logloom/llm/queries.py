@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logloom.llm.bpe import op8_bpe
+from logloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from logloom.llm.quality import op1_quality
 from logloom.llm.simhash import op5_simhash
 from logloom.llm.toxicity import op6_toxicity
@@ -11,7 +12,10 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_bpe": op8_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+}
