@@ -63,3 +63,19 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+#: Ids that may be broadcast; a larger set is joined by shuffles.
+BROADCAST_IDS = 200_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids(doc_id); a null id matches a null id.
+
+    The ids are counted first: a small set is broadcast, so that texts aren't
+    shuffled, a larger one is joined by shuffles that Spark may split.
+    """
+    gone = written(ids.select(F.col("doc_id").alias("gone_id")).distinct(), label)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

@@ -11,7 +11,7 @@ in several passes over the documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -233,8 +233,9 @@ def _probe_pass(docs: DataFrame, index: LineIndex, min_chars: int, min_docs: int
     return docs.mapInArrow(probe, docs.schema)
 
 
-def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Return doc_id, text (the lines that stay, joined by \\n), n_lines, n_dropped for each row of docs.
+def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: Sequence[str] = ()) -> DataFrame:
+    """Return doc_id, text (the lines that stay, joined by \\n), n_lines, n_dropped and the columns
+    named in carry for each row of docs.
 
     A line goes if its key is in the index, has min_docs documents, and this isn't the
     largest doc_id that holds it. A null or empty text is one empty line. Rows that
@@ -243,7 +244,7 @@ def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int =
     """
     spark = docs.sparkSession
     short_batches(spark)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("gone"))
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("gone"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     width = max(1, PASS_BYTES // (SHARD_LINES * LINE_BYTES))
     for first in range(0, shards, width):
         many = min(width, shards - first)
@@ -262,13 +263,13 @@ def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int =
             out.append(("\n".join(left), len(lines), len(lines) - len(left)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    return state.select("doc_id", stay("text", "gone").alias("made")).select("doc_id", "made.*")
+    return state.select("doc_id", stay("text", "gone").alias("made"), "carried").select("doc_id", "made.*", *[F.col("carried")[c].alias(c) for c in carry])
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: Sequence[str] = ()) -> DataFrame:
     """Build the index over docs(doc_id, text) and drop the shared lines from the same docs."""
     index, shards = build_index(docs, min_chars, min_docs)
-    return drop_lines(docs, index, shards, min_chars, min_docs)
+    return drop_lines(docs, index, shards, min_chars, min_docs, carry)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

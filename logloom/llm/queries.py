@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logloom.llm.bpe import op8_bpe
+from logloom.llm.decontamination import op3_decontamination
 from logloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from logloom.llm.quality import op1_quality
 from logloom.llm.simhash import op5_simhash
@@ -10,6 +11,7 @@ from logloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,

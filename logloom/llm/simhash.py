@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import short_batches, table, written
+from logloom.llm.common import short_batches, table, without_ids, written
 from logloom.llm.components import components
 
 #: Words of a shingle, bits that may differ, seed of the shingle hashes.
@@ -153,12 +153,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that name their component: one of each group of near-duplicates.
 
-    Of rows that share the doc_id, all stay (they are the same document); rows whose doc_id
-    is null stay if no other document is linked to them.
+    Rows that share a doc_id stay or go together; rows without an id stay, since none
+    of them can name a component.
     """
-    found = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id"))
+    return without_ids(docs, gone, "near-duplicates")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
