@@ -6,12 +6,14 @@ from logloom.llm.bpe import op8_bpe
 from logloom.llm.decontamination import op3_decontamination
 from logloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from logloom.llm.quality import op1_quality
+from logloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from logloom.llm.simhash import op5_simhash
 from logloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
 }
