@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from logloom.llm.bpe import op8_bpe
+from logloom.llm.chat import OP9_SQL, op9_chat
 from logloom.llm.decontamination import op3_decontamination
 from logloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from logloom.llm.quality import op1_quality
 from logloom.llm.quality_rules import OP4_SQL, op4_quality_rules
+from logloom.llm.secrets import OP10_SQL, op10_secrets
 from logloom.llm.simhash import op5_simhash
 from logloom.llm.toxicity import op6_toxicity
 
@@ -18,9 +20,13 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_bpe": op8_bpe,
+    "op9_chat": op9_chat,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op9_chat": OP9_SQL,
+    "op10_secrets": OP10_SQL,
 }
