@@ -5,6 +5,7 @@ from __future__ import annotations
 from logloom.llm.bpe import op8_bpe
 from logloom.llm.chat import OP9_SQL, op9_chat
 from logloom.llm.decontamination import op3_decontamination
+from logloom.llm.html_text import op2_html_text
 from logloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from logloom.llm.quality import op1_quality
 from logloom.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -14,6 +15,7 @@ from logloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_html_text": op2_html_text,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
