@@ -360,37 +360,37 @@ def table_lines(element: Element, hidden: bool) -> list[str]:
             stray = Renderer()
             stray.element(child, hidden, False)
             out.extend(stray.finished())
-    grid: list[list[tuple[int, list[str]]]] = []
+    grid: list[list[tuple[int, int, list[str]]]] = []
     for row, unseen in rows_of(element, hidden):
         cells, column = [], 0
         for cell in row.children:
             if isinstance(cell, str):
                 if not unseen and cell.strip():
-                    cells.append((column, [BLANKS.sub(" ", cell).strip()]))
+                    cells.append((column, 1, [BLANKS.sub(" ", cell).strip()]))
                     column += 1
                 continue
             gone, own = state_of(cell, unseen)
             if gone:
                 continue
-            cells.append((column, rendered(cell, own)))
+            cells.append((column, span_of(cell), rendered(cell, own)))
             column += span_of(cell)
         grid.append(cells)
     if all(len(cells) <= 1 for cells in grid):
-        return out + [line for cells in grid for _, lines in cells for line in lines]
+        return out + [line for cells in grid for _, _, lines in cells for line in lines]
     widths: dict[int, int] = {}
     for cells in grid:
-        for (column, lines), after in zip(cells, [*(c for c, _ in cells[1:]), -1], strict=True):
-            if after in (column + 1, -1):  # cells over several columns don't widen one
+        for column, span, lines in cells:
+            if span == 1:  # cells over several columns don't widen one
                 widths[column] = max(widths.get(column, 0), *(width(line) for line in lines), 0)
-    last = max((c for cells in grid for c, _ in cells), default=0)
+    last = max((c for cells in grid for c, _, _ in cells), default=0)
     lefts, left = [], 0
     for column in range(last + 1):
         lefts.append(left)
         left += widths.get(column, 0) + 2 if widths.get(column, 0) else 0
     for cells in grid:
-        for k in range(max((len(lines) for _, lines in cells), default=0)):
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line, used = "", 0
-            for column, lines in cells:
+            for column, _, lines in cells:
                 if k < len(lines) and lines[k]:
                     pad = max(lefts[column] - used, 1 if line else 0)
                     line += " " * pad + lines[k]

@@ -81,7 +81,7 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _at_level(high: np.ndarray, low: np.ndarray, level: int) -> np.ndarray:
-    mixed = high * np.uint64(0x9E3779B97F4A7C15) + low + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = high * np.uint64(0x9E3779B97F4A7C15) + low + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     return mixed ^ (mixed >> np.uint64(29))
 

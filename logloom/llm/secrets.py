@@ -152,10 +152,12 @@ def secret_scan(history: DataFrame, folder: str | None = None, rules: tuple[Rule
     kinds = [r.kind for r in rules]
     spans = F.sort_array(F.filter("spans", lambda s: s["kind"].isin(kinds)))
     found = read_ledger(spark, folder).where(F.size("spans") > 0).select(F.col("blob_id").alias("found_id"), spans.alias("found"))
-    rows = history.drop("blob_id", "spans").withColumn("blob_id", blob_of(F.col("text")))
-    return rows.join(found, rows["blob_id"] == found["found_id"], "left").withColumn(
-        "spans", F.coalesce("found", F.array().cast(SPANS))
-    ).drop("found_id", "found")
+    # The rows travel as one struct, so that none of their columns can clash with the ledger's.
+    whole = history.drop("blob_id", "spans")
+    rows = whole.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob_id"))
+    return rows.join(found, rows["blob_id"] == found["found_id"], "left").select(
+        "row.*", "blob_id", F.coalesce("found", F.array().cast(SPANS)).alias("spans")
+    )
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
