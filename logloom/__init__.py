@@ -1,0 +1 @@
+"""A message-log analytics engine on Spark DataFrames."""
