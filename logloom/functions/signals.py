@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEVELS = 15
 
@@ -93,7 +94,7 @@ def text_mask(pixels: bytes, width: int, height: int) -> np.ndarray:
     return (rgb.min(axis=2) >= 168) & (rgb.max(axis=2) - rgb.min(axis=2) <= 48)
 
 
-@F.pandas_udf("foreground_ratio double, cells array<int>")
+@F.pandas_udf(T.StructType([T.StructField("foreground_ratio", T.DoubleType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
 def picture_fingerprint(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     """Foreground ratio of a picture and its 16 x 8 cells in 16 levels."""
     out = []
@@ -109,7 +110,7 @@ def picture_fingerprint(pixels: pd.Series, width: pd.Series, height: pd.Series)
     return pd.DataFrame(out, columns=["foreground_ratio", "cells"])
 
 
-@F.pandas_udf("array<struct<top:int,bottom:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("top", T.IntegerType()), T.StructField("bottom", T.IntegerType())])))
 def line_bands(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """Runs of picture rows that hold text, gaps of up to two rows closed, runs of under three dropped."""
     out = []

@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What normalised text and match text leave out or fold.
 SQUEEZE = (
@@ -41,12 +42,12 @@ def match_form(raw: str) -> str:
     return PUNCTUATION.sub("", normalized(raw)).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(raw: pd.Series) -> pd.Series:
     return raw.map(normalized, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def match_text(raw: pd.Series) -> pd.Series:
     return raw.map(match_form, na_action="ignore")
 
@@ -93,7 +94,7 @@ def weighted_similarity(a: str, b: str) -> float:
     return max(0.0, 1.0 - row[-1] / max(len(a), len(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ocr_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else weighted_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -140,7 +141,7 @@ def csv_row(*values: Column) -> Column:
 def rule_hash(*parts: Column) -> Column:
     """FNV-1a (32 bits) over the UTF-16 units of the parts joined by U+001F, in base 36."""
     units = F.encode(F.concat_ws("\x1f", *parts), "UTF-16BE")
-    codes = F.transform(F.sequence(F.lit(1), F.length(units) / 2), lambda k: F.conv(F.hex(F.substring(units, (2 * k - 1).cast("int"), F.lit(2))), 16, 10).cast("long"))
+    codes = F.transform(F.sequence(F.lit(1), F.floor(F.length(units) / 2).cast("int")), lambda k: F.conv(F.hex(F.substring(units, (2 * k - 1).cast("int"), F.lit(2))), 16, 10).cast("long"))
     joined = F.aggregate(
         codes,
         F.lit(0x811C9DC5).cast("long"),

@@ -1,6 +1,6 @@
 """Message templates as data: rules are rows, matching is a join, slots are regex groups.
 
-A pattern such as "{pokemon}の{move}" becomes a regular expression with one group for each
+A pattern such as "{name}の{move}" becomes a regular expression with one group for each
 placeholder and, as join key, its longest literal. Messages meet only the rules whose
 literal they contain; slots are then resolved against dictionaries by equi-joins
 on the captured text, exact first, similar second.
@@ -20,33 +20,37 @@ SLOT = 18
 
 def compiled(rules: DataFrame) -> DataFrame:
     """One row for each pattern of rules(id, event_type, priority, patterns, constants): pattern as
-    regex, names of its slots in order, its literals, the longest of them, its first two characters."""
-    rows = rules.select("id", "event_type", "priority", "constants", F.explode("patterns").alias("pattern"))
+    regex, names of its slots in order, its literals, the longest of them, its first two
+    characters (one if it has no more)."""
+    # Constants travel as JSON text, which can be compared and grouped.
+    rows = rules.select("id", "event_type", "priority", F.to_json("constants").alias("constants"), F.explode("patterns").alias("pattern"))
     literals = F.filter(F.split("pattern", MARK), lambda x: F.length(x) > 0)
     quoted = F.regexp_replace("pattern", r"([\\.\[\]()*+?^$|])", r"\\$1")
     rows = rows.withColumn("literals", F.split("pattern", MARK)).withColumn("slots", F.regexp_extract_all("pattern", F.lit(MARK), F.lit(1)))
     rows = rows.withColumn("regex", F.regexp_replace(quoted, r"\{[a-z]+(?:\\\[[0-9]+\\\])?\}", f"(.{{1,{SLOT}}}?)"))
     longest = F.array_max(F.transform(literals, lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))))["t"]
-    return rows.withColumn("anchor", longest).where(F.length("anchor") >= 2).withColumn("head", F.substring("anchor", 1, 2))
+    return rows.withColumn("anchor", longest).where(F.length("anchor") >= 1).withColumn("head", F.substring("anchor", 1, 2))
 
 
 def template_hits(surfaces: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, rule_id, event_type, priority, constants, slots, values): each rule pattern that a
-    text of surfaces(id, text) matches, with what its slots caught.
+    """(id, rule_id, event_type, priority, constants, hit, slots, values): each rule pattern that a
+    text of surfaces(id, text) matches, with what its slots caught; hit tells the matches apart.
 
-    The join key is the first two characters of the pattern's longest literal, looked
-    up at every position of the text, so a text isn't held against every rule.
+    The join key is the head of the pattern's longest literal, looked up at every
+    position of the text, so a text isn't held against every rule.
     """
-    places = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))))
-    heads = surfaces.select("id", "text", places.alias("at")).select("id", "text", F.substring("text", F.col("at"), F.lit(2)).alias("head"))
-    near = heads.distinct().join(sized(patterns.withColumnRenamed("id", "rule_id").withColumnRenamed("head", "p_head")), F.col("head") == F.col("p_head"))
+    places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+    cut = F.flatten(F.transform(places, lambda at: F.array(F.substring(F.col("text"), at, F.lit(2)), F.substring(F.col("text"), at, F.lit(1)))))
+    heads = surfaces.select("id", "text", F.explode(F.array_distinct(cut)).alias("head"))
+    near = heads.join(sized(patterns.withColumnRenamed("id", "rule_id").withColumnRenamed("head", "p_head")), F.col("head") == F.col("p_head"))
     whole = F.concat(F.lit("^.{0,3}?"), F.col("regex"), F.lit("[!。]?$"))
-    hits = near.where(F.contains("text", F.col("anchor")) & F.col("text").rlike(whole))
-    caught = F.transform(F.sequence(F.lit(1), F.greatest(F.size("slots"), F.lit(1))), lambda k: F.regexp_extract(F.col("text"), whole, k))
-    return hits.select(
-        "id", "text", "rule_id", "event_type", "priority", "constants", "slots",
+    hits = near.where(F.contains("text", F.col("anchor")) & F.regexp_like(F.col("text"), whole))
+    caught = F.transform(F.sequence(F.lit(1), F.greatest(F.size("slots"), F.lit(1))), lambda k: F.call_function("regexp_extract", F.col("text"), whole, k))
+    found = hits.select(
+        "id", "rule_id", "event_type", "priority", "constants", "regex", "slots",
         F.when(F.size("slots") > 0, caught).otherwise(F.array().cast("array<string>")).alias("values"),
-    ).distinct()
+    )
+    return found.withColumn("hit", F.concat_ws("\x1f", "regex", "values")).drop("regex").distinct()
 
 
 def resolved_hits(hits: DataFrame, keys: DataFrame) -> DataFrame:
@@ -55,8 +59,8 @@ def resolved_hits(hits: DataFrame, keys: DataFrame) -> DataFrame:
     keys(kind, entry_id, label, key) hold the dictionaries of all slot kinds. Distinct
     captured texts are matched once, whatever number of messages they come from.
     """
-    slots = hits.select("id", "rule_id", "event_type", "priority", "constants", F.posexplode(F.arrays_zip(F.col("slots").alias("kind"), F.col("values").alias("value"))).alias("pos", "slot"))
-    slots = slots.select("id", "rule_id", "event_type", "priority", "constants", "pos", "slot.kind", "slot.value")
+    slots = hits.select("id", "rule_id", "event_type", "priority", "constants", "hit", F.posexplode(F.arrays_zip(F.col("slots").alias("kind"), F.col("values").alias("value"))).alias("pos", "slot"))
+    slots = slots.select("id", "rule_id", "event_type", "priority", "constants", "hit", "pos", "slot.kind", "slot.value")
     kinds = [r["kind"] for r in keys.select("kind").distinct().collect()]
     found = None
     for kind in sorted(kinds):
@@ -68,7 +72,7 @@ def resolved_hits(hits: DataFrame, keys: DataFrame) -> DataFrame:
     joined = slots.join(found, (slots["kind"] == found["slot_kind"]) & (slots["value"] == found["text"]), "left")
     free = ~F.col("kind").isin(kinds)
     return joined.select(
-        "id", "rule_id", "event_type", "priority", "constants", "pos", "kind", "value",
+        "id", "rule_id", "event_type", "priority", "constants", "hit", "pos", "kind", "value",
         F.when(free, F.col("value")).otherwise(F.col("label")).alias("label"),
         F.when(free, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
         F.when(free, "accepted").otherwise(F.coalesce("status", F.lit("not_found"))).alias("status"),
@@ -83,17 +87,17 @@ def decoded(surfaces: DataFrame, rules: DataFrame, keys: DataFrame) -> DataFrame
     """
     patterns = compiled(rules)
     hits = template_hits(surfaces, patterns)
-    slotless = hits.where(F.size("slots") == 0).select("id", "rule_id", "event_type", "priority", "constants", F.lit(1.0).alias("confidence"), F.create_map().cast("map<string,string>").alias("found"))
+    slotless = hits.where(F.size("slots") == 0).select("id", "rule_id", "event_type", "priority", "hit", "constants", F.lit(1.0).alias("confidence"), F.create_map().cast("map<string,string>").alias("found"))
     by_slot = resolved_hits(hits.where(F.size("slots") > 0), keys)
-    whole = by_slot.groupBy("id", "rule_id", "event_type", "priority").agg(
+    whole = by_slot.groupBy("id", "rule_id", "event_type", "priority", "hit").agg(
         F.first("constants").alias("constants"),
         F.avg("score").alias("confidence"),
         F.bool_and(F.col("status") == "accepted").alias("sure"),
         F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.concat_ws("_", "kind", F.col("pos").cast("string")), "label")))).alias("found"),
     )
     every = whole.where("sure").drop("sure").unionByName(slotless)
-    by = Window.partitionBy("id").orderBy(F.desc("priority"), F.desc("confidence"), "rule_id")
-    return every.withColumn("place", F.row_number().over(by)).where(F.col("place") == 1).drop("place")
+    by = Window.partitionBy("id").orderBy(F.desc("priority"), F.desc("confidence"), "rule_id", "hit")
+    return every.withColumn("place", F.row_number().over(by)).where(F.col("place") == 1).drop("place", "hit")
 
 
 def surfaces_of(messages: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logloom.functions.text import csv_row
 
@@ -22,11 +21,20 @@ OBSERVATION = (
     "dynamicForegroundRatio:double,suppressionReason:string,eventIds:array<string>>"
 )
 CORRECTION = "struct<id:string,targetId:string,note:string>"
-DOCUMENT = T._parse_datatype_string(
-    "struct<schemaVersion:string,updatedAt:string,battle:struct<id:string,title:string>,"
-    f"ocrMessages:array<{MESSAGE}>,events:array<{EVENT}>,unknowns:array<{UNKNOWN}>,messageObservations:array<{OBSERVATION}>,"
-    f"manualCorrections:array<{CORRECTION}>,phaseTransitions:array<struct<timestampMs:bigint,phase:string>>,_corrupt:string>"
+DOCUMENT = (
+    "schemaVersion string, updatedAt string, battle struct<id:string,title:string>, "
+    f"ocrMessages array<{MESSAGE}>, events array<{EVENT}>, unknowns array<{UNKNOWN}>, messageObservations array<{OBSERVATION}>, "
+    f"manualCorrections array<{CORRECTION}>, phaseTransitions array<struct<timestampMs:bigint,phase:string>>, _corrupt string"
 )
+#: The type of each section.
+SECTIONS = {
+    "ocrMessages": f"array<{MESSAGE}>",
+    "events": f"array<{EVENT}>",
+    "unknowns": f"array<{UNKNOWN}>",
+    "messageObservations": f"array<{OBSERVATION}>",
+    "manualCorrections": f"array<{CORRECTION}>",
+    "phaseTransitions": "array<struct<timestampMs:bigint,phase:string>>",
+}
 #: Sections that must be there, and those that older documents may lack.
 REQUIRED = ("ocrMessages", "events", "unknowns")
 OPTIONAL = ("messageObservations", "manualCorrections", "phaseTransitions")
@@ -62,7 +70,7 @@ def filled(parsed: DataFrame) -> DataFrame:
     )
     warnings = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c} was missing and has been filled")) for c in OPTIONAL]))
     out = parsed.withColumns({"error": error, "warnings": F.when(error.isNull(), warnings).otherwise(F.array().cast("array<string>"))})
-    out = out.withColumns({c: F.coalesce(F.col(c), F.array().cast(DOCUMENT[c].dataType)) for c in (*REQUIRED, *OPTIONAL)})
+    out = out.withColumns({c: F.coalesce(F.col(c), F.array().cast(SECTIONS[c])) for c in (*REQUIRED, *OPTIONAL)})
     out = out.withColumn("messageObservations", F.transform("messageObservations", filled_observation))
     shown = F.filter("messageObservations", lambda o: ~o["suppressed"])
     summary = F.struct(
@@ -185,7 +193,8 @@ def read_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
     A name list is one small file, read whole into a row and split inside Spark.
     """
     text = spark.read.option("wholetext", True).text(path)
-    lines = F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n"), F.trim), lambda x: x != ""))
+    names = F.split(F.regexp_replace("value", "^\\uFEFF", ""), r"\r?\n")
+    lines = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""))
     rows = text.select(F.posexplode(lines).alias("pos", "label"))
     return rows.select(F.format_string(f"{kind}:%04d", F.col("pos") + 1).alias("id"), "label", F.array().cast("array<string>").alias("aliases"))
 

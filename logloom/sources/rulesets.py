@@ -79,7 +79,7 @@ def created_rules(texts: DataFrame, slots: list[str], least_literal: int = 3, li
     pattern = F.col("text")
     for k, name in enumerate(slots):
         pattern = F.replace(pattern, F.lit(f"{{{k}}}"), F.lit(f"{{{name}}}"))
-    rows = texts.withColumns({"pattern": pattern, "event_type": inferred_type(F.col("text"), TYPES)})
+    rows = texts.withColumns({"pattern": pattern, "event_type": inferred_type(F.regexp_replace("text", r"(?U)\s+", ""), TYPES)})
     rows = rows.where(literal_length(F.col("pattern")) >= least_literal).select(
         rule_hash(F.col("event_type"), F.col("pattern")).alias("id"),
         "event_type",
