@@ -325,7 +325,7 @@ def test_quality_rules_base_counts(spark):
 def test_quality_rules_drop_lines_then_documents(spark, awkward):
     good = "A sentence of quite plain words that ends as it should, with a full stop."
     menu = "Home | News | About | Contact | Terms"
-    docs = [(1, f"{good}\n{good[:-1]}!\n{good} Again, and well.\n{menu}"), (2, f"{menu}\n{menu}x\nAll rights reserved to nobody at all and then on.\nA b c d e.")]
+    docs = [(1, f"{good}\nAnother line, with other words in it, goes on for a while and then closes well!\n{menu}"), (2, f"{menu}\n{menu}x\nAll rights reserved to nobody at all and then on.\nA b c d e.")]
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(docs, DOCS)).collect()}
     assert got[1]["kept"] and menu not in got[1]["text"] and got[1]["n_failed_lines"] == 1
     assert not got[2]["kept"]
