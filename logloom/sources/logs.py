@@ -192,7 +192,7 @@ def read_names(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
     A name list is one small file, read whole into a row and split inside Spark.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     names = F.split(F.regexp_replace("value", "^\\uFEFF", ""), r"\r?\n")
     lines = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""))
     rows = text.select(F.posexplode(lines).alias("pos", "label"))
