@@ -376,7 +376,8 @@ def gate_decisions(spark, d):
     docs = table(spark, d, "documents").where("lang = 'en'")
     match = F.lower(F.regexp_replace(F.regexp_replace("text", r"[!?.,:;()|*$%&#_]", ""), r"\s+", ""))
     normal = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return docs.select("doc_id", gate.gate_reason(match, normal, (F.col("doc_id") % 100) / 100.0, F.lit(None).cast("array<string>")).alias("reason"))
+    made = docs.select("doc_id", match.alias("match"), normal.alias("normal"))
+    return made.select("doc_id", gate.gate_reason(F.col("match"), F.col("normal"), (F.col("doc_id") % 100) / 100.0, F.lit(None).cast("array<string>")).alias("reason"))
 
 
 @query()

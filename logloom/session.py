@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +19,19 @@ def session(app: str = "logloom", **settings: str) -> SparkSession:
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | {k.replace("__", "."): v for k, v in settings.items()}
     return SparkSession.builder.appName(app).config(map=conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """See that Python workers can import this package.
+
+    They can if its parent folder is on PYTHONPATH or is the working folder; otherwise a zip
+    of the package is added to the session, once.
+    """
+    root = Path(__file__).resolve().parent.parent
+    paths = [Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), "."] if p]
+    context = spark.sparkContext
+    if root in paths or getattr(context, "_logloom_shipped", False):
+        return
+    made = shutil.make_archive(f"{tempfile.mkdtemp()}/logloom", "zip", root, "logloom")
+    context.addPyFile(made)
+    context._logloom_shipped = True
