@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logloom.views import let
+
 # What signals an action in a message, and the scripts of its letters.
 SIGNALS = (
     "効果 繰り出 ゆけ いけ 戻れ 引っこめ ひっこめ 倒れ たおれ ひんし 守り 身を守 体勢 上がっ 下がっ 治った なおった 回復 負った 外れ 失敗 "
@@ -45,33 +47,41 @@ def symbol_ratio(match: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise((n - F.length(F.regexp_replace(match, f"[^{SCRIPTS}A-Za-z0-9]", ""))) / n)
 
 
-def fragmented(normal: Column, match: Column, signal: Column) -> Column:
-    tokens = F.filter(F.split(normal, r"(?U)\s+"), lambda t: t != "")
-    single = F.filter(tokens, lambda t: F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")) <= 1)
-    digits = F.length(F.regexp_replace(match, r"\P{N}", ""))
-    return ~signal & (F.size(tokens) >= 5) & (F.size(single) / F.size(tokens) >= 0.5) & (digits >= 2)
+def fragmented(normal: Column, match: Column) -> Column:
+    """Mostly single characters, with digits among them."""
+    digits = F.regexp_count(match, F.lit(r"\p{N}"))
+
+    def mostly_single(tokens: Column) -> Column:
+        single = F.filter(tokens, lambda t: ~t.rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}]"))
+        return (F.size(tokens) >= 5) & (F.size(single) / F.size(tokens) >= 0.5)
+
+    return (digits >= 2) & let(F.array_remove(F.split(normal, r"(?U)\s+"), ""), mostly_single)
 
 
 def gate_reason(match: Column, normal: Column, confidence: Column, candidates: Column) -> Column:
     """Why a message becomes an unknown item ("accepted") or doesn't; the first rule that holds decides."""
     match = F.trim(F.coalesce(match, F.lit("")))
     candidates = F.coalesce(candidates, F.array().cast("array<string>"))
-    sure, n, signal = F.coalesce(confidence, F.lit(0.0)), F.length(match), action_signal(match, candidates)
+    sure, n = F.coalesce(confidence, F.lit(0.0)), F.length(match)
     partial = any_prefix(candidates, ("partial-template;",)) & match.endswith("の")
-    return (
-        F.when(n == 0, "too_short")
-        .when(prefix_only(match) | partial, "prefix_only")
-        .when(normal.rlike(r"(?:^|\D)\d{1,2}\s*[:：]\s*\d{2}(?:\D|$)"), "timer")
-        .when(any_of(match, UI_HINTS), "ui_fragment")
-        .when((symbol_ratio(match) >= 0.3) & ~signal, "symbol_noise")
-        .when(fragmented(normal, match, signal), "other_noise")
-        .when((sure < 0.5) & ~signal, "low_confidence_no_action_signal")
-        .when((n >= 6) & (sure >= 0.7), "accepted")
-        .when((F.size(candidates) > 0) & (n >= 3) & signal, "accepted")
-        .when(normal.rlike(f"[{SCRIPTS}]") & (n >= 8), "accepted")
-        .when(n < 3, "too_short")
-        .otherwise("other_noise")
-    )
+
+    def judged(signal: Column) -> Column:
+        return (
+            F.when(n == 0, "too_short")
+            .when(prefix_only(match) | partial, "prefix_only")
+            .when(normal.rlike(r"(?:^|\D)\d{1,2}\s*[:：]\s*\d{2}(?:\D|$)"), "timer")
+            .when(any_of(match, UI_HINTS), "ui_fragment")
+            .when(~signal & (symbol_ratio(match) >= 0.3), "symbol_noise")
+            .when(~signal & fragmented(normal, match), "other_noise")
+            .when(~signal & (sure < 0.5), "low_confidence_no_action_signal")
+            .when((n >= 6) & (sure >= 0.7), "accepted")
+            .when((F.size(candidates) > 0) & (n >= 3) & signal, "accepted")
+            .when(normal.rlike(f"[{SCRIPTS}]") & (n >= 8), "accepted")
+            .when(n < 3, "too_short")
+            .otherwise("other_noise")
+        )
+
+    return let(action_signal(match, candidates), judged)
 
 
 def admission(phase: Column, now: Column, opened: Column, closed: Column, strict: Column, wait_ms: int = 500, grace_ms: int = 1500, longest_ms: int = 6000) -> Column:

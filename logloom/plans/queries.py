@@ -366,14 +366,14 @@ GATE_CONFIDENCE = "(doc_id % 100) / 100.0::DOUBLE"
 GATE_MATCH = r"lower(regexp_replace(regexp_replace(text, '[!?.,:;()|*$%&#_]', '', 'g'), '\s+', '', 'g'))"
 
 
-@query(rf"""WITH m AS (SELECT doc_id, {GATE_MATCH} AS match, trim(regexp_replace(text, '\s+', ' ', 'g')) AS normal, {GATE_CONFIDENCE} AS sure FROM documents WHERE lang = 'en')
+@query(rf"""WITH m AS (SELECT doc_id, {GATE_MATCH} AS match, trim(regexp_replace(text, '\s+', ' ', 'g')) AS normal, {GATE_CONFIDENCE} AS sure FROM documents)
  SELECT doc_id, CASE WHEN length(match) = 0 THEN 'too_short' WHEN regexp_matches(normal, '(^|\D)\d{{1,2}}\s*[:：]\s*\d{{2}}(\D|$)') THEN 'timer'
   WHEN length(regexp_replace(match, '[A-Za-z0-9]', '', 'g')) / length(match) >= 0.3 THEN 'symbol_noise'
   WHEN length(regexp_replace(match, '[^0-9]', '', 'g')) >= 2 AND len(list_filter(string_split(normal, ' '), lambda t: t <> '')) >= 5
    AND len(list_filter(list_filter(string_split(normal, ' '), lambda t: t <> ''), lambda t: length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) <= 1)) / len(list_filter(string_split(normal, ' '), lambda t: t <> '')) >= 0.5 THEN 'other_noise'
   WHEN sure < 0.5 THEN 'low_confidence_no_action_signal' WHEN length(match) >= 6 AND sure >= 0.7 THEN 'accepted' WHEN length(match) < 3 THEN 'too_short' ELSE 'other_noise' END AS reason FROM m""")
 def gate_decisions(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     match = F.lower(F.regexp_replace(F.regexp_replace("text", r"[!?.,:;()|*$%&#_]", ""), r"\s+", ""))
     normal = F.trim(F.regexp_replace("text", r"\s+", " "))
     made = docs.select("doc_id", match.alias("match"), normal.alias("normal"))
@@ -444,14 +444,14 @@ def dictionary_spans(spark, d):
     return entities.dictionary_spans(lines, keys)
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents WHERE n_chars < 2000),
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
  v AS (SELECT doc_id, array_to_string(ls, '') AS text, 0 AS priority FROM l
-  UNION ALL SELECT doc_id, ls[k + 1] || ls[k + 2], 12 + k FROM l, range(0, 2000) r(k) WHERE k <= len(ls) - 2
-  UNION ALL SELECT doc_id, ls[k + 1] || ls[k + 2] || ls[k + 3], 13 + k FROM l, range(0, 2000) r(k) WHERE k <= len(ls) - 3
-  UNION ALL SELECT doc_id, ls[k + 1], 20 + k FROM l, range(0, 2000) r(k) WHERE k <= len(ls) - 1)
+  UNION ALL SELECT doc_id, ls[k + 1] || ls[k + 2], 12 + k FROM (SELECT doc_id, ls, unnest(range(len(ls) - 1)) AS k FROM l)
+  UNION ALL SELECT doc_id, ls[k + 1] || ls[k + 2] || ls[k + 3], 13 + k FROM (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS k FROM l)
+  UNION ALL SELECT doc_id, ls[k + 1], 20 + k FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM l))
  SELECT doc_id, md5(text) AS view_md5, min(priority)::INT AS priority FROM v GROUP BY doc_id, text""")
 def line_windows(spark, d):
-    docs = table(spark, d, "documents").where("n_chars < 2000").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return templates.surfaces_of(docs).select(F.col("id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("view_md5"), "priority")
 
 
