@@ -71,6 +71,14 @@ def same_message(fingerprint: Column, overlap: Column, bounds: Column, line_delt
     return F.struct(progressive.alias("progressive"), ((fingerprint <= same) | progressive | faded | held).alias("same"))
 
 
+def occupancy_grid(mask: np.ndarray, columns: int = 32, rows: int = 12, least: float = 0.02) -> np.ndarray:
+    """Which cells of a mask hold text: at least one pixel and the least share of the cell."""
+    y, x = np.linspace(0, mask.shape[0], rows + 1).astype(int), np.linspace(0, mask.shape[1], columns + 1).astype(int)
+    sums = np.pad(mask.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    held = sums[np.ix_(y[1:], x[1:])] - sums[np.ix_(y[:-1], x[1:])] - sums[np.ix_(y[1:], x[:-1])] + sums[np.ix_(y[:-1], x[:-1])]
+    return (held > 0) & (held >= least * np.maximum(np.outer(np.diff(y), np.diff(x)), 1))
+
+
 def commit_score(presence: Column, lines: Column, components: Column, dynamic: Column, persistent: Column) -> Column:
     return (
         0.45 * clamp01(presence) + 0.15 * clamp01(lines / 2.0) + 0.15 * clamp01(components / 6.0)
@@ -88,10 +96,24 @@ def letterbox(roi: Column, source_width: Column, source_height: Column, shown_wi
     )
 
 
-def text_mask(pixels: bytes, width: int, height: int) -> np.ndarray:
-    """Which pixels of an RGBA picture are light and nearly grey, as on-screen text is."""
-    rgb = np.frombuffer(pixels, np.uint8).reshape(height, width, 4)[:, :, :3].astype(np.int16)
-    return (rgb.min(axis=2) >= 168) & (rgb.max(axis=2) - rgb.min(axis=2) <= 48)
+# How light, grey or yellow a pixel of on-screen text is.
+LIGHT, GREY = 168, 72
+YELLOW = {"floor": 145, "blue": 150, "red_blue": 55, "green_blue": 45, "red_green": 82, "luminance": 140, "chroma": 48}
+
+
+def text_mask(pixels: bytes, width: int, height: int, colour: str = "white") -> np.ndarray:
+    """Which pixels of an RGBA picture look like on-screen text, white or yellow."""
+    rgba = np.frombuffer(pixels, np.uint8).reshape(height, width, 4).astype(np.int16)
+    rgb, seen = rgba[:, :, :3], rgba[:, :, 3] > 0
+    chroma = rgb.max(axis=2) - rgb.min(axis=2)
+    if colour == "white":
+        return seen & (rgb.min(axis=2) >= LIGHT) & (chroma <= GREY)
+    red, green, blue = (rgb[:, :, k] for k in range(3))
+    luminance = red * 0.2126 + green * 0.7152 + blue * 0.0722
+    return (
+        seen & (np.minimum(red, green) >= YELLOW["floor"]) & (blue <= YELLOW["blue"]) & (red - blue >= YELLOW["red_blue"]) & (green - blue >= YELLOW["green_blue"])
+        & (abs(red - green) <= YELLOW["red_green"]) & (luminance >= YELLOW["luminance"]) & (chroma >= YELLOW["chroma"])
+    )
 
 
 @F.pandas_udf(T.StructType([T.StructField("foreground_ratio", T.DoubleType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
@@ -105,11 +127,17 @@ def picture_fingerprint(pixels: pd.Series, width: pd.Series, height: pd.Series)
         sums = np.pad(mask.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
         cell = sums[np.ix_(rows[1:], columns[1:])] - sums[np.ix_(rows[:-1], columns[1:])] - sums[np.ix_(rows[1:], columns[:-1])] + sums[np.ix_(rows[:-1], columns[:-1])]
         area = np.outer(np.diff(rows), np.diff(columns))
-        levels = np.floor(cell / np.maximum(area, 1) * LEVELS + 0.5).astype(int)
+        levels = np.floor(np.minimum(1, 4 * cell / np.maximum(area, 1)) * LEVELS + 0.5).astype(int)
         out.append((float(mask.mean()) if mask.size else 0.0, levels.ravel().tolist()))
     return pd.DataFrame(out, columns=["foreground_ratio", "cells"])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def picture_occupancy(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """The 32 x 12 occupancy grid of a picture, row by row."""
+    return pd.Series([occupancy_grid(text_mask(p, int(w), int(h))).astype(int).ravel().tolist() for p, w, h in zip(pixels, width, height, strict=True)])
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("top", T.IntegerType()), T.StructField("bottom", T.IntegerType())])))
 def line_bands(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """Runs of picture rows that hold text, gaps of up to two rows closed, runs of under three dropped."""

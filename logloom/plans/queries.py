@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import signals, text
-from logloom.operators import aggregates, entities, gate, joins, sessions, templates, timeline
+from logloom.operators import aggregates, context, entities, gate, joins, lifecycle, sessions, templates, timeline
 from logloom.plans import fixtures
 from logloom.sources import logs, rulesets
 from logloom.views import event_log, fixed, messages, table
@@ -604,3 +604,68 @@ def admission_decisions(spark, d):
     rows = spark.range(30).select(phases.alias("phase"), F.col("id").alias("k"))
     decided = gate.admission(F.col("phase"), F.col("k") * 100, F.lit(0), F.lit(300), F.col("k") % 2 == 0)
     return rows.select(F.concat_ws("-", "phase", F.col("k").cast("string")).alias("id"), decided["action"].alias("action"))
+
+
+CHANGES = """WITH c AS (SELECT user_id * 100 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS observation_id, event_id AS seq, epoch_us(ts) // 1000 AS ts,
+  CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'closed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'message' ELSE 'attempt' END ELSE CASE WHEN event_id % 3 = 0 THEN 'event' WHEN event_id % 3 = 1 THEN 'unknown' ELSE 'suppressed' END END AS kind,
+  CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'ocr_busy' WHEN 1 THEN 'ocr_empty' ELSE 'ocr_timeout' END WHEN event_type = 'purchase' AND event_id % 3 = 2 THEN CASE WHEN event_id % 2 = 0 THEN 'phase_gate' ELSE 'transient' END ELSE event_id::VARCHAR END AS value FROM events),
+ f AS (SELECT observation_id, min(ts) FILTER (WHERE kind = 'opened') AS opened_ms, max(ts) FILTER (WHERE kind = 'closed') AS closed_ms, count(*) FILTER (WHERE kind = 'attempt') AS attempts, count(*) FILTER (WHERE kind = 'message') AS messages,
+  count(*) FILTER (WHERE kind = 'event') AS events, count(*) FILTER (WHERE kind = 'unknown') AS unknowns, arg_max(value, (CASE value WHEN 'ocr_busy' THEN 1 WHEN 'ocr_empty' THEN 4 ELSE 6 END, seq)) FILTER (WHERE kind = 'failed') AS failure,
+  arg_max(value, seq) FILTER (WHERE kind = 'suppressed') AS suppression FROM c GROUP BY observation_id),
+ u AS (SELECT *, closed_ms IS NOT NULL AND observation_id % 7 <> 0 AND events = 0 AND unknowns = 0 AS unread FROM f)"""
+
+
+@query(f"""{CHANGES} SELECT observation_id, opened_ms, closed_ms, attempts, messages, events, unknowns, suppression,
+ CASE WHEN events > 0 THEN 'resolved' WHEN unknowns > 0 THEN 'ocr_unknown' WHEN unread THEN 'unread' ELSE 'pending' END AS resolution,
+ CASE WHEN events > 0 THEN 'primary' WHEN unknowns > 0 THEN 'review' WHEN unread AND messages > 0 AND observation_id % 2 = 0 THEN 'suppressed' WHEN unread AND messages = 0 AND coalesce(suppression = 'phase_gate', false) THEN 'suppressed' WHEN unread THEN 'primary' WHEN suppression IS NOT NULL THEN 'suppressed' ELSE 'primary' END AS disposition,
+ CASE WHEN unread AND messages > 0 THEN 'parser_unknown' WHEN unread THEN coalesce(failure, CASE WHEN attempts > 0 THEN 'ocr_empty' ELSE 'no_ocr_attempt' END) ELSE failure END AS failure FROM u""")
+def observation_lifecycle(spark, d):
+    e = event_log(spark, d)
+    k, third = F.col("id"), F.col("id") % 3
+    kind = (
+        F.when(F.col("type") == "view", "opened").when(F.col("type") == "click", "closed").when(F.col("type") == "error", "failed")
+        .when(F.col("type") == "signup", F.when(k % 2 == 0, "message").otherwise("attempt"))
+        .otherwise(F.when(third == 0, "event").when(third == 1, "unknown").otherwise("suppressed"))
+    )
+    value = F.when(F.col("type") == "error", F.when(third == 0, "ocr_busy").when(third == 1, "ocr_empty").otherwise("ocr_timeout")).when(
+        (F.col("type") == "purchase") & (third == 2), F.when(k % 2 == 0, "phase_gate").otherwise("transient")
+    ).otherwise(k.cast("string"))
+    changes = e.select((F.col("battle_id") * 100 + F.col("identity")).alias("observation_id"), k.alias("seq"), kind.alias("kind"), value.alias("value"), F.col("timestamp_ms").alias("ts"))
+    states = lifecycle.folded(changes)
+    return lifecycle.settled(states, (F.col("observation_id") % 7 == 0).cast("int"), F.col("observation_id") % 2 == 1)
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, string_split(p_name, ' ') AS ws FROM p)
+ SELECT a.p_name, floor(list_max(flatten(list_transform(a.ws, lambda x: list_transform(['rose', 'lace'], lambda y: CASE WHEN x = y THEN 1.0 ELSE 1.0 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END)))) * 1e6 + 0.5) / 1e6 AS best FROM w a""")
+def best_text_similarity(spark, d):
+    names = table(spark, d, "part").select("p_name").distinct()
+    words = F.array(F.lit("rose"), F.lit("lace"))
+    return names.select("p_name", fixed(lifecycle.best_text_similarity(F.split("p_name", " "), words), 6).alias("best"))
+
+
+@query("""SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag || ':' || l_linestatus))), chr(10)) AS signature FROM lineitem GROUP BY l_orderkey""")
+def bundle_signatures(spark, d):
+    parts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat_ws(":", "l_returnflag", "l_linestatus")).alias("parts"))
+    return parts.select("l_orderkey", lifecycle.bundle_signature(F.col("parts")).alias("signature"))
+
+
+@query("""WITH m AS (SELECT DISTINCT p_name AS match FROM part), i AS (SELECT DISTINCT p_type AS source, length(p_type) % 3 AS priority, replace(p_type, 'E', 'e') AS skeleton FROM part UNION SELECT p_name, 1, substr(p_name, 1, length(p_name) - 2) FROM part),
+ s AS (SELECT match AS id, source, priority, CASE WHEN contains(match, skeleton) THEN 0.94 WHEN contains(skeleton, match) THEN 0.9 WHEN match = skeleton THEN 1.0 ELSE 1.0 - levenshtein(match, skeleton)::DOUBLE / greatest(length(match), length(skeleton)) END AS score FROM m, i),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, score DESC, source) AS place FROM s WHERE score >= 0.68)
+ SELECT id, source, priority::INT AS priority, floor(score::DOUBLE * 1e6 + 0.5) / 1e6 AS score, place FROM r WHERE place <= 5""")
+def coverage_candidates(spark, d):
+    part = table(spark, d, "part")
+    index = part.select(F.col("p_type").alias("source"), (F.length("p_type") % 3).alias("priority"), F.replace("p_type", F.lit("E"), F.lit("e")).alias("skeleton")).unionByName(
+        part.select(F.col("p_name").alias("source"), F.lit(1).alias("priority"), F.expr("substr(p_name, 1, length(p_name) - 2)").alias("skeleton"))
+    ).distinct()
+    names = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("match")).distinct()
+    return lifecycle.coverage_candidates(names, index).withColumn("score", fixed(F.col("score"), 6))
+
+
+@query()
+def context_events(spark, d):
+    """Keyword readings of the bundled log, rendered in canonical words."""
+    log = fixtures.messages(spark).select("id", text.match_text("text").alias("match"))
+    found = context.context_events(log, fixtures.keys(spark).where("kind = 'name'"))
+    said = context.canonical_text(F.col("event_type"), F.col("actor"), F.col("side"), F.lit(None).cast("string"), F.col("target"))
+    return found.withColumn("said", said)

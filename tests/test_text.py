@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import signals, text
-from logloom.operators import entities, gate, templates
+from logloom.operators import context, entities, gate, templates
 from logloom.plans import fixtures
 
 
@@ -103,6 +103,27 @@ def test_picture_kernels(spark):
     white, black = b"\xff\xff\xff\xff", b"\x00\x00\x00\xff"
     pixels = b"".join(white if 4 <= y < 8 else black for y in range(16) for x in range(32))
     df = spark.createDataFrame([(bytearray(pixels), 32, 16)], "p binary, w int, h int")
-    row = df.select(signals.picture_fingerprint("p", "w", "h").alias("f"), signals.line_bands("p", "w", "h").alias("b")).first()
+    row = df.select(signals.picture_fingerprint("p", "w", "h").alias("f"), signals.line_bands("p", "w", "h").alias("b"), signals.picture_occupancy("p", "w", "h").alias("g")).first()
+    assert len(row["g"]) == 32 * 12 and sum(row["g"]) % 32 == 0 and sum(row["g"]) >= 96
+    yellow = bytes([250, 220, 60, 255])
+    assert signals.text_mask(yellow * 4, 2, 2, "yellow").all() and not signals.text_mask(yellow * 4, 2, 2).any()
     assert row["f"]["foreground_ratio"] == 0.25 and sum(row["f"]["cells"]) == 32 * 15
     assert [(b["top"], b["bottom"]) for b in row["b"]] == [(4, 7)]
+
+
+def test_context_readings(spark):
+    keys = spark.createDataFrame([("p0", "アオマル", "アオマル"), ("p1", "キリカゼ", "キリカゼ")], "entry_id string, label string, key string")
+    lines = [(1, "相手のアオマルは倒れた"), (2, "効果はバツグンだ"), (3, "能力が上がった"), (4, "アオマルの攻撃が下がった"), (5, "アオマルとキリカゼを繰り出した"), (6, "相手のキリカゼは命が少し削られた"), (7, "")]
+    df = spark.createDataFrame([(k, text.match_form(t)) for k, t in lines], "id long, match string")
+    got = {r["id"]: (r["event_type"], r["actor"], r["side"]) for r in context.context_events(df, keys).collect()}
+    assert got == {1: ("faint", "アオマル", "opponent"), 2: ("supereffective", None, None), 4: ("unboost", "アオマル", "player")}
+    assert sorted((r["id"], r["slot"], r["label"]) for r in context.double_entries(df, keys).collect()) == [(5, 1, "アオマル"), (5, 2, "キリカゼ")]
+    assert [(r["id"], r["label"], r["side"]) for r in context.life_cost_events(df, keys).collect()] == [(6, "キリカゼ", "opponent")]
+
+
+def test_canonical_words_and_suffix_guard(spark):
+    df = spark.createDataFrame([("faint", "アオマル", "opponent", None, None), ("move", "アオマル", "player", "ひのたま", None), ("immune", None, None, None, "キリカゼ"), ("odd", None, None, None, None)], "k string, a string, s string, m string, t string")
+    got = [r[0] for r in df.select(context.canonical_text(F.col("k"), F.col("a"), F.col("s"), F.col("m"), F.col("t"))).collect()]
+    assert got == ["相手のアオマルは たおれた!", "アオマルの ひのたま!", "キリカゼに 効果が ない!", "odd"]
+    row = spark.createDataFrame([("ひのたまを", "ひのたま"), ("ひのたま", "ひのたま")], "a string, b string")
+    assert [r[0] for r in row.select(context.unsafe_suffix(F.col("a"), F.col("b"))).collect()] == [True, False]
