@@ -25,7 +25,7 @@ SYMBOLS = r"[#*$%&|<>]"
 class RuleConfig:
     """Base rules: fewest words, and percent of words in repeated windows. Line rules: a line
     fails if it has a symbol in every symbol_every characters or more, max_bangs
-    doubled marks, max_separators menu separators, no closing mark at its end, or a
+    doubled marks, max_separators menu separators, no mark that closes a sentence, or a
     boilerplate phrase. A document that loses more than max_lost percent of its word characters is rejected."""
 
     min_words: int = 10
@@ -36,8 +36,8 @@ class RuleConfig:
     max_lost_percent: int = 30
 
 
-# Marks that close a line, and phrases of page furniture.
-CLOSING = r"""[.!?…:;"'”’»)\]]$"""
+# Marks that close a sentence, and phrases of page furniture.
+CLOSING = r"""[.!?…:;"'”’»)\]](?:[\x20\x09-\x0D]|$)"""
 FURNITURE = (
     "(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|"
     "click here|read more|sign (in|up)|log in|subscribe to|share this|skip to content|powered by|back to top)"
@@ -190,7 +190,7 @@ WITH texts AS (
   SELECT doc_id, line, regexp_replace(line, '[\x20\x09-\x0D]+$', '') AS plain, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM lines
 ), verdicts AS (
   SELECT doc_id, line, chars, chars > 0 AND (
-    NOT regexp_matches(plain, '[.!?…:;"''”’»)\]]$')
+    NOT regexp_matches(plain, '[.!?…:;"''”’»)\]](?:[\x20\x09-\x0D]|$)')
     OR 20 * (length(plain) - length(translate(plain, '#*$%&|<>', ''))) >= length(plain)
     OR length(plain) - length(regexp_replace(plain, '(!!|\?\?)', '!', 'g')) >= 3
     OR length(plain) - length(translate(plain, '|»›', '')) + length(plain) - length(replace(plain, ' > ', '  ')) >= 3
