@@ -27,7 +27,7 @@ from logloom.llm.common import short_batches, table
 #: Words of more bytes than this are merged with a heap.
 SHORT_WORD = 96
 #: Words whose ids a worker remembers; the store is emptied when full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: How byte-level BPE files cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_MERGE = 1 << 62

@@ -80,7 +80,7 @@ class Codes(dict):
         plain, of = core(word), kind(word)
         title = of == LITERAL and len(plain) > 1 and plain[0].isupper() and plain[1:].islower()
         code = _hash(PLACEHOLDERS.get(of) or plain.lower()) | of | TITLE * title | END * bool(STOP.search(word))
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = code
         return code

@@ -254,16 +254,13 @@ def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int =
         if first + width < shards:
             state = written(state, "line-pass")
 
-    @F.pandas_udf("text string, n_lines long, n_dropped long")
-    def stay(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, marks in zip(texts, gone, strict=True):
-            lines = text.split("\n")
-            left = [line for line, mark in zip(lines, marks, strict=True) if not mark] if any(marks) else lines
-            out.append(("\n".join(left), len(lines), len(lines) - len(left)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
-
-    return state.select("doc_id", stay("text", "gone").alias("made"), "carried").select("doc_id", "made.*", *[F.col("carried")[c].alias(c) for c in carry])
+    # One byte for each line: the lines whose byte is 0 stay.
+    kept = F.filter(F.split("text", "\n"), lambda _, k: F.substring(F.col("gone"), k + F.lit(1), F.lit(1)) == F.lit(bytes(1)))
+    lines = F.length("gone").cast("long")
+    made = state.select("doc_id", kept.alias("kept"), lines.alias("n_lines"), "carried")
+    return made.select(
+        "doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *[F.col("carried")[c].alias(c) for c in carry]
+    )
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: Sequence[str] = ()) -> DataFrame:

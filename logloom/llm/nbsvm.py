@@ -125,22 +125,26 @@ def fitted(texts: list[str], labels: np.ndarray, prior: float, grams: Grams, cfg
     if len(labels) == 0 or labels.min() == labels.max():
         sure = 0.0 if len(labels) == 0 else (3.0 if labels[0] == 1 else -3.0)
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, sure)
-    size = 1 << BITS
-    in_class = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
-    found = [np.unique(grams(t or "")) for t in texts]
-    for seen, label in zip(found, labels, strict=True):
-        in_class[label][seen] += 1
+    # The n-grams are made twice rather than kept, so that memory stays at the counts.
+    in_class = np.zeros((2, 1 << BITS), np.uint16 if len(labels) < 1 << 16 else np.uint32)
+    for text, label in zip(texts, labels, strict=True):
+        in_class[label][np.unique(grams(text or ""))] += 1
     totals = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    common = np.flatnonzero(in_class[0] + in_class[1] >= cfg.min_df)
     # The log ratio of the smoothed document shares, and its standard error.
     a = cfg.smoothing
-    high, low = in_class[1] + a, in_class[0] + a
+    low, high = in_class[:, common] + a
+    del in_class
     ratio = np.log(high / (totals[1] + 2 * a)) - np.log(low / (totals[0] + 2 * a))
     error = np.sqrt(1 / high + 1 / low - 1 / (totals[1] + 2 * a) - 1 / (totals[0] + 2 * a) + 1e-12)
-    kept = np.flatnonzero((in_class[0] + in_class[1] >= cfg.min_df) & (np.abs(ratio) >= cfg.min_z * error))
-    place = np.full(size, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    rows = [p[p >= 0] for p in (place[s] for s in found)]
-    scale = ratio[kept]
+    sure = np.abs(ratio) >= cfg.min_z * error
+    kept, scale = common[sure], ratio[sure]
+    chosen = np.zeros(1 << BITS, bool)
+    chosen[kept] = True
+    rows = []
+    for text in texts:
+        found = grams(text or "")
+        rows.append(np.searchsorted(kept, np.unique(found[chosen[found]])))
     # Rare-class rows weigh as they would in the whole labelled table.
     share = np.where(labels == 1, prior / (totals[1] / totals.sum()), (1 - prior) / (totals[0] / totals.sum()))
     y = np.where(labels == 1, 1.0, -1.0)
