@@ -403,7 +403,7 @@ def corrections_join(spark, d):
     return logs.corrections_of(unknowns, rows.where("quality IS NOT NULL").select(key, F.when(F.col("quality") == 0, " low quality ").otherwise(" ").alias("note")))
 
 
-@query()
+@query('SELECT d.n_chars AS "timestampMs", d.doc_id::VARCHAR AS id, ' + " || ',' || ".join(CELL.format(c) for c in ("d.doc_id::VARCHAR", "d.n_chars::VARCHAR", "''", "d.text", "d.text", "'0.5'", "(d.lang || ' | ' || d.source)", "'time:0'", "'pending'", "coalesce(l.quality::VARCHAR, '')")) + " AS line FROM documents d LEFT JOIN labels l USING (doc_id)")
 def unknowns_csv(spark, d):
     rows = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("n_chars").alias("timestampMs"), F.lit(None).cast("string").alias("afterEventId"), F.col("text").alias("rawText"),
@@ -460,7 +460,8 @@ def contains_exactly(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", (F.contains("p_name", F.lit("lace")) | F.contains("p_name", F.lit("rose"))).alias("held"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, p_name, length(p_name) AS n FROM part)
+ SELECT p_partkey, p_name, contains(p_name, 'lavander') OR len(list_filter([7, 8, 9], lambda size: size <= n AND len(list_filter(range(1, n - size + 2), lambda s: 1.0 - levenshtein(substr(p_name, s, size), 'lavander')::DOUBLE / greatest(length(substr(p_name, s, size)), 8) >= 0.66)) > 0)) > 0 AS held FROM p""")
 def similarity_contains(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", text.contains_fuzzily(F.col("p_name"), F.lit("lavander")).alias("held"))
 
@@ -559,7 +560,12 @@ def replay_summary(spark, d):
     )
 
 
-@query()
+@query(f"""WITH {EV}, r AS (SELECT id // 3 AS job_id, id AS reading_id, CASE WHEN type <> 'error' THEN type END AS event_type, identity % 3 AS slots, identity % 2 = 0 AS template, least(1.0, score / 100) AS confidence, identity % 30 AS length, type AS bundle FROM ev),
+ s AS (SELECT *, CASE WHEN event_type IS NOT NULL THEN 100 + 24 * slots + CASE WHEN template THEN 18 ELSE 3 END + 10 * confidence + least(10.0, length / 3) ELSE least(30, length) + 5 * confidence END AS score,
+  event_type IS NOT NULL AND slots >= 1 AND template AND confidence >= 0.6 AS strong FROM r),
+ b AS (SELECT job_id, count(DISTINCT bundle) FILTER (WHERE strong) AS bundles FROM s GROUP BY job_id),
+ p AS (SELECT s.*, bundles, row_number() OVER (PARTITION BY s.job_id ORDER BY score DESC, reading_id) AS place FROM s JOIN b USING (job_id))
+ SELECT job_id, reading_id, score, CASE WHEN bundles > 1 THEN 'conflict' WHEN strong THEN 'event' WHEN event_type IS NOT NULL THEN 'held' ELSE 'unknown' END AS outcome FROM p WHERE place = 1""")
 def reading_selection(spark, d):
     rows = event_log(spark, d).select(
         F.floor(F.col("id") / 3).alias("job_id"), F.col("id").alias("reading_id"), F.when(F.col("type") != "error", F.col("type")).alias("event_type"), (F.col("identity") % 3).cast("int").alias("slots"),
