@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import shared_dir, table
+from logloom.llm.common import shared_dir, table, written
 
 LEDGER = "blob_id string, versions array<string>, spans array<struct<start:int,rank:int,kind:string,end:int>>"
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -152,6 +152,8 @@ def secret_scan(history: DataFrame, folder: str | None = None, rules: tuple[Rule
     kinds = [r.kind for r in rules]
     spans = F.sort_array(F.filter("spans", lambda s: s["kind"].isin(kinds)))
     found = read_ledger(spark, folder).where(F.size("spans") > 0).select(F.col("blob_id").alias("found_id"), spans.alias("found"))
+    # Written, so that both sides of the join below are plain shuffles, of which Spark may split a hot blob's.
+    found = written(found, "findings")
     # The rows travel as one struct, so that none of their columns can clash with the ledger's.
     whole = history.drop("blob_id", "spans")
     rows = whole.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob_id"))
