@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -206,33 +207,73 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return index, shards
 
 
-def _probe_pass(docs: DataFrame, index: LineIndex, min_chars: int, min_docs: int) -> DataFrame:
-    """Mark in the column gone (one byte for each line) what this part of the index drops."""
+def _long_lines(text: str | None, min_chars: int) -> tuple[list[int], list[bytes]]:
+    """Places and key hashes of the lines that are long enough."""
+    spots, hashes = [], []
+    for k, line in enumerate((text or "").split("\n")):
+        if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
+            spots.append(k)
+            hashes.append(line_hash(key))
+    return spots, hashes
+
+
+def _dropped(index: LineIndex, doc_id: int | None, spots: list[int], slots: np.ndarray, min_docs: int) -> list[int]:
+    """The places of those lines that the index drops from this document."""
+    return [spots[n] for n in np.flatnonzero(slots >= 0) if index.counts[slots[n]] >= min_docs and index.last_ids[slots[n]] != doc_id]
+
+
+def _probe_texts(docs: DataFrame, index: LineIndex, min_chars: int, min_docs: int) -> DataFrame:
+    """Fill the column gone with the places of the lines that the index, which is whole, drops."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            hashes, spots, marks = [], [], []
-            ids, at = batch["doc_id"].to_pylist(), batch.schema.get_field_index("gone")
-            for row, (text, old) in enumerate(zip(batch["text"].to_pylist(), batch["gone"].to_pylist(), strict=True)):
-                lines = (text or "").split("\n")
-                marks.append(bytearray(old or bytes(len(lines))))
-                for k, line in enumerate(lines):
-                    if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
-                        hashes.append(line_hash(key))
-                        spots.append((row, k))
-            if hashes:
-                slots = own.probe(*hash_halves(hashes))
-                for n in np.flatnonzero(slots >= 0):
-                    row, k = spots[n]
-                    if own.counts[slots[n]] >= min_docs and own.last_ids[slots[n]] != ids[row]:
-                        marks[row][k] = 1
-            yield batch.set_column(at, "gone", pa.array([bytes(m) for m in marks], pa.binary()))
+            found = [_long_lines(text, min_chars) for text in batch["text"].to_pylist()]
+            slots = own.probe(*hash_halves([h for _, hashes in found for h in hashes]))
+            gone, at = [], 0
+            for doc_id, (spots, hashes) in zip(batch["doc_id"].to_pylist(), found, strict=True):
+                gone.append(_dropped(own, doc_id, spots, slots[at : at + len(hashes)], min_docs))
+                at += len(hashes)
+            yield batch.set_column(batch.schema.get_field_index("gone"), "gone", pa.array(gone, pa.list_(pa.int32())))
 
     return docs.mapInArrow(probe, docs.schema)
 
 
+def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(row_key, doc_id, spots, hashes) of the rows with long lines: 20 bytes a line instead of its text."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, doc_id, text in zip(*(batch[c].to_pylist() for c in ("row_key", "doc_id", "text")), strict=True):
+                spots, hashes = _long_lines(text, min_chars)
+                if spots:
+                    rows.append((key, doc_id, spots, b"".join(hashes)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row_key", "doc_id", "spots", "hashes"])
+
+    return docs.select("row_key", "doc_id", "text").mapInArrow(hashed, "row_key string, doc_id long, spots array<int>, hashes binary")
+
+
+def _probe_hashes(hashed: DataFrame, index: LineIndex, min_docs: int) -> DataFrame:
+    """(row_key, spots) of the rows that lose lines to this part of the index."""
+    shared = hashed.sparkSession.sparkContext.broadcast(index)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            rows = []
+            for key, doc_id, spots, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lost := _dropped(own, doc_id, spots, own.probe(*hash_halves([hashes])), min_docs):
+                    rows.append((key, lost))
+            columns = zip(*rows, strict=True) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.list_(pa.int32())), strict=True)], ["row_key", "spots"])
+
+    return hashed.mapInArrow(probe, "row_key string, spots array<int>")
+
+
 def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: Sequence[str] = ()) -> DataFrame:
     """Return doc_id, text (the lines that stay, joined by \\n), n_lines, n_dropped and the columns
     named in carry for each row of docs.
@@ -241,25 +282,41 @@ def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int =
     largest doc_id that holds it. A null or empty text is one empty line. Rows that
     share the largest doc_id all keep the line; rows with a null doc_id count as
     documents and lose it (unless no document that holds it has an id: then all lose it).
+
+    An index within PASS_BYTES is probed in one narrow pass over the texts. For a larger
+    one the line hashes are written once, each part of the index is probed with them,
+    and the places found, which are few, are joined back to the rows.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("gone"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    state = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.lit(None).cast("array<int>").alias("gone"),
+        F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
+    )
     width = max(1, PASS_BYTES // (SHARD_LINES * LINE_BYTES))
-    for first in range(0, shards, width):
-        many = min(width, shards - first)
+
+    def part(first: int) -> LineIndex:
         # At most width shards of about SHARD_LINES lines: PASS_BYTES, whatever the input.
-        rows = index.where((F.col("shard") >= first) & (F.col("shard") < first + many)).collect()
-        state = _probe_pass(state, joined_shards(rows, shards, first, many), min_chars, min_docs)
-        if first + width < shards:
-            state = written(state, "line-pass")
-
-    # One byte for each line: the lines whose byte is 0 stay.
-    kept = F.filter(F.split("text", "\n"), lambda _, k: F.substring(F.col("gone"), k + F.lit(1), F.lit(1)) == F.lit(bytes(1)))
-    lines = F.length("gone").cast("long")
-    made = state.select("doc_id", kept.alias("kept"), lines.alias("n_lines"), "carried")
+        rows = index.where((F.col("shard") >= first) & (F.col("shard") < first + width)).collect()
+        return joined_shards(rows, shards, first, min(width, shards - first))
+
+    if shards <= width:
+        state = _probe_texts(state, part(0), min_chars, min_docs)
+    else:
+        # Rows with one id and text lose the same lines, so this key tells enough.
+        row_key = F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").cast("binary"), 256)
+        keyed = state.drop("gone").withColumn("row_key", row_key)
+        hashed = written(_hashed_lines(keyed, min_chars), "line-hashes")
+        marks = [written(_probe_hashes(hashed, part(first), min_docs), "line-marks") for first in range(0, shards, width)]
+        lost = reduce(DataFrame.unionByName, marks).groupBy(F.col("row_key").alias("lost_key")).agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("gone"))
+        state = keyed.join(lost, keyed["row_key"] == lost["lost_key"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    lines = F.split("text", "\n")
+    kept = F.when(F.size("gone") == 0, lines).otherwise(F.filter(lines, lambda _, k: ~F.array_contains(F.col("gone"), k)))
+    made = state.select("doc_id", kept.alias("kept"), F.size("gone").cast("long").alias("n_dropped"), "carried")
     return made.select(
-        "doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *[F.col("carried")[c].alias(c) for c in carry]
+        "doc_id", F.array_join("kept", "\n").alias("text"), (F.size("kept") + F.col("n_dropped")).alias("n_lines"), "n_dropped", *[F.col("carried")[c].alias(c) for c in carry]
     )
 
 
