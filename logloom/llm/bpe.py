@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,9 @@ from logloom.llm.common import short_batches, table
 
 #: Words of more bytes than this are merged with a heap.
 SHORT_WORD = 96
-#: Words whose ids a worker remembers; the store is emptied when full.
-REMEMBERED = 1 << 17
+#: Words whose ids a worker remembers, in two halves: when the younger is full, it takes
+#: the place of the older, and words that are met again move to the younger.
+REMEMBERED = 1 << 18
 #: How byte-level BPE files cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_MERGE = 1 << 62
@@ -66,6 +68,7 @@ class Vocabulary:
         self.special_pattern = regex.compile(f"({marks})") if marks else None
         self.word_pattern = regex.compile(WORDS)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def short_word(self, parts: list[int]) -> list[int]:
         """Merge with contiguous arrays: parts holds the ids between boundaries, ranks[i]
@@ -111,7 +114,7 @@ class Vocabulary:
     def word_ids(self, word: str) -> bytes:
         parts = [self.first[b] for b in word.encode()]
         merged = self.short_word(parts) if len(parts) <= SHORT_WORD else self.long_word(parts)
-        return np.array(merged, "<u4").tobytes()
+        return struct.pack(f"<{len(merged)}I", *merged)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; strings of special tokens in the text become their ids."""
@@ -127,10 +130,11 @@ class Vocabulary:
             for word in self.word_pattern.findall(piece):
                 ids = known.get(word)
                 if ids is None:
-                    ids = self.word_ids(word)
+                    ids = self.older.get(word) or self.word_ids(word)
                     if len(word) <= SHORT_WORD:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
+                        if len(known) >= REMEMBERED // 2:
+                            self.older, self.known = known, {}
+                            known = self.known
                         known[word] = ids
                 out.append(ids)
         return b"".join(out)
