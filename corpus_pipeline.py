@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from logloom.llm.bpe import public_vocabulary, round_trip
 from logloom.llm.common import table, written
+from logloom.llm.copies import one_of_copies
 from logloom.llm.decontamination import decontaminated
 from logloom.llm.line_dedup import line_dedup
-from logloom.llm.simhash import kept_documents
 from logloom.llm.toxicity import THRESHOLD, toxicity, train_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,8 +34,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return kept_documents(docs).select(*COLUMNS)
+    """One document of each group of near copies stays, by shared shingles or near fingerprints."""
+    return one_of_copies(docs).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
