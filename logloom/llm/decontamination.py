@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question asked again with
 other values has the same template. Windows of template words are hash-joined
 with those of the benchmark; runs of windows at one alignment count only if the
-values in their slots agree: equal values of the item must be equal in the document.
+names in their slots agree: one name of the item must be one in the document. Equal
+numbers and units may stand for different things, so they needn't stay equal.
 A small bitmap of the benchmark's window hashes, of bounded size, keeps windows that
 can't match out of the join; it never loses one that can.
 """
@@ -86,42 +87,61 @@ class Codes(dict):
         return code
 
 
-def template_codes(words: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the template's words, and whether each is a slot. A word in title case
-    that doesn't begin a sentence is a name."""
+#: Readings of a window. Whether a title-case word opens a sentence depends on what stands
+#: before it, which differs where a passage is quoted: besides the plain reading, a name that is
+#: the window's first word is also read as a literal, and a word that opens a sentence also as a name.
+PLAIN, FIRST_LITERAL, OPENERS_NAMES = 0, 1, 2
+#: What stands before the value of a slot that is a name only as an opener.
+OPENER = "<opener>"
+
+
+def template_codes(words: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words as literals or typed placeholders, whether each is such a
+    placeholder, a name (a word in title case that doesn't begin a sentence), or a word in title case that does."""
     got = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
     flags = (got & np.uint64(FLAGS)).astype(np.uint8)
-    hashes = got - flags
     begins = np.ones(len(words), bool)
     begins[1:] = flags[:-1] & END > 0
-    names = (flags & TITLE > 0) & ~begins
-    hashes[names] = NAME_CODE
-    return hashes, names | (flags & 3 > 0)
+    title = flags & TITLE > 0
+    return got - flags, flags & 3 > 0, title & ~begins, title & begins
 
 
-def window_hashes(hashes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each window that has enough literal words."""
+def window_hashes(hashes: np.ndarray, typed: np.ndarray, names: np.ndarray, openers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Reading, start and hash of each window that has enough literal words, in each of the readings that differ."""
     n = len(hashes) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rolled, literals = np.full(n, width, np.uint64), np.zeros(n, np.int8)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    slot = np.stack([names, names, names | openers])
+    word = np.where(slot, NAME_CODE, hashes)
+    literal = ~(slot | typed)
+    rolled, literals, opened = np.full((3, n), width, np.uint64), np.zeros((3, n), np.int8), np.zeros(n, bool)
     for k in range(width):
-        rolled = (rolled ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        here, plain = word[:, k : k + n], literal[:, k : k + n]
+        if k == 0:
+            here, plain = here.copy(), plain.copy()
+            here[FIRST_LITERAL], plain[FIRST_LITERAL] = hashes[:n], ~typed[:n]
+        rolled = (rolled ^ here) * np.uint64(0x9E3779B97F4A7C15)
         rolled ^= rolled >> np.uint64(32)
-        literals += ~slots[k : k + n]
-    at = np.flatnonzero(literals >= min(LEAST_LITERALS, width))
-    return at, rolled[at]
+        literals += plain
+        opened |= openers[k : k + n]
+    enough = literals >= min(LEAST_LITERALS, width)
+    enough[FIRST_LITERAL] &= names[:n]
+    enough[OPENERS_NAMES] &= opened
+    reading, at = np.nonzero(enough)
+    return reading, at, rolled[reading, at]
 
 
-def window_text(words: list[str], hashes: np.ndarray, at: int, width: int) -> tuple[str, list[str]]:
-    """The template of a window and the values of its slots, each with its placeholder."""
+def window_text(words: list[str], names: np.ndarray, openers: np.ndarray, reading: int, at: int, width: int) -> tuple[str, list[str]]:
+    """The template of a window in a reading and the values of its slots, each with its placeholder."""
     out, values = [], []
     for k in range(at, at + width):
         plain = core(words[k])
-        mark = NAME if hashes[k] == NAME_CODE else PLACEHOLDERS.get(kind(words[k]))
+        opener = reading == OPENERS_NAMES and openers[k]
+        named = opener or names[k] and not (reading == FIRST_LITERAL and k == at)
+        mark = NAME if named else PLACEHOLDERS.get(kind(words[k]))
         out.append(mark or plain.lower())
         if mark:
-            values.append(f"{mark}{plain.lower()}")
+            values.append(f"{OPENER if opener else mark}{plain.lower()}")
     return " ".join(out), values
 
 
@@ -144,15 +164,15 @@ def windows(rows: DataFrame, key: str, widths: list[int] | None, bitmap: np.ndar
                 words = (text or "").split()
                 if len(words) < LEAST_WORDS:
                     continue
-                hashes, slots = template_codes(words, codes)
+                hashes, typed, names, openers = template_codes(words, codes)
                 for width in widths or [min(WINDOW, len(words))]:
-                    at, rolled = window_hashes(hashes, slots, width)
+                    reading, at, rolled = window_hashes(hashes, typed, names, openers, width)
                     if bits is not None:
                         spot = rolled & np.uint64(8 * len(bits) - 1)
                         hit = bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1
-                        at, rolled = at[hit > 0], rolled[hit > 0]
-                    for k, h in zip(at.tolist(), rolled.view(np.int64).tolist(), strict=True):
-                        out.append((row, k, width, len(words), h, *window_text(words, hashes, k, width)))
+                        reading, at, rolled = reading[hit > 0], at[hit > 0], rolled[hit > 0]
+                    for r, k, h in zip(reading.tolist(), at.tolist(), rolled.view(np.int64).tolist(), strict=True):
+                        out.append((row, k, width, len(words), h, *window_text(words, names, openers, r, k, width)))
             columns = zip(*out, strict=True) if out else [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -177,7 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """Pairs (doc_id, item_id, matched_words, item_words, coverage) of documents that hold an item.
 
     coverage is the share of the item's words inside matched windows of alignments whose
-    slots agree. Null texts and items of fewer than LEAST_WORDS words match nothing;
+    names agree; names that open a sentence, numbers and units needn't. Null texts and items of fewer than LEAST_WORDS words match nothing;
     rows that share a doc_id (or have none) are taken together; repeated items with
     one id count once; other columns are ignored; empty tables give no pairs.
     """
@@ -192,9 +212,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     hits = written(hits, "window-hits")
     group = ["doc_id", "item_id", "shift"]
     pairs = hits.select(*group, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("pair"))
+    pairs = pairs.where(F.startswith("pair.item_slots", F.lit(NAME)))
+    value = F.regexp_replace("pair.doc_slots", f"^{OPENER}", NAME)
     bad = (
         pairs.groupBy(*group, F.col("pair.item_slots").alias("value"))
-        .agg((F.min("pair.doc_slots") != F.max("pair.doc_slots")).alias("torn"))
+        .agg((F.min(value) != F.max(value)).alias("torn"))
         .where("torn")
         .select(*[F.col(c).alias(f"bad_{c}") for c in group])
         .distinct()
