@@ -52,33 +52,26 @@ def hash_halves(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(high, low, n_docs, last_id) for the hash of each long enough key: how many rows of docs
-    hold it and the largest doc_id among them. Each batch is summed up before the shuffle."""
+    """(high, low, n_docs, last_id) for the hash of each long enough key: how many documents
+    hold it and the largest doc_id among them. Rows that share a doc_id are one document, rows without
+    one are none, as in OP7_SQL. Each batch names a line and a document once; further repeats go
+    before and after the first shuffle."""
     short_batches(docs.sparkSession)
-    schema = "high long, low long, n_docs long, last_id long"
+    schema = "high long, low long, doc_id long"
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, list] = {}
+            seen: set[tuple[bytes, int | None]] = set()
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 keys = {k for line in (text or "").split("\n") if len(line) >= min_chars and len(k := line_key(line)) >= min_chars}
-                for h in map(line_hash, keys):
-                    if entry := seen.get(h):
-                        entry[0] += 1
-                        entry[1] = doc_id if entry[1] is None or (doc_id is not None and doc_id > entry[1]) else entry[1]
-                    else:
-                        seen[h] = [1, doc_id]
-            high, low = hash_halves(list(seen))
-            columns = [
-                pa.array(high.view(np.int64)),
-                pa.array(low.view(np.int64)),
-                pa.array([e[0] for e in seen.values()], pa.int64()),
-                pa.array([e[1] for e in seen.values()], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["high", "low", "n_docs", "last_id"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, schema)
-    return rows.groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+                seen.update((h, doc_id) for h in map(line_hash, keys))
+            pairs = list(seen)
+            high, low = hash_halves([h for h, _ in pairs])
+            columns = [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array([d for _, d in pairs], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["high", "low", "doc_id"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(held, schema)
+    return rows.groupBy("high", "low").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_id"))
 
 
 def _at_level(high: np.ndarray, low: np.ndarray, level: int) -> np.ndarray:
