@@ -29,7 +29,7 @@ def names(text: str) -> frozenset[str]:
 VOID = names("area base br col embed hr img input link meta param source track wbr")
 RAW = names("script style xmp iframe noembed noframes noscript template")
 TEXT_ONLY = names("title textarea")
-UNSEEN = names("head script style title template noscript iframe noembed noframes datalist audio video object canvas svg math colgroup")
+UNSEEN = names("head script style title template noscript iframe noembed noframes datalist audio video object canvas svg colgroup")
 SPACED = names("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu")
 BLOCK = SPACED | names("html body address article aside dd details dialog div dt footer form header hgroup legend li main nav optgroup option search section summary caption tr td th thead tbody tfoot center figcaption")
 ENDS_PARAGRAPH = BLOCK - names("html body td th tr thead tbody tfoot caption option optgroup legend")
@@ -48,6 +48,8 @@ CLOSES = {
     "tfoot": (names("thead tbody tfoot tr td th caption"), names("table")),
     "body": (names("head"), names("html")),
 }
+#: What an open head can hold; any other start tag or text ends it.
+HEAD_CONTENT = names("head title meta link base basefont bgsound style script template noscript")
 WALLS = names("table td th caption html")
 SECTIONS = names("thead tbody tfoot")
 
@@ -86,6 +88,8 @@ class TreeBuilder:
         self.open = [self.root]
 
     def text(self, content: str) -> None:
+        if self.open[-1].tag == "head" and content.strip(" \t\n\f\r"):
+            self.open.pop()
         if content:
             self.open[-1].children.append(unescape(content) if "&" in content else content)
 
@@ -112,6 +116,8 @@ class TreeBuilder:
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag == "html":
             return
+        if self.open[-1].tag == "head" and tag not in HEAD_CONTENT:
+            self.open.pop()
         if tag in ENDS_PARAGRAPH:
             self.close_until(frozenset({"p"}), WALLS)
         if tag in CLOSES:
@@ -349,17 +355,27 @@ def span_of(cell: Element) -> int:
     return min(max(int(value), 1), 100) if re.fullmatch(r"\d{1,4}", value) else 1
 
 
-def table_lines(element: Element, hidden: bool) -> list[str]:
-    """Caption and stray content first, then rows whose cells start in the same columns."""
+def stray_lines(element: Element, hidden: bool) -> list[str]:
+    """What stands in a table or its visible sections outside rows."""
     out: list[str] = []
     for child in element.children:
         if isinstance(child, str):
             if not hidden and child.strip():
                 out.append(BLANKS.sub(" ", child).strip())
-        elif child.tag != "tr" and child.tag not in SECTIONS:
+        elif child.tag in SECTIONS:
+            gone, unseen = state_of(child, hidden)
+            if not gone:
+                out.extend(stray_lines(child, unseen))
+        elif child.tag != "tr":
             stray = Renderer()
             stray.element(child, hidden, False)
             out.extend(stray.finished())
+    return out
+
+
+def table_lines(element: Element, hidden: bool) -> list[str]:
+    """Caption and stray content first, then rows whose cells start in the same columns."""
+    out = stray_lines(element, hidden)
     grid: list[list[tuple[int, int, list[str]]]] = []
     for row, unseen in rows_of(element, hidden):
         cells, column = [], 0
