@@ -4,13 +4,15 @@ The builder makes a tree with implied tags (an open paragraph ends before a bloc
 gets its row, a list item ends the one before). The renderer walks it with
 visibility rules and emits all visible text: blocks on lines of their own with blank
 lines where margins would be, lists with bullets or numbers, tables with aligned cells.
+Elements may nest as deep as they like: the renderer keeps its own stack of steps.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -53,8 +55,14 @@ HEAD_CONTENT = names("head title meta link base basefont bgsound style script te
 WALLS = names("table td th caption html")
 SECTIONS = names("thead tbody tfoot")
 
-#: Elements nest this deep at most; deeper ones are laid beside each other, with all their text.
-DEPTH = 120
+#: Lists, quotations and tables inside one another that are indented, marked and aligned. What
+#: lies deeper keeps its visibility and its line breaks and stands at the last indentation.
+LEVELS = 24
+#: Blanks that a table may take to align its cells: so many for each of its characters, and so
+#: many besides. A table that needs more (a page laid out by a table) has two blanks between cells.
+BLANKS_EACH, BLANKS_LEAST = 8, 4000
+# Bounds that HTML sets on spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""",
@@ -86,38 +94,48 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Element("html")
         self.open = [self.root]
+        #: Open elements by tag, so that a tag that isn't open costs no walk.
+        self.count = Counter(["html"])
+
+    def cut(self, to: int) -> None:
+        """End the open elements from place to on."""
+        for element in self.open[to:]:
+            self.count[element.tag] -= 1
+        del self.open[to:]
 
     def text(self, content: str) -> None:
         if self.open[-1].tag == "head" and content.strip(" \t\n\f\r"):
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if content:
             self.open[-1].children.append(unescape(content) if "&" in content else content)
 
     def close_until(self, tags: frozenset[str], walls: frozenset[str]) -> None:
         """End the outermost open element among tags that no wall hides, with all inside it."""
+        left = sum(self.count[tag] for tag in tags)
         cut = 0
         for k in range(len(self.open) - 1, 0, -1):
+            if not left:
+                break
             tag = self.open[k].tag
             if tag in tags:
-                cut = k
+                cut, left = k, left - 1
             elif tag in walls:
                 break
         if cut:
-            del self.open[cut:]
+            self.cut(cut)
 
     def push(self, tag: str, attributes: dict[str, str]) -> None:
         element = Element(tag, attributes)
-        if len(self.open) >= DEPTH and tag not in VOID:
-            self.open.pop()
         self.open[-1].children.append(element)
         if tag not in VOID:
             self.open.append(element)
+            self.count[tag] += 1
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag == "html":
             return
         if self.open[-1].tag == "head" and tag not in HEAD_CONTENT:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag in ENDS_PARAGRAPH:
             self.close_until(frozenset({"p"}), WALLS)
         if tag in CLOSES:
@@ -127,15 +145,17 @@ class TreeBuilder:
         self.push(tag, attributes)
 
     def end(self, tag: str) -> None:
-        if tag == "p" and all(e.tag != "p" for e in self.open):
+        if tag == "p" and not self.count["p"]:
             self.push("p", {})  # a lone end tag is an empty paragraph
+        if not self.count[tag]:
+            return
         if tag in ("table", "html", "body") or tag in CLOSES:
             walls = frozenset() if tag in ("html", "body") else frozenset({"table"}) - {tag}
         else:
             walls = WALLS
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self.cut(k)
                 return
             if self.open[k].tag in walls:
                 return
@@ -194,12 +214,29 @@ def state_of(element: Element, hidden: bool) -> tuple[bool, bool]:
     return False, hidden
 
 
+#: A step of the renderer: it yields the steps it waits for and returns lines, if any.
+Step = Generator["Step", "list[str] | None", "list[str] | None"]
+
+
+def walked(step: Step) -> list[str] | None:
+    """Run a step with all those it waits for, on a stack of its own."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 class Renderer:
     """Collects lines: inline text gathers in one until a block or a break ends it. In a
-    tight one, as for list items, lists have no margin."""
+    tight one, as for list items, lists have no margin. level counts the layouts it lies in."""
 
-    def __init__(self, tight: bool = False) -> None:
-        self.tight = tight
+    def __init__(self, level: int = 0, tight: bool = False) -> None:
+        self.level, self.tight = level, tight
         self.lines: list[str] = []
         self.current: list[str] = []
         self.gap = False
@@ -253,61 +290,72 @@ class Renderer:
             self.lines.pop()
         return self.lines
 
-    def children(self, element: Element, hidden: bool, preformatted: bool) -> None:
+    def children(self, element: Element, hidden: bool, preformatted: bool) -> Step:
         for child in element.children:
             if isinstance(child, str):
                 if not hidden:
                     self.inline(child, preformatted)
             else:
-                self.element(child, hidden, preformatted)
+                yield self.element(child, hidden, preformatted)
 
-    def element(self, element: Element, hidden: bool, preformatted: bool) -> None:
+    def element(self, element: Element, hidden: bool, preformatted: bool) -> Step:
         gone, hidden = state_of(element, hidden)
         tag = element.tag
         if gone:
             return
+        deep = self.level >= LEVELS
         if tag == "br":
             self.hard_break()
-        elif tag == "table":
+        elif tag == "table" and not deep:
             self.margin()
-            self.extend(table_lines(element, hidden))
+            self.extend((yield table_lines(element, hidden, self.level + 1)))
             self.margin()
-        elif tag in ("ul", "ol", "menu"):
+        elif tag in ("ul", "ol", "menu") and not deep:
             edge = self.flush if self.tight else self.margin
             edge()
-            self.extend(list_lines(element, hidden))
+            self.extend((yield list_lines(element, hidden, self.level + 1)))
             edge()
         elif tag == "details" and "open" not in element.attributes:
             self.flush()
             for child in element.children:
                 if not isinstance(child, str) and child.tag == "summary":
-                    self.element(child, hidden, preformatted)
+                    yield self.element(child, hidden, preformatted)
                     break
             self.flush()
         elif tag in BLOCK:
             edge = self.margin if tag in SPACED else self.flush
             edge()
-            if tag in ("blockquote", "dd"):
-                self.extend(["  " + line if line else line for line in rendered(element, hidden)])
+            if tag in ("blockquote", "dd") and not deep:
+                lines = yield rendered(element, hidden, self.level + 1)
+                self.extend(["  " + line if line else line for line in lines])
             else:
-                self.children(element, hidden, preformatted or tag == "pre")
+                yield self.children(element, hidden, preformatted or tag == "pre")
             edge()
         elif tag == "q":
-            self.inline('"', preformatted)
-            self.children(element, hidden, preformatted)
-            self.inline('"', preformatted)
+            if not hidden:
+                self.inline('"', preformatted)
+            yield self.children(element, hidden, preformatted)
+            if not hidden:
+                self.inline('"', preformatted)
         else:
-            self.children(element, hidden, preformatted)
+            yield self.children(element, hidden, preformatted)
 
 
-def rendered(element: Element, hidden: bool, tight: bool = False) -> list[str]:
+def rendered(element: Element, hidden: bool, level: int, tight: bool = False) -> Step:
     """The lines of an element's content, laid out on its own."""
-    inner = Renderer(tight)
-    inner.children(element, hidden, False)
+    inner = Renderer(level, tight)
+    yield inner.children(element, hidden, False)
+    return inner.finished()
+
+
+def lone(element: Element, hidden: bool, level: int) -> Step:
+    """The lines of one element, laid out on its own."""
+    inner = Renderer(level)
+    yield inner.element(element, hidden, False)
     return inner.finished()
 
 
-def list_lines(element: Element, hidden: bool) -> list[str]:
+def list_lines(element: Element, hidden: bool, level: int) -> Step:
     """Items behind bullets or numbers, further lines of an item indented; an item without
     text still takes a number."""
     out: list[str] = []
@@ -322,40 +370,46 @@ def list_lines(element: Element, hidden: bool) -> list[str]:
         if gone:
             continue
         if child.tag != "li":
-            lines = Renderer()
-            lines.element(child, hidden, False)
-            out.extend("  " + line if line else line for line in lines.finished())
+            lines = yield lone(child, hidden, level)
+            out.extend("  " + line if line else line for line in lines)
             continue
         value = child.attributes.get("value", "")
         if re.fullmatch(r"-?\d{1,9}", value):
             number = int(value)
         mark = f"{number}. " if element.tag == "ol" else "- "
         number += 1
-        for k, line in enumerate(rendered(child, unseen, tight=True)):
+        for k, line in enumerate((yield rendered(child, unseen, level, tight=True))):
             out.append((mark if k == 0 else " " * len(mark)) + line if line else line)
     return out
 
 
-def rows_of(element: Element, hidden: bool) -> Iterator[tuple[Element, bool]]:
-    """The visible rows of a table with whether their text is invisible, sections opened up."""
-    for child in element.children:
-        if isinstance(child, str):
-            continue
-        gone, unseen = state_of(child, hidden)
+def rows_of(element: Element, hidden: bool) -> Iterator[tuple[Element, bool, int]]:
+    """The visible rows of a table with whether their text is invisible and how many rows their
+    section has left, sections opened up. Sections never hold sections: a start tag ends the open one."""
+    seen = [(child, *state_of(child, hidden)) for child in element.children if not isinstance(child, str)]
+    rows = [(child, unseen) for child, gone, unseen in seen if child.tag == "tr" and not gone]
+    at = iter(rows)
+    left = len(rows)
+    for child, gone, unseen in seen:
         if gone:
             continue
         if child.tag == "tr":
-            yield child, unseen
+            yield (*next(at), left)
+            left -= 1
         elif child.tag in SECTIONS:
             yield from rows_of(child, unseen)
 
 
-def span_of(cell: Element) -> int:
-    value = cell.attributes.get("colspan", "1")
-    return min(max(int(value), 1), 100) if re.fullmatch(r"\d{1,4}", value) else 1
+def span_of(cell: Element, name: str, most: int) -> int:
+    """A span as HTML reads it: 1 if it is no number, at most what HTML allows; 0 rows are all."""
+    value = cell.attributes.get(name, "1").strip()
+    if not re.fullmatch(r"[0-9]+", value):
+        return 1
+    span = int(value) if len(value) < 9 else most
+    return min(span or (most if name == "rowspan" else 1), most)
 
 
-def stray_lines(element: Element, hidden: bool) -> list[str]:
+def stray_lines(element: Element, hidden: bool, level: int) -> Step:
     """What stands in a table or its visible sections outside rows."""
     out: list[str] = []
     for child in element.children:
@@ -365,67 +419,106 @@ def stray_lines(element: Element, hidden: bool) -> list[str]:
         elif child.tag in SECTIONS:
             gone, unseen = state_of(child, hidden)
             if not gone:
-                out.extend(stray_lines(child, unseen))
+                out.extend((yield stray_lines(child, unseen, level)))
         elif child.tag != "tr":
-            stray = Renderer()
-            stray.element(child, hidden, False)
-            out.extend(stray.finished())
+            out.extend((yield lone(child, hidden, level)))
     return out
 
 
-def table_lines(element: Element, hidden: bool) -> list[str]:
+class Columns:
+    """Deals cells to columns: a cell that spans rows keeps its columns in the rows below."""
+
+    def __init__(self) -> None:
+        #: First column, end, and rows that are still taken, in order of columns.
+        self.taken: list[tuple[int, int, int]] = []
+
+    def row(self, cells: list[tuple[int, int]]) -> list[int]:
+        """The first column of each of a row's cells (columns, rows)."""
+        out, added, column, at = [], [], 0, 0
+        for columns, rows in cells:
+            while at < len(self.taken) and self.taken[at][0] <= column:
+                column = max(column, self.taken[at][1])
+                at += 1
+            out.append(column)
+            if rows > 1:
+                added.append((column, column + columns, rows))
+            column += columns
+        merged: list[tuple[int, int, int]] = []
+        for start, end, rows in sorted([*self.taken, *added]):
+            if rows > 1:
+                if merged and merged[-1][1] >= start and merged[-1][2] == rows - 1:
+                    merged[-1] = (merged[-1][0], max(end, merged[-1][1]), rows - 1)
+                else:
+                    merged.append((start, end, rows - 1))
+        self.taken = merged
+        return out
+
+
+def table_lines(element: Element, hidden: bool, level: int) -> Step:
     """Caption and stray content first, then rows whose cells start in the same columns."""
-    out = stray_lines(element, hidden)
+    out = yield stray_lines(element, hidden, level)
     grid: list[list[tuple[int, int, list[str]]]] = []
-    for row, unseen in rows_of(element, hidden):
-        cells, column = [], 0
+    columns = Columns()  # no span reaches beyond its section
+    for row, unseen, left in rows_of(element, hidden):
+        spans, contents = [], []
         for cell in row.children:
             if isinstance(cell, str):
                 if not unseen and cell.strip():
-                    cells.append((column, 1, [BLANKS.sub(" ", cell).strip()]))
-                    column += 1
+                    spans.append((1, 1))
+                    contents.append([BLANKS.sub(" ", cell).strip()])
                 continue
             gone, own = state_of(cell, unseen)
             if gone:
                 continue
-            cells.append((column, span_of(cell), rendered(cell, own)))
-            column += span_of(cell)
-        grid.append(cells)
-    if all(len(cells) <= 1 for cells in grid):
+            spans.append((span_of(cell, "colspan", MOST_COLUMNS), min(span_of(cell, "rowspan", MOST_ROWS), left)))
+            contents.append((yield rendered(cell, own, level)))
+        grid.append([(column, span, lines) for column, (span, _), lines in zip(columns.row(spans), spans, contents, strict=True)])
+    if all(len(cells) <= 1 for cells in grid) and not any(cells[0][0] for cells in grid if cells):
         return out + [line for cells in grid for _, _, lines in cells for line in lines]
+    return out + laid_out(grid)
+
+
+def laid_out(grid: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """The lines of rows of cells (column, columns, lines), each cell from where its column starts."""
     widths: dict[int, int] = {}
     for cells in grid:
         for column, span, lines in cells:
-            if span == 1:  # cells over several columns don't widen one
-                widths[column] = max(widths.get(column, 0), *(width(line) for line in lines), 0)
-    last = max((c for cells in grid for c, _, _ in cells), default=0)
-    lefts, left = [], 0
-    for column in range(last + 1):
-        lefts.append(left)
-        left += widths.get(column, 0) + 2 if widths.get(column, 0) else 0
+            # Cells over several columns don't widen one.
+            widths[column] = max(widths.get(column, 0), *(width(line) for line in lines), 0) if span == 1 else widths.get(column, 0)
+    lefts, left = {}, 0
+    for column in sorted(widths):
+        lefts[column] = left
+        left += widths[column] + 2 if widths[column] else 0
+    text = sum(len(line) for cells in grid for _, _, lines in cells for line in lines)
+    blanks = sum(max(lefts[c] for c, _, _ in cells) * max(len(lines) for _, _, lines in cells) for cells in grid if cells)
+    aligned = blanks <= BLANKS_EACH * text + BLANKS_LEAST
+    out = []
     for cells in grid:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line, used = "", 0
+            line, used = [], 0
             for column, _, lines in cells:
                 if k < len(lines) and lines[k]:
-                    pad = max(lefts[column] - used, 1 if line else 0)
-                    line += " " * pad + lines[k]
+                    least = 1 if line else 0
+                    pad = max(lefts[column] - used, least) if aligned else 2 * least
+                    line += [" " * pad, lines[k]]
                     used += pad + width(lines[k])
-            if line.strip():
-                out.append(line.rstrip())
+            if any(part.strip() for part in line):
+                out.append("".join(line).rstrip())
     return out
 
 
 def page_text(html: str) -> str:
     """All visible text of a page, laid out in lines."""
-    return "\n".join(rendered(tree(html), False)).strip("\n")
+    return "\n".join(walked(rendered(tree(html), False, 0))).strip("\n")
 
 
 def html_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """Add the visible text of each page; rows and other columns stay.
 
     A null or empty page gives the empty text, repeated rows equal texts, an empty table
-    an empty one; an existing column of the new name is replaced.
+    an empty one; an existing column of the new name is replaced. Pages may be of any length and
+    depth: hidden text is left out and visible text kept at every depth, in time about in
+    proportion to the page; LEVELS and BLANKS_EACH bound the layout only.
     """
     short_batches(pages.sparkSession)
 
