@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts run to a megabyte, so batches stay short to
-#: bound what a Python worker holds at once.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch (a longer row is a batch of its own): they bound what a
+#: Python worker holds at once.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 #: The white space that separates words: space and \t \n \x0b \f \r.
 SPACE = " \t\n\x0b\f\r"
@@ -21,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the Python stages that follow."""
+    """Bound the Arrow batches of this session's Python stages: Spark reads the setting when a
+    stage starts, so it holds for the session and not for one plan."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,9 +9,11 @@ over to words never seen in training, and over the words themselves.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ SHAPE_SIZES = range(1, 5)
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 
+#: Words of a text that are read at once, words whose codes a task remembers, and how long those may be.
+BLOCK, KNOWN_WORDS, LONG_WORD = 1 << 13, 1 << 16, 64
+WORDS = re.compile(r"\S+")
+MARKS = re.compile(r"(\W)\1{2,}")
 RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "9"))
 
 
@@ -35,32 +41,53 @@ def letters(found: re.Match) -> str:
     return "Aa" if word[:1].isupper() and word[1:].islower() else "mX"
 
 
-@lru_cache(maxsize=1 << 17)
-def word_codes(word: str) -> tuple[int, int]:
-    """Hash codes of a word's shape and of the word; marks keep their run length up to 3."""
-    shape = RUNS[1][0].sub("9", RUNS[0][0].sub(letters, word))
-    shape = re.sub(r"(\W)\1{2,}", r"\1\1\1", shape)
-    return stable(shape[:24]), stable(word.lower())
+class Codes(dict):
+    """Place of a word in the tables of hash codes of its shape and of itself. Long words are hashed
+    anew each time; the tables are emptied between blocks when they have grown large."""
+
+    def __init__(self) -> None:
+        self.shapes: list[int] = []
+        self.words: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        # Marks keep their run length up to 3; a shape is taken whole, however long.
+        shape = RUNS[1][0].sub("9", RUNS[0][0].sub(letters, word))
+        self.shapes.append(stable(MARKS.sub(r"\1\1\1", shape)))
+        self.words.append(stable(word.lower()))
+        if len(word) <= LONG_WORD:
+            self[word] = len(self.words) - 1
+        return len(self.words) - 1
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the shapes and of the words."""
+        if len(self.words) > KNOWN_WORDS:
+            self.clear()
+            self.shapes.clear()
+            self.words.clear()
+        at = list(map(self.__getitem__, words))
+        return np.array([self.shapes[k] for k in at], np.uint64), np.array([self.words[k] for k in at], np.uint64)
+
+
+CODES = Codes()
 
 
 def stable(text: str) -> int:
-    """A 63-bit hash that is the same in every process."""
-    value = 0xCBF29CE484222325
-    for byte in text.encode("utf-8", "surrogatepass"):
-        value = (value ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return value >> 1
+    """A hash that is the same in every process."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def word_grams(text: str) -> np.ndarray:
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.int64)
-    codes = np.array([word_codes(w) for w in words], np.uint64)
-    shapes, words_at = codes[:, 0].copy(), codes[:, 1]
-    again = np.zeros(len(words), bool)
-    again[1:] = words_at[1:] == words_at[:-1]
-    shapes[again] ^= np.uint64(0x5851F42D4C957F2D)
-    return np.concatenate([hashed(shapes, SHAPE_SIZES), hashed(words_at ^ np.uint64(0x14057B7EF767814F), range(1, 2))])
+def word_grams(text: str) -> Iterator[np.ndarray]:
+    """N-grams over the shapes of all words, and the words; each block begins with the last shapes of the one before."""
+    found, last, tail = WORDS.finditer(text), None, np.zeros(0, np.uint64)
+    while words := [m[0] for m in islice(found, BLOCK)]:
+        shapes, words_at = CODES.of(words)
+        again = np.empty(len(words), bool)
+        again[0] = words_at[0] == last
+        again[1:] = words_at[1:] == words_at[:-1]
+        shapes[again] ^= np.uint64(0x5851F42D4C957F2D)
+        shapes = np.concatenate([tail, shapes])
+        tail, last = shapes[len(shapes) - min(len(shapes), SHAPE_SIZES.stop - 2) :], words_at[-1]
+        yield np.concatenate([hashed(shapes, SHAPE_SIZES), hashed(words_at ^ np.uint64(0x14057B7EF767814F), range(1, 2))])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, cfg: TrainConfig = TrainConfig()) -> Model:
@@ -72,8 +99,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, cfg: TrainConfig = TrainCo
 def quality(docs: DataFrame, model: Model) -> DataFrame:
     """Add score (0 to 1, higher: better) to docs; rows and other columns stay.
 
-    A null or empty text has a score too: that of no n-grams. An existing column
-    named score is replaced.
+    A null or empty text has a score too: that of no n-grams. Texts of any length are scored whole,
+    BLOCK words at a time. An existing column named score is replaced.
     """
     return with_score(docs, model, word_grams)
 

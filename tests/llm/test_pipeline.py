@@ -3,7 +3,6 @@
 import hashlib
 import random
 
-import pandas as pd
 import pytest
 from test_text_operators import ITEM, slow_fingerprint, slow_line_dedup
 
@@ -76,7 +75,7 @@ def test_pipeline_matches_the_plain_stages(spark, folder):
 
     model = toxicity.train_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
     docs = [(d, t) for d, t, *_ in corpus()[0]]
-    scores = nbsvm.scored(pd.Series([t for _, t in docs], dtype=object), model, toxicity.character_grams)
+    scores = nbsvm.scored([t for _, t in docs], model, toxicity.character_grams, nbsvm.chosen_table(model.buckets))
     toxic = {d for (d, _), s in zip(docs, scores, strict=True) if s >= toxicity.THRESHOLD}
     assert {k for k in range(160) if k % 5 == 0} <= toxic and len(toxic) < 60
     left = [(d, t) for d, t, *_ in slow_line_dedup([x for x in docs if x[0] not in toxic])]
