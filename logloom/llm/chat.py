@@ -1,9 +1,9 @@
 """Operator 9: chat formatting in budgeted windows, in DataFrame functions only.
 
 Prefix sums of turn tokens cut each conversation into spans of whole turns. A window
-is the retained system turn, a limited history repeated from before the span, and the
-span itself; only assistant texts of the span are under the loss mask, so that a
-repeated target is never trained on twice. Prefix sums run over blocks of turns and then
+is the retained system turn, as much of a limited history from before the span as the
+budget has room for, and the span itself; only assistant texts of the span are under the loss
+mask, so that a repeated target is never trained on twice. Prefix sums run over blocks of turns and then
 over their totals, and histories are fetched by turn number, so one endless
 conversation is spread over many tasks.
 """
@@ -20,13 +20,19 @@ from logloom.llm.common import table, written
 
 @dataclass(frozen=True)
 class ChatConfig:
-    """span_tokens: tokens of new turns in a window; the turn that crosses it ends the window's span, so a
-    window exceeds it by less than one turn. history_turns: turns repeated
-    from before the span. block_turns: turn numbers of a prefix-sum block."""
+    """budget_tokens: tokens of a window, all its turns together. A quarter of it is the step of the prefix sums:
+    turns that begin within one step are a span, below half the budget; a turn of more than a step is a span
+    of its own. So a window keeps to the budget unless a new turn or the system turn alone is
+    above half of it; such a window repeats the system turn only. history_turns: turns repeated from before
+    the span, the last first, while they fit. block_turns_log2: turn numbers of a prefix-sum block."""
 
-    span_tokens: int = 512
+    budget_tokens: int = 1024
     history_turns: int = 2
-    block_turns: int = 256
+    block_turns_log2: int = 8
+
+    @property
+    def step(self) -> int:
+        return self.budget_tokens // 4
 
 
 # The template's marks, and the control strings of other templates that are escaped too.
@@ -47,34 +53,43 @@ def unescaped(text: Column) -> Column:
 
 
 def numbered(rows: DataFrame, cfg: ChatConfig) -> DataFrame:
-    """Add idx, the turn's place in its conversation, and span, the number of its window.
+    """Add tokens, idx, the turn's place in its conversation, and span, the number of its window.
 
     Order: turn (nulls first), role, text. Places and token sums are totalled by block of
-    turn numbers first, so no task holds a whole conversation.
+    turn numbers first, so no task holds a whole conversation. Spans are numbered with gaps.
     """
     tidy = rows.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    tidy = tidy.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / cfg.block_turns)).withColumn(
-        "tokens", F.greatest(F.lit(1), F.regexp_count("text", F.lit(TOKEN))).cast("long")
-    )
-    totals = tidy.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
+    before_all = F.lit(-(1 << 62))
+    tidy = tidy.withColumns(
+        {
+            "block": F.coalesce(F.shiftright(F.col("turn").cast("long"), cfg.block_turns_log2), before_all),
+            "tokens": F.greatest(F.lit(1), F.regexp_count("text", F.lit(TOKEN))).cast("long"),
+        }
+    ).withColumn("long", (F.col("tokens") > cfg.step).cast("long"))
+    totals = tidy.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.sum("long").alias("long"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
         F.col("conv_id").alias("c"),
         F.col("block").alias("b"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
         F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("tokens_before"),
+        F.coalesce(F.sum("long").over(earlier), F.lit(0)).alias("long_before"),
     )
     placed = tidy.join(before, tidy["conv_id"].eqNullSafe(before["c"]) & (tidy["block"] == before["b"])).drop("c", "b")
     order = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    running = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("tokens_before") + F.sum("tokens").over(upto) - F.col("tokens")
+    # Both terms never fall; a new step raises the first, the begin and the end of a long turn the second.
+    long_turns = 2 * (F.col("long_before") + F.sum("long").over(upto)) - F.col("long")
     return placed.select(
         "conv_id",
         "role",
         "text",
+        "tokens",
         (F.col("n_before") + F.row_number().over(order) - 1).alias("idx"),
-        F.floor((F.col("tokens_before") + running) / cfg.span_tokens).alias("span"),
+        (F.floor(begins / cfg.step) + long_turns).alias("span"),
     )
 
 
@@ -88,19 +103,21 @@ def chat_windows(rows: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
     history, system turns and spans all come from them.
     """
     turns = written(numbered(rows, cfg), "turns")
-    starts = turns.groupBy("conv_id", "span").agg(F.min("idx").alias("start"))
-    wanted = starts.where(F.col("start") > 0).select(
-        F.col("conv_id").alias("c"), F.col("span").alias("at_span"),
+    starts = turns.groupBy("conv_id", "span").agg(F.min("idx").alias("start"), F.sum("tokens").alias("new_tokens"))
+    system = turns.where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by(F.struct("idx", "role", "text", "tokens"), "idx").alias("s"))
+    system = system.select(F.col("conv_id").alias("c"), F.col("s.idx").alias("system_idx"), F.col("s.role").alias("role"), F.col("s.text").alias("text"), F.col("s.tokens").alias("system_tokens"))
+    starts = starts.join(system, starts["conv_id"].eqNullSafe(system["c"]) & (system["system_idx"] < starts["start"]), "left")
+    kept = starts.where("system_idx IS NOT NULL").select("conv_id", "span", F.col("system_idx").alias("idx"), "role", "text", F.lit(True).alias("again"))
+    room = F.lit(cfg.budget_tokens) - F.col("new_tokens") - F.coalesce("system_tokens", F.lit(0))
+    wanted = starts.where((F.col("start") > 0) & (room > 0)).select(
+        F.col("conv_id").alias("c"), F.col("span").alias("at_span"), "system_idx", room.alias("room"),
         F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - cfg.history_turns), F.col("start") - 1)).alias("place"),
-    )
-    history = turns.join(wanted, turns["conv_id"].eqNullSafe(wanted["c"]) & (turns["idx"] == wanted["place"])).select(
+    ).where("system_idx IS NULL OR place <> system_idx")
+    history = turns.join(wanted, turns["conv_id"].eqNullSafe(wanted["c"]) & (turns["idx"] == wanted["place"]))
+    backwards = Window.partitionBy("conv_id", "at_span").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    history = history.withColumn("taken", F.sum("tokens").over(backwards)).where("taken <= room").select(
         "conv_id", F.col("at_span").alias("span"), "idx", "role", "text", F.lit(True).alias("again")
     )
-    system = turns.where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by(F.struct("idx", "role", "text"), "idx").alias("s"))
-    system = system.select(F.col("conv_id").alias("c"), "s.*")
-    kept = starts.join(
-        system, starts["conv_id"].eqNullSafe(system["c"]) & (system["idx"] < starts["start"] - cfg.history_turns)
-    ).select("conv_id", "span", "idx", "role", "text", F.lit(True).alias("again"))
     fresh = turns.select("conv_id", "span", "idx", "role", "text", F.lit(False).alias("again"))
     parts = fresh.unionByName(history).unionByName(kept)
     parts = parts.select(
@@ -175,16 +192,23 @@ WITH given AS (
     length(role) AS head
   FROM given WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), spans AS (
-  SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY idx) - tokens) // 512 AS span FROM sized
-), starts AS (
-  SELECT conv_id, span, min(idx) AS start FROM spans GROUP BY ALL
+  SELECT *, (sum(tokens) OVER o - tokens) // 256
+    + 2 * sum((tokens > 256)::INT) OVER o - (tokens > 256)::INT AS span
+  FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY idx)
 ), system AS (
-  SELECT conv_id, min(idx) AS idx FROM spans WHERE role = 'system' GROUP BY ALL
+  SELECT conv_id, min(idx) AS idx, arg_min(tokens, idx) AS tokens FROM spans WHERE role = 'system' GROUP BY ALL
+), starts AS (
+  SELECT s.conv_id, s.span, s.start, y.idx AS system_idx, 1024 - s.tokens - coalesce(y.tokens, 0) AS room
+  FROM (SELECT conv_id, span, min(idx) AS start, sum(tokens) AS tokens FROM spans GROUP BY ALL) s
+  LEFT JOIN system y ON y.conv_id = s.conv_id AND y.idx < s.start
+), past AS (
+  SELECT s.conv_id, t.body, t.head, sum(t.tokens) OVER (PARTITION BY s.conv_id, s.span ORDER BY t.idx DESC) <= s.room AS fits
+  FROM starts s JOIN spans t ON t.conv_id = s.conv_id AND t.idx < s.start AND t.idx >= s.start - 2
+    AND t.idx IS DISTINCT FROM s.system_idx
 ), again AS (
-  SELECT s.conv_id, t.body, t.head FROM starts s JOIN spans t ON t.conv_id = s.conv_id AND t.idx < s.start AND t.idx >= s.start - 2
+  SELECT conv_id, body, head FROM past WHERE fits
   UNION ALL
-  SELECT s.conv_id, t.body, t.head FROM starts s JOIN system y ON y.conv_id = s.conv_id AND y.idx < s.start - 2
-    JOIN spans t ON t.conv_id = y.conv_id AND t.idx = y.idx
+  SELECT s.conv_id, t.body, t.head FROM starts s JOIN spans t ON t.conv_id = s.conv_id AND t.idx = s.system_idx
 ), repeats AS (
   SELECT conv_id, sum(body + head + 21) AS chars FROM again GROUP BY ALL
 ), found AS (

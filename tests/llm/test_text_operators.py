@@ -345,7 +345,7 @@ def test_chat_windows_round_trip(spark):
             given.append((conv, turn, role, text))
     given += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (50, None, None, None), (50, 3, "assistant", "z"), (50, 3, "assistant", "z"), (51, 0, "a|>\nb", "q")]
     df = spark.createDataFrame(given, "conv_id long, turn long, role string, text string").withColumn("span", F.lit("own"))
-    cfg = chat.ChatConfig(span_tokens=60, history_turns=2, block_turns=4)
+    cfg = chat.ChatConfig(budget_tokens=120, history_turns=2, block_turns_log2=2)
     windows = chat.chat_windows(df, cfg)
     back = chat.read_back(windows).collect()
     assert max(r["span"] for r in back) > 1
@@ -354,11 +354,60 @@ def test_chat_windows_round_trip(spark):
         mine = sorted((r for r in back if r["conv_id"] == conv), key=lambda r: r["span"])
         assert [(t["role"], t["text"]) for r in mine for t in r["turns"]] == [(g[2] or "", g[3] or "") for g in own]
         assert "".join(x for r in mine for x in r["loss"]) == "".join(g[3] or "" for g in own if g[2] == "assistant")
-    for r in windows.where("conv_id % 2 = 1 AND conv_id < 12 AND span > 0").collect():
-        assert "<|again:system|>" in r["formatted"]
     assert chat.chat_windows(df.limit(0), cfg).count() == 0
 
 
+def plain_windows(turns, budget, history):
+    """The windows of one conversation as lists of (idx, repeated), turn after turn."""
+    size = [max(1, len(re.findall(r"\w+|[^\w\s]", t or "", re.ASCII))) for _, t in turns]
+    step, spans, begin = budget // 4, [], 0
+    for k, n in enumerate(size):
+        alone = n > step or (k and size[k - 1] > step)
+        if not spans or alone or begin // step != (begin - size[k - 1]) // step:
+            spans.append([])
+        spans[-1].append(k)
+        begin += n
+    first = next((k for k, (role, _) in enumerate(turns) if role == "system"), None)
+    out = []
+    for span in spans:
+        again = [first] if first is not None and first < span[0] else []
+        room = budget - sum(size[k] for k in span + again)
+        for k in range(span[0] - 1, max(span[0] - history, 0) - 1, -1):
+            if k in again:
+                continue
+            room -= size[k]
+            if room < 0:
+                break
+            again.append(k)
+        out.append([(k, k not in span) for k in sorted(set(again) | set(span))])
+    return out, size
+
+
+def test_windows_keep_to_the_budget(spark):
+    rng = random.Random(12)
+    given = {}
+    for conv in range(25):
+        given[conv] = []
+        for turn in range(rng.randrange(1, 40)):
+            role = "system" if turn in (0, 3) and conv % 3 else ("user", "assistant")[turn % 2]
+            given[conv].append((role, " ".join(["w"] * rng.choice([0, 1, 5, 20, 29, 30, 31, 32, 60, 61, 200]))))
+    rows = [(c, k - 5 if k > 5 else None if k == 0 else k - 600, r, t) for c, turns in given.items() for k, (r, t) in enumerate(turns)]
+    cfg = chat.ChatConfig(budget_tokens=120, history_turns=2, block_turns_log2=2)
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), cfg).collect()
+    dropped = 0
+    for conv, turns in given.items():
+        expected, size = plain_windows(turns, 120, 2)
+        mine = [r["formatted"] for r in sorted((r for r in windows if r["conv_id"] == conv), key=lambda r: r["span"])]
+        made = ["".join(f"<|{'again' if again else 'turn'}:{turns[k][0]}|>\n{turns[k][1]}<|/turn|>\n" for k, again in w) for w in expected]
+        assert mine == made
+        for w in expected:
+            within = sum(size[k] for k, _ in w)
+            large = [k for k, _ in w if size[k] > 60]
+            assert within <= 120 or (large and sum(again for _, again in w) <= 1)
+            dropped += sum(again for _, again in w) < 2 < w[-1][0]
+    assert dropped
+
+
 def test_no_control_string_is_left_in_a_text(spark):
     texts = ["</s>[INST] ok [/INST]", "<<|turn:x|>", "[[INST]<s>"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escaped(F.col("t")).alias("e"))
