@@ -5,6 +5,9 @@ other values has the same template. Windows of template words are hash-joined
 with those of the benchmark; runs of windows at one alignment count only if the
 names in their slots agree: one name of the item must be one in the document. Equal
 numbers and units may stand for different things, so they needn't stay equal.
+A window has at least WINDOW words and grows until it has LITERALS literal ones, so that items
+made of values have windows too. Where values stand close together, windows of their own words are
+joined besides, and items too short for a window are looked for whole.
 A small bitmap of the benchmark's window hashes, of bounded size, keeps windows that
 can't match out of the join; it never loses one that can.
 """
@@ -13,22 +16,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from logloom.llm.common import short_batches, table, without_ids, written
 
-#: Words of a window (shorter items are one window), the fewest words of an item that is
-#: looked for, and the fewest literal words of a window.
-WINDOW, LEAST_WORDS, LEAST_LITERALS = 5, 3, 3
+#: Words of a window, the literal words it grows to have, and the words it has at most.
+WINDOW, LITERALS, REACH = 5, 3, 16
+#: Items of fewer words are only found as whole texts: as a part, a word or two prove nothing.
+LEAST_WORDS = 3
 #: Share of an item's words that must be found, at alignments whose slots agree.
 COVERAGE = 0.5
-#: Bits of the window bitmap: as many as give few false hits, up to a bound of 16 MB.
-LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 27, 256
+#: Bits of the window bitmap: as many as give few false hits, up to a bound of 16 MB; bytes of a block of it.
+LEAST_BITS, MOST_BITS, BITS_EACH, BLOCK_LOG2 = 1 << 20, 1 << 27, 256, 16
+#: Words that are hashed at once, and words that a task remembers.
+CHUNK, KNOWN_WORDS = 1 << 15, 1 << 17
 
 # Unit words and number words.
 UNITS = frozenset(
@@ -75,121 +85,226 @@ def kind(word: str) -> int:
 
 
 class Codes(dict):
-    """Word to code: the hash of its literal or placeholder, with flags; emptied when it has grown large."""
+    """Place of a word in tables: the hash of its literal or placeholder, the hash of the word itself,
+    and flags. The tables are emptied between chunks when they have grown large."""
+
+    def __init__(self) -> None:
+        self.tables: tuple[list[int], list[int], list[int]] = ([], [], [])
 
     def __missing__(self, word: str) -> int:
         plain, of = core(word), kind(word)
         title = of == LITERAL and len(plain) > 1 and plain[0].isupper() and plain[1:].islower()
-        code = _hash(PLACEHOLDERS.get(of) or plain.lower()) | of | TITLE * title | END * bool(STOP.search(word))
-        if len(self) >= 1 << 17:
+        own = _hash(plain.lower())
+        made = (_hash(PLACEHOLDERS[of]) if of else own, own, of | TITLE * title | END * bool(STOP.search(word)))
+        for column, value in zip(self.tables, made, strict=True):
+            column.append(value)
+        self[word] = len(self.tables[0]) - 1
+        return len(self.tables[0]) - 1
+
+    def of(self, words: list[str]) -> list[np.ndarray]:
+        if len(self) > KNOWN_WORDS:
             self.clear()
-        self[word] = code
-        return code
+            for column in self.tables:
+                column.clear()
+        at = list(map(self.__getitem__, words))
+        return [np.array([column[k] for k in at], kind) for column, kind in zip(self.tables, (np.uint64, np.uint64, np.uint8), strict=True)]
 
 
 #: Readings of a window. Whether a title-case word opens a sentence depends on what stands
 #: before it, which differs where a passage is quoted: besides the plain reading, a name that is
-#: the window's first word is also read as a literal, and a word that opens a sentence also as a name.
-PLAIN, FIRST_LITERAL, OPENERS_NAMES = 0, 1, 2
-#: What stands before the value of a slot that is a name only as an opener.
-OPENER = "<opener>"
-
-
-def template_codes(words: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words as literals or typed placeholders, whether each is such a
-    placeholder, a name (a word in title case that doesn't begin a sentence), or a word in title case that does."""
-    got = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    flags = (got & np.uint64(FLAGS)).astype(np.uint8)
-    begins = np.ones(len(words), bool)
-    begins[1:] = flags[:-1] & END > 0
-    title = flags & TITLE > 0
-    return got - flags, flags & 3 > 0, title & ~begins, title & begins
-
-
-def window_hashes(hashes: np.ndarray, typed: np.ndarray, names: np.ndarray, openers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Reading, start and hash of each window that has enough literal words, in each of the readings that differ."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    slot = np.stack([names, names, names | openers])
-    word = np.where(slot, NAME_CODE, hashes)
-    literal = ~(slot | typed)
-    rolled, literals, opened = np.full((3, n), width, np.uint64), np.zeros((3, n), np.int8), np.zeros(n, bool)
-    for k in range(width):
-        here, plain = word[:, k : k + n], literal[:, k : k + n]
-        if k == 0:
-            here, plain = here.copy(), plain.copy()
-            here[FIRST_LITERAL], plain[FIRST_LITERAL] = hashes[:n], ~typed[:n]
-        rolled = (rolled ^ here) * np.uint64(0x9E3779B97F4A7C15)
-        rolled ^= rolled >> np.uint64(32)
-        literals += plain
-        opened |= openers[k : k + n]
-    enough = literals >= min(LEAST_LITERALS, width)
-    enough[FIRST_LITERAL] &= names[:n]
-    enough[OPENERS_NAMES] &= opened
-    reading, at = np.nonzero(enough)
-    return reading, at, rolled[reading, at]
-
-
-def window_text(words: list[str], names: np.ndarray, openers: np.ndarray, reading: int, at: int, width: int) -> tuple[str, list[str]]:
-    """The template of a window in a reading and the values of its slots, each with its placeholder."""
-    out, values = [], []
-    for k in range(at, at + width):
-        plain = core(words[k])
-        opener = reading == OPENERS_NAMES and openers[k]
-        named = opener or names[k] and not (reading == FIRST_LITERAL and k == at)
-        mark = NAME if named else PLACEHOLDERS.get(kind(words[k]))
-        out.append(mark or plain.lower())
-        if mark:
-            values.append(f"{OPENER if opener else mark}{plain.lower()}")
-    return " ".join(out), values
-
-
-WINDOWS = "id long, at long, width int, n_words long, hash long, template string, slots array<string>"
-
-
-def windows(rows: DataFrame, key: str, widths: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """The template windows of rows(key, text). Without widths, of one width for each row: WINDOW
-    or the whole of a shorter text. With a bitmap, only windows whose bit is set."""
+#: the window's first word is also read as a literal, and a word that opens a sentence also as a
+#: name. The last reading takes the words themselves.
+PLAIN, FIRST_LITERAL, OPENERS_NAMES, VERBATIM = 0, 1, 2, 3
+#: What stands before the value of a slot that is a name only as an opener, and before a verbatim window.
+OPENER, QUOTED = "<opener>", "= "
+BASE = 0x9E3779B97F4A7C15
+STEPS, BACK = (np.cumprod(np.r_[np.uint64(1), np.full(CHUNK + REACH, v, np.uint64)]) for v in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+class Sums:
+    """Running sums of a row of words, from which the hash of any window follows."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.sums = np.r_[np.uint64(0), np.cumsum(hashes * BACK[: len(hashes)])]
+
+    def windows(self, at: np.ndarray, width: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the windows; first is what the hash of each one's first word is to grow by."""
+        value = (self.sums[at + width] - self.sums[at]) * STEPS[at]
+        value = (value if first is None else value + first) + width.astype(np.uint64)
+        value = (value ^ value >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        return value ^ value >> np.uint64(29)
+
+
+class Chunk:
+    """Some words of one or more texts, end to end, with what their windows need."""
+
+    def __init__(self, pieces: list[tuple[int, int, list[str], int, bool, bool]], codes: Codes) -> None:
+        """pieces: row, place of the first word in its text, words, how many of them may begin a window,
+        whether the first begins a sentence, whether the words are the whole text."""
+        self.words = [w for piece in pieces for w in piece[2]]
+        sizes = np.array([len(piece[2]) for piece in pieces])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        self.row, self.place = (np.repeat([piece[c] for piece in pieces], sizes) for c in (0, 1))
+        self.place = self.place + np.arange(len(self.words)) - np.repeat(starts, sizes)
+        self.left = np.repeat(ends, sizes) - np.arange(len(self.words))
+        self.begins_window = np.arange(len(self.words)) - np.repeat(starts, sizes) < np.repeat([piece[3] for piece in pieces], sizes)
+        self.whole = np.repeat([piece[5] for piece in pieces], sizes)
+        self.hashes, self.own, flags = codes.of(self.words)
+        begins = np.ones(len(self.words), bool)
+        begins[1:] = flags[:-1] & END > 0
+        begins[starts] = [piece[4] for piece in pieces]
+        title = flags & TITLE > 0
+        self.typed, self.names, self.openers = flags & 3 > 0, title & ~begins, title & begins
+
+    def windows(self, widths: set[int]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(reading, places, widths, hashes) of all windows: growing ones for WINDOW, fixed ones for smaller widths."""
+        out = []
+        quoted, slots = Sums(self.own), {PLAIN: self.names, OPENERS_NAMES: self.names | self.openers}
+        sums, literal = {}, {}
+        for reading, slot in slots.items():
+            sums[reading] = Sums(np.where(slot, NAME_CODE, self.hashes))
+            literal[reading] = np.flatnonzero(~(slot | self.typed))
+        opened = np.r_[0, np.cumsum(self.openers)]
+
+        def add(reading: int, at: np.ndarray, width: np.ndarray) -> None:
+            if reading == VERBATIM:
+                found = quoted.windows(at, width)
+            elif reading == FIRST_LITERAL:
+                found = sums[PLAIN].windows(at, width, self.hashes[at] - NAME_CODE)
+            else:
+                if reading == OPENERS_NAMES:
+                    some = opened[at + width] > opened[at]
+                    at, width = at[some], width[some]
+                found = sums[reading].windows(at, width)
+            out.append((reading, at, width, found))
+
+        for least in sorted(widths):
+            fits = self.begins_window & (self.left >= least)
+            if least < LEAST_WORDS:
+                at = np.flatnonzero(fits & self.whole & (self.place == 0) & (self.left == least))
+                add(VERBATIM, at, np.full(len(at), least))
+                continue
+            spots = np.flatnonzero(fits)
+            for reading in (PLAIN, FIRST_LITERAL, OPENERS_NAMES):
+                at = spots[self.names[spots]] if reading == FIRST_LITERAL else spots
+                places = literal[PLAIN if reading == FIRST_LITERAL else reading]
+                # Where the window has its last needed literal; in FIRST_LITERAL the first word is one.
+                nth = np.searchsorted(places, at) + LITERALS - 1 - (reading == FIRST_LITERAL)
+                known = nth < len(places)
+                at, nth = at[known], nth[known]
+                need = places[nth] - at + 1
+                width = np.maximum(need, least)
+                good = (width <= np.minimum(self.left[at], REACH)) if least == WINDOW else width == least
+                add(reading, at[good], width[good])
+                if reading == PLAIN:
+                    # Where the first words have too few literals, they count as they are.
+                    scarce = np.ones(len(self.words), bool)
+                    scarce[at[need <= least]] = False
+                    rest = spots[scarce[spots]]
+                    add(VERBATIM, rest, np.full(len(rest), least))
+        return out
+
+    def text(self, reading: int, at: int, width: int) -> tuple[str, list[str]]:
+        """The template of a window in a reading and the values of its slots, each with its placeholder."""
+        out, values = [], []
+        for k in range(at, at + width):
+            plain = core(self.words[k])
+            if reading == VERBATIM:
+                out.append(plain.lower())
+                continue
+            opener = reading == OPENERS_NAMES and self.openers[k]
+            named = opener or self.names[k] and not (reading == FIRST_LITERAL and k == at)
+            mark = NAME if named else PLACEHOLDERS.get(kind(self.words[k]))
+            out.append(mark or plain.lower())
+            if mark:
+                values.append(f"{OPENER if opener else mark}{plain.lower()}")
+        return QUOTED * (reading == VERBATIM) + " ".join(out), values
+
+
+WORDS = re.compile(r"\S+")
+
+
+def chunks(texts: list[str | None], codes: Codes) -> Iterator[Chunk]:
+    """Chunks of about CHUNK words: many short texts, or parts of a long one that overlap by a window."""
+    pieces, size = [], 0
+    for row, text in enumerate(texts):
+        found = iter((text or "").split()) if len(text or "") <= CHUNK else (m[0] for m in WORDS.finditer(text))
+        kept, place, begins = [], 0, True
+        while True:
+            room = max(CHUNK - size - len(kept), 1)
+            more = list(islice(found, room))
+            words, ended = kept + more, len(more) < room
+            free = len(words) if ended else max(len(words) - REACH + 1, 0)
+            if free:
+                pieces.append((row, place, words, free, begins, ended and place == 0))
+                size += len(words)
+                begins = bool(STOP.search(words[free - 1]))
+            kept, place = words[free:], place + free
+            if size >= CHUNK - REACH:
+                yield Chunk(pieces, codes)
+                pieces, size = [], 0
+            if ended:
+                break
+    if pieces:
+        yield Chunk(pieces, codes)
+
+
+def windows(rows: DataFrame, key: str, widths: set[int] | None, bitmap: np.ndarray | None) -> DataFrame:
+    """The template windows of rows(key, text): id, at, width, n_words, hash, template, slots. Without widths,
+    of the benchmark's items: WINDOW, or the number of words of a shorter item, and n_words is that of the
+    item. With a bitmap, only windows whose bit is set."""
     short_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    schema = rows.sparkSession.createDataFrame([], WINDOWS).schema
-    arrow = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("width", pa.int32()), ("n_words", pa.int64()), ("hash", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+    given = rows.select(F.col(key).alias("id"), "text")
+    kinds = {"id": given.schema["id"].dataType, "at": T.LongType(), "width": T.IntegerType(), "n_words": T.LongType(), "hash": T.LongType(), "template": T.StringType(), "slots": T.ArrayType(T.StringType())}
+    schema = T.StructType([T.StructField(name, of) for name, of in kinds.items()])
+    arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, bits = Codes(), shared.value
         for batch in batches:
-            out = []
-            for row, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                words = (text or "").split()
-                if len(words) < LEAST_WORDS:
-                    continue
-                hashes, typed, names, openers = template_codes(words, codes)
-                for width in widths or [min(WINDOW, len(words))]:
-                    reading, at, rolled = window_hashes(hashes, typed, names, openers, width)
+            texts = batch["text"].to_pylist()
+            totals = [len((t or "").split()) for t in texts] if widths is None else [0] * len(texts)
+            for chunk in chunks(texts, codes):
+                out = []
+                for reading, at, width, hashed in chunk.windows({*range(1, WINDOW + 1)} if widths is None else widths):
+                    if widths is None:
+                        good = width >= np.minimum(WINDOW, np.array(totals)[chunk.row[at]])
+                        at, width, hashed = at[good], width[good], hashed[good]
                     if bits is not None:
-                        spot = rolled & np.uint64(8 * len(bits) - 1)
-                        hit = bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1
-                        reading, at, rolled = reading[hit > 0], at[hit > 0], rolled[hit > 0]
-                    for r, k, h in zip(reading.tolist(), at.tolist(), rolled.view(np.int64).tolist(), strict=True):
-                        out.append((row, k, width, len(words), h, *window_text(words, names, openers, r, k, width)))
-            columns = zip(*out, strict=True) if out else [[]] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                        spot = hashed & np.uint64(8 * len(bits) - 1)
+                        hit = bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 > 0
+                        at, width, hashed = at[hit], width[hit], hashed[hit]
+                    for k, w, h in zip(at.tolist(), width.tolist(), hashed.view(np.int64).tolist(), strict=True):
+                        row = int(chunk.row[k])
+                        out.append((row, int(chunk.place[k]), w, totals[row], h, *chunk.text(reading, k, w)))
+                if out:
+                    row, *columns = zip(*out, strict=True)
+                    arrays = [batch["id"].take(pa.array(row)).cast(arrow.field("id").type), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return rows.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(cut, schema)
+    return given.mapInArrow(cut, schema)
 
 
 def window_bitmap(own: DataFrame) -> np.ndarray:
-    """The bitmap of the benchmark's window hashes, made by bytes; at most MOST_BITS bits."""
+    """The bitmap of the benchmark's window hashes, made in blocks by tasks; at most MOST_BITS bits."""
     bits = LEAST_BITS
     wanted = BITS_EACH * own.count()
     while bits < min(wanted, MOST_BITS):
         bits *= 2
     spot = F.col("hash").bitwiseAND(F.lit(bits - 1))
     parts = own.select(F.shiftrightunsigned(spot, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), spot.bitwiseAND(F.lit(7)).cast("int")).alias("mark"))
+    parts = parts.groupBy("byte").agg(F.bit_or("mark").alias("mark")).withColumn("block", F.shiftright("byte", BLOCK_LOG2))
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << BLOCK_LOG2, np.uint8)
+        out[rows["byte"].to_numpy() & (1 << BLOCK_LOG2) - 1] = rows["mark"].to_numpy()
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "bytes": [out.tobytes()]})
+
     out = np.zeros(bits // 8, np.uint8)
-    for row in parts.groupBy("byte").agg(F.bit_or("mark").alias("marks")).toLocalIterator():
-        out[row["byte"]] = row["marks"]
+    for row in parts.groupBy("block").applyInPandas(block, "block long, bytes binary").collect():
+        out[row["block"] << BLOCK_LOG2 :][: 1 << BLOCK_LOG2] = np.frombuffer(row["bytes"], np.uint8)
     return out
 
 
@@ -197,13 +312,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """Pairs (doc_id, item_id, matched_words, item_words, coverage) of documents that hold an item.
 
     coverage is the share of the item's words inside matched windows of alignments whose
-    names agree; names that open a sentence, numbers and units needn't. Null texts and items of fewer than LEAST_WORDS words match nothing;
-    rows that share a doc_id (or have none) are taken together; repeated items with
-    one id count once; other columns are ignored; empty tables give no pairs.
+    names agree; names that open a sentence, numbers and units needn't. Null and empty texts and items match
+    nothing; items of fewer than LEAST_WORDS words match texts that are the same and no more;
+    texts may be of any length. Rows that share a doc_id (or have none) are taken together;
+    repeated items with one id count once; other columns are ignored; empty tables give no pairs.
     """
     own = written(windows(benchmark, "item_id", None, None).distinct(), "benchmark-windows")
-    widths = sorted(r["width"] for r in own.select("width").distinct().collect())
-    theirs = windows(docs, "doc_id", widths or [WINDOW], window_bitmap(own))
+    widths = {r["width"] for r in own.select(F.least("width", F.lit(WINDOW)).alias("width")).distinct().collect()}
+    theirs = windows(docs, "doc_id", widths, window_bitmap(own))
     item = own.select("hash", "template", "width", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"))
     doc = theirs.select("hash", "template", F.col("id").alias("doc_id"), "at", F.col("slots").alias("doc_slots"))
     hits = doc.join(item, ["hash", "template"]).select(

@@ -1,5 +1,9 @@
 """Benchmark items asked again: other numbers, names at the start of a sentence, short items behind a label."""
 
+import random
+import re
+
+from logloom.llm import decontamination
 from logloom.llm.decontamination import contaminated
 
 FILLER = "plain words that lead into the text and have no bearing on it"
@@ -29,3 +33,174 @@ def test_names_that_open_a_sentence(spark):
 def test_short_items_wherever_they_stand(spark):
     docs = [f"{FILLER}. {SHORT}", f"{FILLER} Q: {SHORT} {FILLER}", f"{FILLER}\n{SHORT}\n{FILLER}", f"{FILLER}, {SHORT.lower()}"]
     assert found(spark, docs, [SHORT]) == {(k, 0): 1.0 for k in range(4)}
+
+
+def test_items_made_of_values_are_found_with_other_values(spark):
+    item = "If 5 kg cost 10 dollars , 7 kg cost ?"
+    other = item.replace("5", "3").replace("10", "12").replace("7", "9")
+    got = found(spark, [f"{FILLER} {other} {FILLER}", f"{FILLER} {item}", FILLER, "If 5 kg cost much"], [item])
+    assert set(got) == {(0, 0), (1, 0)} and min(got.values()) >= 0.7
+
+
+def test_items_without_literals_are_found_word_by_word(spark):
+    row = "12 15 18 21 24 27 30"
+    assert set(found(spark, [f"{FILLER} {row} {FILLER}", f"{FILLER} 12 15 18 22 25 28 31 {FILLER}", row], [row])) == {(0, 0), (2, 0)}
+
+
+def test_items_of_a_word_or_two_are_found_as_whole_texts_only(spark):
+    docs = ["Blue whale.", "A blue whale swims here", "blue Whale", "Oslo", "in Oslo", "3 5", "3 6"]
+    assert set(found(spark, docs, ["Blue whale", "Oslo?", "3 5"])) == {(0, 0), (2, 0), (3, 1), (5, 2)}
+
+
+def test_long_texts_and_chunks(spark, monkeypatch):
+    words = [f"w{k % 977}" for k in range(100_000)]
+    words[40_000:40_000] = PENS.split()
+    words[-3:-3] = SHORT.split()
+    assert found(spark, [" ".join(words)], [PENS, SHORT]) == {(0, 0): 1.0, (0, 1): 1.0}
+    codes = decontamination.Codes()
+    text = " ".join(rng_text(random.Random(5), 400))
+    whole = chunk_windows(text, codes)
+    for size in (17, 20, 33, 100):
+        monkeypatch.setattr(decontamination, "CHUNK", size)
+        assert chunk_windows(text, codes) == whole
+
+
+def chunk_windows(text, codes):
+    return sorted(
+        (reading, int(chunk.place[k]), w, h, *map(tuple, chunk.text(reading, k, w)))
+        for chunk in decontamination.chunks(["so", text, "and on"], codes)
+        for reading, at, width, hashed in chunk.windows({3, 4, 5})
+        for k, w, h in zip(at.tolist(), width.tolist(), hashed.tolist(), strict=True)
+        if chunk.row[k] == 1
+    )
+
+
+NAMES = "Olsen Berg Maria Jonas Ida Carl Nora Emil Anna Lukas Petra Igor".split()
+GOODS = "eggs pens books stones lamps coins apples boxes letters shells".split()
+UNIT_WORDS = "kg km hours days dollars meters minutes weeks".split()
+VERBS = "buys sells carries paints counts mends finds keeps sorts wraps".split()
+WORDS = [f"{a}{b}" for a in "ba ke li mo nu ra se ti vo zu".split() for b in "dan fel gor hin jat kul mer nop ris sut".split()]
+
+
+def rng_text(rng, n):
+    pool = [*WORDS, *NAMES, *UNIT_WORDS, "12", "7", "3.5", "the", "of", "and", "Then.", "so.", "five"]
+    return [rng.choice(pool) for _ in range(n)]
+
+
+def parts(rng):
+    """An item as literal pieces and slots: ("name", which), ("num",), ("unit",)."""
+    out = []
+    for _ in range(rng.randrange(2, 5)):
+        out += [("name", rng.randrange(2)), rng.choice(VERBS), ("num",), rng.choice([rng.choice(GOODS), ("unit",)]), rng.choice(WORDS), "for", rng.choice(WORDS)]
+        out += rng.choice([["in", ("num",), ("unit",)], ["from", "the", rng.choice(WORDS)], ["at", ("num",), ("unit",), "each"]])
+        out += rng.choice([["and"], ["while"], ["then"]])
+    return [*out, "how", "many", rng.choice(GOODS), rng.choice(WORDS), rng.choice(WORDS), "after", rng.choice(WORDS) + "?"]
+
+
+def spoken(rng, item):
+    names = rng.sample(NAMES, 2)
+    return " ".join(p if isinstance(p, str) else names[p[1]] if p[0] == "name" else str(rng.randrange(2, 99)) if p[0] == "num" else rng.choice(UNIT_WORDS) for p in item)
+
+
+def test_recall_and_precision_on_items_asked_again(spark):
+    """Of 200 items asked again with other numbers, names and units, at least 0.9 are found; texts of the
+    same words in another order never are, and of other items of the same maker, built alike, few."""
+    rng = random.Random(21)
+    items = [parts(rng) for _ in range(200)]
+    lead = lambda: " ".join(rng_text(rng, rng.randrange(0, 60)))
+    again = [f"{lead()} {spoken(rng, item)} {lead()}" for item in items]
+    clean = [" ".join(rng.sample((words := spoken(rng, item).split()), len(words))) for item in items] + [f"{lead()} {spoken(rng, parts(rng))}" for _ in range(200)]
+    got = found(spark, again + clean, [spoken(rng, item) for item in items])
+    hit = sum((k, k) in got for k in range(200))
+    wrong = [(d, i) for d, i in got if d != i]
+    assert hit >= 180 and len(wrong) <= 0.05 * len(got)
+    assert not [d for d, _ in wrong if 200 <= d < 400]
+    print(f"recall {hit / 200:.3f}, precision {1 - len(wrong) / len(got):.3f}")
+
+
+def plain_windows(text, whole_only=True):
+    """(place, template, values) of all windows, word by word."""
+    words = text.split()
+    n, base = len(words), min(5, len(words))
+    if n == 0:
+        return []
+    kinds = [decontamination.kind(w) for w in words]
+    cores = [decontamination.core(w) for w in words]
+    title = [k == 0 and len(c) > 1 and c[0].isupper() and c[1:].islower() for k, c in zip(kinds, cores, strict=True)]
+    opens = [k == 0 or bool(re.search(r"[.!?][\W_]*$", words[k - 1])) for k in range(n)]
+    marks = {1: "<num>", 2: "<unit>", 3: "<num><unit>"}
+    out = []
+
+    def one(at, base, mode):
+        if mode == "first" and not (title[at] and not opens[at]):
+            return None
+        shown, values, literals, k = [], [], 0, at
+        while k < n and (k - at < base or (base == 5 and literals < 3 and k - at < 16)):
+            opener = title[k] and opens[k] and mode == "openers"
+            name = opener or (title[k] and not opens[k] and not (mode == "first" and k == at))
+            mark = "<name>" if name else marks.get(kinds[k])
+            literals += mark is None
+            shown.append(mark or cores[k].lower())
+            values += [(("<opener>" if opener else mark) + cores[k].lower())] if mark else []
+            k += 1
+        if k - at < base or literals < 3 or (mode == "openers" and not any(title[j] and opens[j] for j in range(at, k))):
+            return None
+        return at, " ".join(shown), tuple(values)
+
+    for base in [base] if whole_only else [3, 4, 5]:
+        for at in range(n - base + 1):
+            if base >= 3:
+                out += [w for mode in ("plain", "first", "openers") if (w := one(at, base, mode))]
+            few = sum(kinds[k] == 0 and not (title[k] and not opens[k]) for k in range(at, at + base)) < 3
+            if base < 3 or few:
+                out.append((at, "= " + " ".join(c.lower() for c in cores[at : at + base]), ()))
+    if not whole_only and n < 3:
+        out.append((0, "= " + " ".join(c.lower() for c in cores), ()))
+    return out
+
+
+def plain_contaminated(docs, items):
+    out = {}
+    for d, doc in enumerate(docs):
+        theirs = {}
+        for at, template, values in plain_windows(doc, False):
+            theirs.setdefault(template, []).append((at, values))
+        for i, item in enumerate(items):
+            shifts = {}
+            for at, template, values in plain_windows(item):
+                for place, other in theirs.get(template, []):
+                    shifts.setdefault(place - at, []).append((at, len(template.removeprefix("= ").split()), values, other))
+            words = set()
+            for hits in shifts.values():
+                stands = {}
+                for _, _, values, other in hits:
+                    for a, b in zip(values, other, strict=True):
+                        if a.startswith("<name>"):
+                            stands.setdefault(a, set()).add(b.replace("<opener>", "<name>"))
+                if all(len(s) == 1 for s in stands.values()):
+                    words |= {k for at, wide, _, _ in hits for k in range(at, at + wide)}
+            if words and 2 * len(words) >= len(item.split()):
+                out[d, i] = len(words) / len(item.split())
+    return out
+
+
+def test_contaminated_matches_a_plain_version(spark):
+    rng = random.Random(9)
+    items = [spoken(rng, parts(rng)) for _ in range(15)] + [" ".join(rng_text(rng, n)) for n in (1, 2, 3, 3, 4, 5, 6, 9, 12, 20)] + ["12 15 18 21 24", PENS, OPENS, SHORT, ""]
+    docs = []
+    for _ in range(60):
+        words = rng_text(rng, rng.randrange(0, 50))
+        for item in rng.sample(items, 2):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = [rng.choice(NAMES) if w in NAMES and rng.random() < 0.5 else w for w in item.split() if rng.random() < 0.95]
+        docs.append(" ".join(words))
+    docs += items
+    expected = plain_contaminated(docs, items)
+    assert len(expected) > 40
+    assert found(spark, docs, items) == expected
+
+
+def test_ids_may_be_texts(spark):
+    docs = spark.createDataFrame([("a", SHORT)], "doc_id string, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame([("q1", SHORT)], "item_id string, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [("a", "q1")]

@@ -234,8 +234,8 @@ def test_windows_through_the_bitmap_match_all_windows(spark):
     docs = spark.createDataFrame([(k, f"so the {k} men of Oslo walk {k + 1} km to the old mill and {ITEM}") for k in range(20)], DOCS)
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     own = decontamination.windows(bench, "item_id", None, None).distinct()
-    everything = decontamination.windows(docs, "doc_id", [5], None)
-    sieved = decontamination.windows(docs, "doc_id", [5], decontamination.window_bitmap(own))
+    everything = decontamination.windows(docs, "doc_id", {5}, None)
+    sieved = decontamination.windows(docs, "doc_id", {5}, decontamination.window_bitmap(own))
     columns = ["id", "at", "hash", "template"]
     hits = own.select("hash").distinct()
     assert rows(everything.join(hits, "hash"), *columns) == rows(sieved.join(hits, "hash"), *columns)
