@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +33,13 @@ def short_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session has none (a local run, tests) is a temporary folder
-    made and set.
+    Only where the session has none and runs in one process (tests) is a temporary folder
+    made and set; executors elsewhere would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,6 +67,22 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """written() for tables that are removed at the end; what is made of them must be written by then."""
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, label: str) -> DataFrame:
+        made.append(written(df, label))
+        return made[-1]
+
+    try:
+        yield put
+    finally:
+        for df in made:
+            removed(spark, df)
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -78,6 +99,7 @@ def without_ids(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     shuffled, a larger one is joined by shuffles that Spark may split.
     """
     gone = written(ids.select(F.col("doc_id").alias("gone_id")).distinct(), label)
+    # A table of ids that the result still reads; it stays.
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +41,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, put: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """From links(u, v) to (node, root): each linked node with the least node of its component.
 
     Nodes are integers; self-links and repeats don't matter; nulls are dropped; no links
     give no rows. Each round replaces paths by stars, so the number of rounds grows
     with the logarithm of the longest path; every round is written to the shared
     folder. The least-neighbour sums are pre-aggregated before the shuffle, and the joins
-    back to them may be split where one node has very many links.
+    back to them may be split where one node has very many links. put writes the tables
+    of the rounds; the last one is read by the result.
     """
     spark = links.sparkSession
-    edges = written(_downward(links.where("u IS NOT NULL AND v IS NOT NULL")), "links")
+    edges = put(_downward(links.where("u IS NOT NULL AND v IS NOT NULL")), "links")
     state = _state(edges)
     while state[0]:
         starred = _downward(_large_star(edges))
-        contracted = written(_downward(_small_star(starred)), "stars")
+        contracted = put(_downward(_small_star(starred)), "stars")
         removed(spark, edges)
         edges, before, state = contracted, state, _state(contracted)
         if state == before:

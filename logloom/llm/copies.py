@@ -1,17 +1,18 @@
 """Copies for the pipeline: documents that share most of their five-word shingles.
 
-Two documents are linked if the Jaccard similarity of their sets of shingles is at least
-SIMILARITY, or if their fingerprints are within the distance of operator 5. Pairs of the
-first kind come from MinHash bands and are checked exactly, in joins. A band bucket
-is first compared with its least set only; what these links have put into one component
-needs no further pair, so a large group of near copies takes pairs in proportion to
-its size. The pairs of a bucket whose ends are still apart are all checked then, so the
-components are those of all pairs of all buckets.
+Two documents are linked if their fingerprints are within the distance of operator 5, found
+at its anchors, or if the Jaccard similarity of their sets of shingles is at least SIMILARITY.
+At that similarity some ten of 64 bits differ, which no covering of practical size finds; so pairs
+of the second kind come from MinHash bands beside the anchors and are checked exactly, in joins.
+A band bucket is first compared with one leader only, of which there are LEADERS by turns; what
+fingerprints and these links have put into one component needs no further pair, so a large group
+of near copies takes pairs in proportion to its size. The pairs of a bucket whose ends are
+still apart are all checked then, so the components are those of all pairs of all buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,18 +20,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import BROADCAST_IDS, short_batches, without_ids, written
+from logloom.llm.common import BROADCAST_IDS, scratch, short_batches, without_ids, written
 from logloom.llm.components import components
-from logloom.llm.simhash import SEED, fingerprint, links
+from logloom.llm.simhash import SEED, fingerprint, further_links, star_links
 
 #: Words of a shingle; the similarity that links, as a fraction.
 SHINGLE, SIMILARITY = 5, (4, 5)
 #: MinHash bands and rows of a band: a pair of similarity 0.8 is in no common bucket with
 #: a chance of (1 - 0.8 ** 5) ** 24, which is 7 in 100,000.
 BANDS, ROWS = 24, 5
+#: Orders by which the bands choose the leader of a bucket.
+LEADERS = 3
 #: Shingle hashes that are permuted at once.
 BLOCK = 1 << 12
 
+Put = Callable[[DataFrame, str], DataFrame]
+
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _random.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
@@ -92,59 +97,66 @@ def shingle_sets(sketches: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(u, v) of set ids whose Jaccard similarity is at least SIMILARITY."""
+    """The pairs(u, v, ...) of set ids whose Jaccard similarity is at least SIMILARITY."""
     first = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("a"))
     second = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(first, "u").join(second, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
     part, whole = SIMILARITY
-    return both.where(F.col("shared") * whole >= (F.size("a") + F.size("b") - F.col("shared")) * part).select("u", "v")
-
-
-def similar_links(sketches: DataFrame) -> DataFrame:
-    """Links u < v of set ids with the components of all similar pairs that share a bucket."""
-    buckets = sketches.select("set_id", F.explode("buckets").alias("bucket")).distinct()
-    least = buckets.groupBy("bucket").agg(F.min("set_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = written(buckets.join(least, "bucket"), "shared-buckets")
-    sets = written(shingle_sets(sketches, written(shared.select("set_id").distinct(), "shared-sets")), "shingle-sets")
-    star = shared.where("set_id != u").select("u", F.col("set_id").alias("v")).distinct()
-    found = written(similar(star, sets), "star-links")
-    rooted = shared.join(components(found), F.col("set_id") == F.col("node"), "left").select(
-        "bucket", "u", "set_id", F.coalesce("root", "set_id").alias("root")
+    return both.where(F.col("shared") * whole >= (F.size("a") + F.size("b") - F.col("shared")) * part).select(*pairs.columns)
+
+
+def rooted_by(sets: DataFrame, links: DataFrame, put: Put) -> DataFrame:
+    """sets(set_id, root, ...) with the roots that links(u, v) between roots lead to."""
+    found = components(links, put).toDF("node", "new_root")
+    return sets.join(found, sets["root"] == found["node"], "left").withColumn("root", F.coalesce("new_root", "root")).drop("node", "new_root")
+
+
+def bucket_links(rooted: DataFrame, buckets: DataFrame, sketches: DataFrame, put: Put) -> DataFrame:
+    """Links (u, v) of roots of rooted(set_id, root) by which all similar pairs of a bucket are joined."""
+    # Buckets of one root have nothing to tell.
+    named = buckets.join(rooted.select("set_id", "root"), "set_id")
+    rank = F.xxhash64("set_id", F.col("band") % LEADERS)
+    leaders = named.groupBy("band", "bucket").agg(
+        F.min_by(F.struct(F.col("set_id").alias("u"), F.col("root").alias("root_u")), rank).alias("leader"), (F.min("root") != F.max("root")).alias("apart")
     )
-    rooted = written(rooted, "rooted-buckets")
-    apart = rooted.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("bucket")
-    # The least set has been compared with all others.
-    rest = rooted.where("set_id != u").join(apart, "bucket", "left_semi")
-    left = rest.select("bucket", F.col("set_id").alias("u"), F.col("root").alias("root_u"))
-    right = rest.select("bucket", F.col("set_id").alias("v"), F.col("root").alias("root_v"))
-    more = left.join(right, "bucket").where("u < v AND root_u != root_v").select("u", "v").distinct()
-    return found.unionByName(written(similar(more, sets), "further-links"))
+    named = put(named.join(leaders.where("apart").select("band", "bucket", "leader.*"), ["band", "bucket"]), "buckets")
+    sets = put(shingle_sets(sketches, put(named.select("set_id").distinct(), "bucket-sets")), "shingle-sets")
+    star = named.where("root != root_u").select("u", F.col("set_id").alias("v"), "root_u", F.col("root").alias("root_v")).distinct()
+    found = put(similar(star, sets), "star-links")
+    # What the leaders have joined needs no pair any more; they have been compared with all others.
+    joined = components(found.select("root_u", "root_v").toDF("u", "v"), put).toDF("node", "last_root")
+    late = named.where("set_id != u").join(joined, named["root"] == joined["node"], "left").select("band", "bucket", "set_id", F.coalesce("last_root", "root").alias("root"))
+    still = late.groupBy("band", "bucket").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("band", "bucket")
+    late = put(late.join(still, ["band", "bucket"]), "late-buckets")
+    left, right = (late.select("band", "bucket", F.col("set_id").alias(at), F.col("root").alias(f"root_{at}")) for at in ("u", "v"))
+    more = left.join(right, ["band", "bucket"]).where("u < v AND root_u != root_v").select("u", "v", "root_u", "root_v").distinct()
+    return found.unionByName(put(similar(more, sets), "late-links")).select("root_u", "root_v").toDF("u", "v")
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """From docs(doc_id, text) to (doc_id, component_id), one row for each row of docs.
 
     component_id is the least doc_id of those that links lead to; nulls, empty texts and
-    repeated rows are taken as in simhash.near_duplicates.
+    repeated rows are taken as in simhash.near_duplicates. The result is written to the
+    shared folder, the tables on the way are removed.
     """
-    sketches = written(sketched(docs), "sketches")
-    nodes = written(sketches.groupBy("set_id", "fp").agg(F.min("doc_id").alias("least_id")), "sets")
-    # A fingerprint stands for the least of its sets.
-    named = nodes.groupBy("fp").agg(F.min("set_id").alias("set_id"))
-    near = links(named.select("fp")).distinct()
-    near = (
-        near.join(named.select(F.col("fp").alias("u"), F.col("set_id").alias("set_u")), "u")
-        .join(named.select(F.col("fp").alias("v"), F.col("set_id").alias("set_v")), "v")
-        .select(F.col("set_u").alias("u"), F.col("set_v").alias("v"))
-    )
-    equal = nodes.join(named.select("fp", F.col("set_id").alias("v")), "fp").where("set_id != v").select(F.col("set_id").alias("u"), "v")
-    roots = components(similar_links(sketches).unionByName(near).unionByName(equal))
-    rooted = nodes.groupBy("set_id").agg(F.min("least_id").alias("least_id")).join(roots, F.col("set_id") == F.col("node"), "left").select(
-        "set_id", "least_id", F.coalesce("root", "set_id").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("set_id", "component_id")
-    return sketches.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "component_id")
+    with scratch(docs.sparkSession) as put:
+        sketches = put(sketched(docs), "sketches")
+        nodes = put(sketches.groupBy("set_id", "fp").agg(F.min("doc_id").alias("least_id")), "sets")
+        # Roots are fingerprints: a set is where the least of its texts' fingerprints is.
+        sets = nodes.groupBy("set_id").agg(F.min("fp").alias("root"), F.min("least_id").alias("least_id"))
+        prints = nodes.select("fp").distinct()
+        ends = nodes.join(sets.select("set_id", "root"), "set_id").where("fp != root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+        stars = components(put(star_links(prints).unionByName(ends), "print-links"), put)
+        rooted = put(prints.join(stars, prints["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "prints")
+        near = put(further_links(rooted), "near-prints")
+        first = rooted.select(F.col("fp").alias("root"), F.col("root").alias("first_root"))
+        sets = put(rooted_by(sets.join(first, "root").select("set_id", "least_id", F.col("first_root").alias("root")), near, put), "rooted-sets")
+        buckets = sketches.select("set_id", F.posexplode("buckets").alias("band", "bucket")).distinct()
+        sets = rooted_by(sets, bucket_links(sets, buckets, sketches, put), put)
+        least = sets.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        classes = sets.join(least, "root").select("set_id", "component_id")
+        return written(sketches.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "component_id"), "copies")
 
 
 def one_of_copies(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import short_batches, table, without_ids, written
+from logloom.llm.common import scratch, short_batches, table, without_ids, written
 from logloom.llm.components import components
 
 #: Words of a shingle, bits that may differ, seed of the shingle hashes.
@@ -84,25 +84,25 @@ def _anchor(word: Column, which: int) -> Column:
     return word.bitwiseOR(F.lit(which << 32))
 
 
-def with_home(prints: DataFrame) -> DataFrame:
-    """One row for each half of each fingerprint, with the anchor nearest to it."""
+def with_home(prints: DataFrame, *carry: str) -> DataFrame:
+    """One row (fp, carry, anchor) for each half of each fingerprint, with the anchor nearest to it."""
     rows = []
     for which in (0, 1):
-        word = prints.select("fp", _half(F.col("fp"), which).alias("word"))
-        word = word.select("fp", "word", _syndrome(F.col("word")).alias("syndrome"))
+        word = prints.select("fp", *carry, _half(F.col("fp"), which).alias("word"))
+        word = word.select("fp", *carry, "word", _syndrome(F.col("word")).alias("syndrome"))
         fixed = F.when(F.col("syndrome") == 0, F.col("word")).otherwise(
             F.col("word").bitwiseXOR(_flip(F.col("syndrome")))
         )
-        rows.append(word.select("fp", _anchor(fixed, which).alias("anchor")))
+        rows.append(word.select("fp", *carry, _anchor(fixed, which).alias("anchor")))
     return rows[0].unionByName(rows[1])
 
 
-def with_anchors(prints: DataFrame) -> DataFrame:
-    """One row for each fingerprint, half and anchor within 2 bits of that half."""
+def with_anchors(prints: DataFrame, *carry: str) -> DataFrame:
+    """One row (fp, carry, anchor) for each fingerprint, half and anchor within 2 bits of that half."""
     rows = []
     for which in (0, 1):
-        word = prints.select("fp", _half(F.col("fp"), which).alias("word"))
-        word = word.select("fp", "word", _syndrome(F.col("word")).alias("syndrome"))
+        word = prints.select("fp", *carry, _half(F.col("fp"), which).alias("word"))
+        word = word.select("fp", *carry, "word", _syndrome(F.col("word")).alias("syndrome"))
         w, s = F.col("word"), F.col("syndrome")
         home = F.when(s == 0, w).otherwise(w.bitwiseXOR(_flip(s)))
         near = F.array(home, home.bitwiseXOR(F.lit(1 << 31)))
@@ -112,21 +112,35 @@ def with_anchors(prints: DataFrame) -> DataFrame:
             lambda p: (s != 0) & (p != s) & (p < p.bitwiseXOR(s)),
         )
         far = F.transform(pairs, lambda p: w.bitwiseXOR(_flip(p)).bitwiseXOR(_flip(p.bitwiseXOR(s))))
-        rows.append(word.select("fp", F.explode(F.concat(near, far)).alias("anchor")).select("fp", _anchor(F.col("anchor"), which).alias("anchor")))
+        rows.append(word.select("fp", *carry, F.explode(F.concat(near, far)).alias("anchor")).select("fp", *carry, _anchor(F.col("anchor"), which).alias("anchor")))
     return rows[0].unionByName(rows[1])
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs u < v of different fingerprints that differ in at most DISTANCE bits.
+def apart(u: str, v: str) -> Column:
+    return F.bit_count(F.col(u).bitwiseXOR(F.col(v)))
 
-    prints(fp) holds each fingerprint once. A pair can be seen in both halves; repeats
-    are left to the component step. Spark may split an anchor with very many
+
+def star_links(prints: DataFrame) -> DataFrame:
+    """Links u != v between fingerprints with one home anchor, each with the least and the largest
+    one there: at most four for each fingerprint. They join up most of a large group."""
+    home = with_home(prints)
+    ends = home.groupBy("anchor").agg(F.min("fp").alias("least"), F.max("fp").alias("largest")).where("least != largest")
+    pairs = home.join(ends, "anchor").select(F.col("fp").alias("v"), F.explode(F.array("least", "largest")).alias("u"))
+    return pairs.where((F.col("u") != F.col("v")) & (apart("u", "v") <= DISTANCE)).select("u", "v").distinct()
+
+
+def further_links(rooted: DataFrame) -> DataFrame:
+    """The pairs of different roots (u, v) of rooted(fp, root), of which two fingerprints differ in at most DISTANCE bits.
+
+    Each fingerprint is at hand once. Every fingerprint is compared with those at home at each of its
+    anchors; a pair can be seen in both halves. Spark may split an anchor with very many
     fingerprints over tasks, as both sides are plain shuffles.
     """
-    home = with_home(prints).select(F.col("anchor"), F.col("fp").alias("u"))
-    near = with_anchors(prints).select(F.col("anchor"), F.col("fp").alias("v"))
-    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    return home.join(near, "anchor").where((F.col("u") < F.col("v")) & (apart <= DISTANCE)).select("u", "v")
+    home = with_home(rooted, "root").select("anchor", F.col("fp").alias("u"), F.col("root").alias("root_u"))
+    near = with_anchors(rooted, "root").select("anchor", F.col("fp").alias("v"), F.col("root").alias("root_v"))
+    # Either end is at home somewhere, so half of the comparisons are enough.
+    close = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & (apart("u", "v") <= DISTANCE)
+    return home.join(near, "anchor").where(close).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -136,18 +150,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     DISTANCE bits. Null and empty texts have fingerprint 0 and are linked like any other;
     a row with a null doc_id gets a component, but its id never names one (null if no
     other id is there); repeated rows stay; an empty table gives an empty one. Equal
-    fingerprints are folded to one before they are compared, so exact
-    copies cost nothing there.
+    fingerprints are folded to one before they are compared, so exact copies cost nothing there; of a
+    large group of near copies only the pairs that stars have not joined are links. The
+    result is written to the shared folder, the tables on the way are removed.
     """
-    prints = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    with scratch(docs.sparkSession) as put:
+        prints = put(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
+        nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+        stars = put(star_links(nodes.select("fp")), "star-links")
+        found = components(stars, put)
+        rooted = put(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
+        joined = components(further_links(rooted), put).toDF("node", "last_root")
+        named = rooted.join(joined, rooted["root"] == joined["node"], "left").select("fp", "least_id", F.coalesce("last_root", "root").alias("root"))
+        least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        classes = named.join(least, "root").select("fp", "component_id")
+        return written(prints.join(classes, "fp").select("doc_id", "fp", "component_id"), "near-duplicates")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

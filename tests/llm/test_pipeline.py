@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from test_copies import slow_copies
 from test_text_operators import ITEM, slow_fingerprint, slow_line_dedup
 
 import corpus_pipeline
@@ -79,7 +80,7 @@ def test_pipeline_matches_the_plain_stages(spark, folder):
     toxic = {d for (d, _), s in zip(docs, scores, strict=True) if s >= toxicity.THRESHOLD}
     assert {k for k in range(160) if k % 5 == 0} <= toxic and len(toxic) < 60
     left = [(d, t) for d, t, *_ in slow_line_dedup([x for x in docs if x[0] not in toxic])]
-    classes = slow_classes(left)
+    classes = dict(slow_copies(left))
     left = [(d, t) for d, t in left if classes[d] == d]
     left = [(d, t) for d, t in left if ITEM not in t]
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
