@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import similarity
@@ -21,32 +21,99 @@ def sized(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def match_entries(texts: DataFrame, keys: DataFrame, accept: float = 0.84, review: float = 0.72, margin: float = 0.08, band: int = 4) -> DataFrame:
-    """The best entry for each distinct text of texts(text): status, label, score, margin.
+def pieces_of(text: Column, size: Column, edits: Column) -> Column:
+    """(n, k, start, length) of the edits + 1 pieces into which a key of so many characters is cut."""
+    short = F.floor(size / (edits + 1))
+    longer = size - short * (edits + 1)  # so many pieces at the end are one longer
+    whole = edits + 1 - longer
 
-    Candidates are joined on length buckets, so only keys whose length is within the band of the
-    text's are compared; an entry scores its best key, less .08 for each further
-    character of length difference. Accepted: score and margin high enough; review:
-    score high enough for that; an empty text or one without candidates isn't found.
+    def piece(k: Column) -> Column:
+        late = F.greatest(k - whole, F.lit(0))
+        return F.struct(size.alias("n"), k.alias("k"), (k * short + late).alias("start"), (short + (k >= whole).cast("int")).alias("length"))
+
+    return F.transform(F.sequence(F.lit(0), edits.cast("int")), piece)
+
+
+def edit_candidates(texts: DataFrame, keys: DataFrame, least: float, band: int) -> DataFrame:
+    """The pairs of texts(text, scope) and keys(key, scope, ...) that may have a similarity of at least least and
+    whose lengths differ by at most band, each once.
+
+    A similar pair differs by so few edits that one of edits + 1 pieces of the key stands in the text, shifted
+    by no more than these edits. So pairs are joined on length, piece number and piece, however long the
+    lists; no similar pair is missed. Keys too short to be cut are joined on all of the text.
+    """
+    def edits(size: Column) -> Column:
+        return F.floor((1.0 - least) * size + 1e-9).cast("int")
+
+    # The longer of both decides, and it is at most band longer than the key.
+    size = F.length("key")
+    allowed = F.least(edits(size + band), F.floor((1.0 - least) / least * size + 1e-9).cast("int"))
+    cut = keys.withColumn("p", F.explode(pieces_of(F.col("key"), size, F.least(allowed, F.greatest(size - 1, F.lit(0))))))
+    cut = cut.withColumns({"n": F.col("p.n"), "k": F.col("p.k"), "piece": F.substring("key", F.col("p.start") + 1, F.col("p.length")), "start": F.col("p.start")})
+    shapes = cut.select("n", "k", "start", F.length("piece").alias("length"), F.least(allowed, F.lit(band + 100)).alias("reach")).distinct()
+    # One row for each key length and piece: as many as the lengths allow, whatever the list.
+    length = F.length("text")
+    near = texts.join(F.broadcast(shapes), (F.abs(length - F.col("n")) <= band))
+    first, last = F.greatest(F.col("start") - F.col("reach"), F.lit(0)), F.least(F.col("start") + F.col("reach"), length - F.col("length"))
+    near = near.where(first <= last).withColumn("at", F.explode(F.sequence(first, last)))
+    near = near.select("text", "scope", "n", "k", F.substring("text", F.col("at") + 1, F.col("length")).alias("piece"))
+    found = near.distinct().join(cut.select(*keys.columns, "n", "k", "piece"), ["scope", "n", "k", "piece"])
+    return found.select("text", *keys.columns).distinct()
+
+
+def match_entries(texts: DataFrame, keys: DataFrame, accept: float = 0.84, review: float = 0.72, margin: float = 0.08, band: int = 4, scope: str | None = None) -> DataFrame:
+    """The best entry for each distinct text of texts(text): status, label, score, margin, exact.
+
+    An entry scores its best key of a length within the band, less .08 for each further character of
+    length difference. Entries below the floor, the lesser of review and accept - margin, are no candidates: they
+    change no status. The margin is that to the next entry, or to the floor if that is
+    higher. Accepted: score and margin high enough; review: score high enough for that;
+    an empty text or one without candidates isn't found. With a scope, a column of both tables,
+    texts meet the keys of their scope only.
     """
-    own = texts.select("text").where(F.col("text").isNotNull()).distinct()
-    near = own.select("text", F.explode(F.sequence(F.length("text") - band, F.length("text") + band)).alias("size"))
-    pairs = near.join(sized(keys.withColumn("size", F.length("key"))), "size")
+    floor = min(review, accept - margin)
+    at = F.col(scope).cast("string") if scope else F.lit("")
+    own = texts.select(*([scope] if scope else []), "text", at.alias("scope")).where(F.col("text").isNotNull()).distinct()
+    known = keys.select("entry_id", "label", "key", at.alias("scope"))
+    pairs = edit_candidates(own.select("text", "scope"), known, floor, band)
     apart = F.abs(F.length("text") - F.length("key"))
     raw = similarity(F.col("text"), F.col("key"))
     scored = pairs.withColumn("score", F.when(F.col("text") == F.col("key"), 1.0).otherwise(raw - 0.08 * F.greatest(apart - 1, F.lit(0))))
-    entries = scored.groupBy("text", "entry_id", "label").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("text").orderBy(F.desc("score"), "entry_id")
-    ranked = entries.select("*", F.row_number().over(by).alias("place"), F.lead("score").over(by).alias("second"))
-    best = ranked.where(F.col("place") == 1).withColumn("margin", F.col("score") - F.coalesce("second", F.lit(0.0)))
+    entries = scored.where(F.col("score") >= floor).groupBy("text", "scope", "entry_id", "label").agg(F.max("score").alias("score"))
+    by = Window.partitionBy("text", "scope").orderBy(F.desc("score"), "entry_id")
+    ranked = entries.select("*", F.row_number().over(by).alias("place"), F.lead("score").over(by).alias("second"), F.lead("label").over(by).alias("second_label"))
+    best = ranked.where(F.col("place") == 1).withColumn("margin", F.col("score") - F.coalesce("second", F.lit(floor)))
     status = (
         F.when(F.col("score") >= 1.0, "accepted")
-        .when((F.col("score") >= accept) & (F.col("margin") >= margin), "accepted")
+        .when((F.col("score") >= accept) & (F.col("margin") >= margin - 1e-9), "accepted")
         .when(F.col("score") >= review, "review")
         .otherwise("not_found")
     )
-    found = best.select("text", "entry_id", "label", "score", "margin", status.alias("status"))
-    return own.join(found, "text", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+    found = best.select("text", "scope", "entry_id", "label", "score", "margin", "second_label", status.alias("status"))
+    out = own.join(found, ["text", "scope"], "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+    return out.drop("scope")
+
+
+def prioritized_match(texts: DataFrame, session: DataFrame, keys: DataFrame, scope: str, lenient: tuple[float, float, float] = (0.62, 0.54, 0.02), strict: tuple[float, float, float] = (0.78, 0.7, 0.06)) -> DataFrame:
+    """The match of each distinct (scope, text): that of the session's own keys if they accept it, by thresholds
+    (accept, review, margin) that are lenient as these are few, else that of all keys by strict ones.
+
+    session(scope, entry_id, label, key) holds what a battle has shown so far. evidence lists what either side found.
+    """
+    own = match_entries(texts, session, *lenient, scope=scope)
+    rest = match_entries(texts.select("text"), keys, *strict)
+
+    def told(side: str) -> Column:
+        return F.concat_ws(":", F.lit(side), F.coalesce("label", F.lit("-")), "status", F.coalesce(F.format_number("score", 2), F.lit("--")))
+
+    own = own.withColumn("told", told("session"))
+    rest = rest.withColumn("told", told("global")).select("text", *[F.col(c).alias(f"g_{c}") for c in ("entry_id", "label", "score", "margin", "status", "told")])
+    both = own.join(rest, "text")
+    mine = F.col("status") == "accepted"
+    return both.select(
+        scope, "text", *[F.when(mine, F.col(c)).otherwise(F.col(f"g_{c}")).alias(c) for c in ("entry_id", "label", "score", "margin", "status")],
+        F.when(mine, "session").otherwise("global").alias("matched_in"), F.when(mine, F.array("told")).otherwise(F.array("told", "g_told")).alias("evidence"),
+    )
 
 
 def dictionary_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:

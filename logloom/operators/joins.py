@@ -70,20 +70,36 @@ def merge_candidates(
     resolved one. A resolved observation that opened strictly between the two
     openings rules the pair out; ties go to the smaller id.
 
-    The pairing is a join on time buckets of both intervals' ends, and the check for one in
-    between a count over the openings of the battle, not a second range join.
+    The pairing is a join on time buckets, whose width follows the longer of both intervals: an
+    interval has at most three buckets of each width that occurs and is not below its own, however long it is
+    open. The check for one in between is a count over the openings of the battle, not a
+    second range join.
     """
     order = Window.partitionBy("battle_id").orderBy("opened_ms").rangeBetween(Window.unboundedPreceding, 0)
     upto = observations.withColumn("_upto", F.sum(F.col("resolved").cast("int")).over(order))
     at_same = F.sum(F.col("resolved").cast("int")).over(Window.partitionBy("battle_id", "opened_ms"))
     counted = upto.withColumn("_below", F.col("_upto") - at_same)
     open_rows, done = counted.where(~F.col("resolved")), counted.where("resolved")
-    # Intervals at most max_gap_ms apart share a bucket when each covers all of its own.
-    buckets = F.explode(F.sequence(F.floor((F.col("opened_ms") - max_gap_ms) / max_gap_ms), F.floor((F.col("end_ms") + max_gap_ms) / max_gap_ms)))
-    near = done.withColumn("_bucket", buckets).select(*[F.col(c).alias(f"r_{c}") for c in [*counted.columns, "_bucket"]])
-    own = open_rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("opened_ms") / max_gap_ms), F.floor(F.col("end_ms") / max_gap_ms))))
-    pairs = own.join(near, (F.col("battle_id") == F.col("r_battle_id")) & (F.col("_bucket") == F.col("r__bucket")))
-    pairs = pairs.drop("_bucket", "r__bucket").dropDuplicates(["battle_id", "id", "r_id"])
+    # Intervals at most max_gap_ms apart share a bucket once one of them is widened by the gap.
+    open_rows, done = open_rows.withColumns({"_from": F.col("opened_ms"), "_to": F.col("end_ms")}), done.withColumns({"_from": F.col("opened_ms") - max_gap_ms, "_to": F.col("end_ms") + max_gap_ms})
+
+    def levelled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_own", F.greatest(F.ceil(F.log2(F.greatest(F.col("_to") - F.col("_from"), F.lit(1)) / max_gap_ms)), F.lit(0)).cast("int"))
+
+    open_rows, done = levelled(open_rows), levelled(done)
+    # A few dozen levels at most: each doubles the width.
+    present = open_rows.select("_own").unionByName(done.select("_own")).distinct().where("_own IS NOT NULL").collect()
+    levels = F.array(*[F.lit(r["_own"]) for r in present]).cast("array<int>")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_level", F.explode(F.filter(levels, lambda x: x >= F.col("_own"))))
+        wide = F.lit(max_gap_ms) * F.pow(F.lit(2.0), "_level")
+        return rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / wide), F.floor(F.col("_to") / wide)))).drop("_from", "_to")
+
+    near = dealt(done).select(*[F.col(c).alias(f"r_{c}") for c in [*counted.columns, "_own", "_level", "_bucket"]])
+    same = (F.col("battle_id") == F.col("r_battle_id")) & (F.col("_level") == F.col("r__level")) & (F.col("_bucket") == F.col("r__bucket"))
+    pairs = dealt(open_rows).join(near, same & (F.greatest("_own", "r__own") == F.col("_level")))
+    pairs = pairs.drop("_own", "_level", "_bucket", "r__own", "r__level", "r__bucket").dropDuplicates(["battle_id", "id", "r_id"])
     gap = F.greatest(F.lit(0), F.greatest("opened_ms", "r_opened_ms") - F.least("end_ms", "r_end_ms"))
     late = F.col("opened_ms") >= F.col("r_opened_ms")
     between = F.when(late, F.col("_below") - F.col("r__upto")).otherwise(F.col("r__below") - F.col("_upto"))

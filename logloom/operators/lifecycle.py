@@ -79,22 +79,53 @@ def bundle_signature(parts: Column) -> Column:
 
 def coverage_candidates(messages: DataFrame, index: DataFrame, least: float = 0.68, n: int = 5) -> DataFrame:
     """Up to n source texts of index(source, priority, skeleton) for each message(id, match): one
-    contains the other (.94, .90) or they are similar enough; by priority, then score.
+    contains the other (.94, .90) or they are similar enough; by priority, then score. Empty texts match nothing.
 
-    Messages meet index texts over shared two-character pieces, which every pair above the
-    threshold has.
+    Distinct texts meet over their rarest two-character pieces (a text of one character over itself). A
+    text that is contained in another has its rarest piece there. Similar texts share so many pieces that the
+    rarest ones of either side, all but so many, share one. So a piece that everyone has pairs nobody.
     """
-    def pieces(rows: DataFrame, text: str) -> DataFrame:
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-        return rows.withColumn("piece", F.explode(F.array_distinct(F.transform(places, lambda k: F.substring(F.col(text), k, F.lit(2))))))
-
-    pairs = pieces(messages.select("id", "match"), "match").join(pieces(index.select("source", "priority", "skeleton"), "skeleton"), "piece")
-    pairs = pairs.select("id", "match", "source", "priority", "skeleton").distinct()
+    own = messages.select(F.col("match").alias("text")).where("text <> ''").distinct()
+    theirs = index.select(F.col("skeleton").alias("text")).where("text <> ''").distinct()
+
+    def pieces(rows: DataFrame) -> DataFrame:
+        """(text, piece, nth): repeated pieces of a text are told apart by their number."""
+        size = F.length("text")
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(2)))
+        spread = rows.select("text", F.explode(pairs).alias("piece"))
+        by = Window.partitionBy("text", "piece").orderBy("piece")
+        return spread.withColumn("nth", F.row_number().over(by))
+
+    mine, known = pieces(own), pieces(theirs)
+    often = mine.unionByName(known).groupBy("piece").agg(F.count("*").alias("often"))
+
+    def by_rarity(rows: DataFrame) -> DataFrame:
+        rare = Window.partitionBy("text").orderBy("often", "piece", "nth")
+        # Of L characters an edit takes two pieces at most: so many pieces of a similar text stay.
+        stay = F.greatest(F.ceil((2.0 * least - 1.0) * F.length("text") - 1e-9) - 1, F.lit(1))
+        ranked = rows.join(often, "piece").withColumn("place", F.row_number().over(rare))
+        return ranked.withColumn("prefix", F.greatest(F.length("text") - 1, F.lit(1)) - stay + 1)
+
+    mine, known = by_rarity(mine), by_rarity(known)
+    a, b = mine.withColumnRenamed("text", "match"), known.withColumnRenamed("text", "skeleton")
+    near = a.where("place <= prefix").select("match", "piece", "nth").join(b.where("place <= prefix").select("skeleton", "piece", "nth"), ["piece", "nth"])
+    short, long = F.least(F.length("match"), F.length("skeleton")), F.greatest(F.length("match"), F.length("skeleton"))
+    near = near.where(short >= least * long - 1e-9)
+    inside = a.where("place = 1").select("match", "piece").join(b.where("nth = 1").select("skeleton", "piece"), "piece").where(F.contains("skeleton", F.col("match")))
+    around = a.where("nth = 1").select("match", "piece").join(b.where("place = 1").select("skeleton", "piece"), "piece").where(F.contains("match", F.col("skeleton")))
+
+    def one_character(short_rows: DataFrame, of: str, long_rows: DataFrame, name: str) -> DataFrame:
+        chars = long_rows.select(F.col("text").alias(name), F.explode(F.array_distinct(F.split("text", ""))).alias("piece"))
+        return short_rows.where(F.length("text") == 1).select(F.col("text").alias(of), F.col("text").alias("piece")).join(chars, "piece")
+
+    alone = one_character(own, "match", theirs, "skeleton").unionByName(one_character(theirs, "skeleton", own, "match"), allowMissingColumns=False)
+    pairs = near.select("match", "skeleton").unionByName(inside.select("match", "skeleton")).unionByName(around.select("match", "skeleton")).unionByName(alone.select("match", "skeleton")).distinct()
     score = (
         F.when(F.contains("match", F.col("skeleton")), 0.94)
         .when(F.contains("skeleton", F.col("match")), 0.90)
         .otherwise(similarity(F.col("match"), F.col("skeleton")))
     )
     scored = pairs.withColumn("score", score).where(F.col("score") >= least)
+    every = messages.select("id", "match").join(scored, "match").join(index.select("source", "priority", "skeleton").distinct(), "skeleton")
     by = Window.partitionBy("id").orderBy("priority", F.desc("score"), "source")
-    return scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("id", "source", "priority", "score", "place")
+    return every.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("id", "source", "priority", "score", "place")

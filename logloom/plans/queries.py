@@ -413,13 +413,13 @@ def unknowns_csv(spark, d):
     return logs.unknowns_csv(rows, notes)
 
 
-FUZZY = """WITH k AS (SELECT row_number() OVER (ORDER BY p_name) AS entry_id, p_name AS label FROM (SELECT DISTINCT p_name FROM part)),
+FUZZY = """WITH k AS (SELECT DISTINCT p_name AS entry_id, p_name AS label FROM part),
  t AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN replace(p_name, 'e', 'a') ELSE substr(p_name, 2) END AS text FROM part),
  s AS (SELECT text, entry_id, label, CASE WHEN text = label THEN 1.0 ELSE 1.0 - levenshtein(text, label)::DOUBLE / greatest(length(text), length(label)) - 0.08 * greatest(abs(length(text) - length(label)) - 1, 0) END AS score
    FROM t JOIN k ON abs(length(text) - length(label)) <= 4),
- r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY text ORDER BY score DESC, entry_id))
- SELECT t.text, label, floor(r.score * 1e6 + 0.5) / 1e6 AS score, floor((r.score - coalesce(second, 0)) * 1e6 + 0.5) / 1e6 AS margin,
-  CASE WHEN r.score >= 1 THEN 'accepted' WHEN r.score >= 0.84 AND r.score - coalesce(second, 0) >= 0.08 THEN 'accepted' WHEN r.score >= 0.72 THEN 'review' ELSE 'not_found' END AS status
+ r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0.72) AS second FROM s WHERE score >= 0.72 WINDOW w AS (PARTITION BY text ORDER BY score DESC, entry_id))
+ SELECT t.text, label, floor(r.score * 1e6 + 0.5) / 1e6 AS score, floor((r.score - second) * 1e6 + 0.5) / 1e6 AS margin,
+  CASE WHEN r.score >= 1 THEN 'accepted' WHEN r.score >= 0.84 AND r.score - second >= 0.08 - 1e-9 THEN 'accepted' WHEN r.score >= 0.72 THEN 'review' ELSE 'not_found' END AS status
  FROM t LEFT JOIN r ON r.text = t.text AND r.place = 1"""
 
 
@@ -427,7 +427,7 @@ FUZZY = """WITH k AS (SELECT row_number() OVER (ORDER BY p_name) AS entry_id, p_
 def fuzzy_part_match(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name")
     names = part.select("p_name").distinct()
-    entries = names.select(F.row_number().over(Window.orderBy("p_name")).alias("id"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("aliases"))
+    entries = names.select(F.col("p_name").alias("id"), F.col("p_name").alias("label"), F.array().cast("array<string>").alias("aliases"))
     third = F.col("p_partkey") % 3
     noisy = F.when(third == 0, F.col("p_name")).when(third == 1, F.replace("p_name", F.lit("e"), F.lit("a"))).otherwise(F.expr("substr(p_name, 2)"))
     found = entities.match_entries(part.select(noisy.alias("text")), entities.dictionary_keys(entries))
@@ -655,7 +655,7 @@ def bundle_signatures(spark, d):
     return parts.select("l_orderkey", lifecycle.bundle_signature(F.col("parts")).alias("signature"))
 
 
-@query("""WITH m AS (SELECT DISTINCT p_name AS match FROM part), i AS (SELECT DISTINCT p_type AS source, length(p_type) % 3 AS priority, replace(p_type, 'E', 'e') AS skeleton FROM part UNION SELECT p_name, 1, substr(p_name, 1, length(p_name) - 2) FROM part),
+@query("""WITH m AS (SELECT DISTINCT p_name AS match FROM part UNION SELECT DISTINCT substr(p_type, p_size + 1, 1) FROM part WHERE p_size < length(p_type)), i AS (SELECT DISTINCT p_type AS source, length(p_type) % 3 AS priority, replace(p_type, 'E', 'e') AS skeleton FROM part UNION SELECT p_name, 1, substr(p_name, 1, length(p_name) - 2) FROM part UNION SELECT p_brand, 2, substr(p_brand, length(p_brand), 1) FROM part),
  s AS (SELECT match AS id, source, priority, CASE WHEN contains(match, skeleton) THEN 0.94 WHEN contains(skeleton, match) THEN 0.9 WHEN match = skeleton THEN 1.0 ELSE 1.0 - levenshtein(match, skeleton)::DOUBLE / greatest(length(match), length(skeleton)) END AS score FROM m, i),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, score DESC, source) AS place FROM s WHERE score >= 0.68)
  SELECT id, source, priority::INT AS priority, floor(score::DOUBLE * 1e6 + 0.5) / 1e6 AS score, place FROM r WHERE place <= 5""")
@@ -663,8 +663,9 @@ def coverage_candidates(spark, d):
     part = table(spark, d, "part")
     index = part.select(F.col("p_type").alias("source"), (F.length("p_type") % 3).alias("priority"), F.replace("p_type", F.lit("E"), F.lit("e")).alias("skeleton")).unionByName(
         part.select(F.col("p_name").alias("source"), F.lit(1).alias("priority"), F.expr("substr(p_name, 1, length(p_name) - 2)").alias("skeleton"))
-    ).distinct()
-    names = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("match")).distinct()
+    ).unionByName(part.select(F.col("p_brand").alias("source"), F.lit(2).alias("priority"), F.expr("substr(p_brand, length(p_brand), 1)").alias("skeleton"))).distinct()
+    names = part.select(F.col("p_name").alias("match")).unionByName(part.where("p_size < length(p_type)").select(F.expr("substr(p_type, p_size + 1, 1)").alias("match")))
+    names = names.distinct().select(F.col("match").alias("id"), "match")
     return lifecycle.coverage_candidates(names, index).withColumn("score", fixed(F.col("score"), 6))
 
 
