@@ -26,7 +26,7 @@ SQUEEZE = (
 )
 PUNCTUATION = re.compile(r"""[!！?？。、,.・･/／\\|｜…:：;；"'`´_＿\[\]（）(){}「」『』<>＜＞\s]+""")
 SMALL_KANA = str.maketrans("ァィゥェォャュョぁぃぅぇぉゃゅょ", "アイウエオヤユヨあいうえおやゆよ")
-CONFUSED = [frozenset(g) for g in ("ガカ力", "ギキ", "バパハ八六", "ブプフぶぷふ", "ッツっつ", "シツソン", "トド", "ミ三")]
+CONFUSED = ("ガカ力", "ギキ", "バパハ八六", "ブプフぶぷふ", "ッツっつ", "シツソン", "トド", "ミ三")
 
 
 def normalized(raw: str) -> str:
@@ -42,6 +42,13 @@ def match_form(raw: str) -> str:
     return PUNCTUATION.sub("", normalized(raw)).lower()
 
 
+@F.pandas_udf(T.StructType([T.StructField("normalized", T.StringType()), T.StructField("match", T.StringType())]))
+def both_texts(raw: pd.Series) -> pd.DataFrame:
+    """The normalised text and the match text, in one pass."""
+    plain = raw.map(normalized, na_action="ignore")
+    return pd.DataFrame({"normalized": plain, "match": plain.map(lambda t: PUNCTUATION.sub("", t).lower(), na_action="ignore")})
+
+
 @F.pandas_udf(T.StringType())
 def normalize_text(raw: pd.Series) -> pd.Series:
     return raw.map(normalized, na_action="ignore")

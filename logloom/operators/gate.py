@@ -9,9 +9,9 @@ from logloom.views import let
 
 # What signals an action in a message, and the scripts of its letters.
 SIGNALS = (
-    "効果 繰り出 ゆけ いけ 戻れ 引っこめ ひっこめ 倒れ たおれ ひんし 守り 身を守 体勢 上がっ 下がっ 治った なおった 回復 負った 外れ 失敗 "
-    "命が少し削られ 命か少し削られ"
-).split()
+    "効果", "繰り出", "ゆけ", "いけ", "戻れ", "引っこめ", "ひっこめ", "倒れ", "たおれ", "ひんし", "守り", "身を守", "体勢", "上がっ", "下がっ",
+    "治った", "なおった", "回復", "負った", "外れ", "失敗", "命が少し削られ", "命か少し削られ",
+)
 SIGNAL_PREFIXES = ("constrained-review:", "constrained-candidate;", "span:move", "span-relation:")
 SCRIPTS = r"\p{IsHiragana}\p{IsKatakana}\p{IsHan}"
 UI_HINTS = ("特性", "持ち物", "もちもの", "味方の")
@@ -65,13 +65,17 @@ def gate_reason(match: Column, normal: Column, confidence: Column, candidates: C
     sure, n = F.coalesce(confidence, F.lit(0.0)), F.length(match)
     partial = any_prefix(candidates, ("partial-template;",)) & match.endswith("の")
 
+    # The rules up to here cost little; only what they leave open is searched for signals and symbols.
+    early = (
+        F.when(n == 0, "too_short")
+        .when(prefix_only(match) | partial, "prefix_only")
+        .when(normal.rlike(r"(?:^|\D)\d{1,2}\s*[:：]\s*\d{2}(?:\D|$)"), "timer")
+        .when(any_of(match, UI_HINTS), "ui_fragment")
+    )
+
     def judged(signal: Column) -> Column:
         return (
-            F.when(n == 0, "too_short")
-            .when(prefix_only(match) | partial, "prefix_only")
-            .when(normal.rlike(r"(?:^|\D)\d{1,2}\s*[:：]\s*\d{2}(?:\D|$)"), "timer")
-            .when(any_of(match, UI_HINTS), "ui_fragment")
-            .when(~signal & (symbol_ratio(match) >= 0.3), "symbol_noise")
+            F.when(~signal & (symbol_ratio(match) >= 0.3), "symbol_noise")
             .when(~signal & fragmented(normal, match), "other_noise")
             .when(~signal & (sure < 0.5), "low_confidence_no_action_signal")
             .when((n >= 6) & (sure >= 0.7), "accepted")
@@ -81,7 +85,7 @@ def gate_reason(match: Column, normal: Column, confidence: Column, candidates: C
             .otherwise("other_noise")
         )
 
-    return let(action_signal(match, candidates), judged)
+    return early.otherwise(let(action_signal(match, candidates), judged))
 
 
 def admission(phase: Column, now: Column, opened: Column, closed: Column, strict: Column, wait_ms: int = 500, grace_ms: int = 1500, longest_ms: int = 6000) -> Column:
@@ -105,7 +109,7 @@ def admission(phase: Column, now: Column, opened: Column, closed: Column, strict
 
 def required_slots(kind: Column, actor: Column, target: Column, move: Column) -> Column:
     """Whether an event has the parts that its kind can't do without."""
-    either = ("supereffective resisted immune critical damage heal status status_cure flinch boost unboost protect miss").split()
+    either = ("supereffective", "resisted", "immune", "critical", "damage", "heal", "status", "status_cure", "flinch", "boost", "unboost", "protect", "miss")
     return (
         F.when(kind == "move", actor.isNotNull() & move.isNotNull())
         .when(kind.isin("switch_in", "switch_out", "faint"), actor.isNotNull())

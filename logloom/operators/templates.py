@@ -8,10 +8,14 @@ on the captured text, exact first, similar second.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.entities import match_entries, sized
+from logloom.functions.text import similarity
+from logloom.operators.entities import dictionary_spans, match_entries, sized
+from logloom.sources.shared import scratch, written
 
 MARK = r"\{([a-z]+)(?:\[[0-9]+\])?\}"
 #: Longest captured text of a slot.
@@ -61,16 +65,11 @@ def resolved_hits(hits: DataFrame, keys: DataFrame) -> DataFrame:
     """
     slots = hits.select("id", "rule_id", "event_type", "priority", "constants", "hit", F.posexplode(F.arrays_zip(F.col("slots").alias("kind"), F.col("values").alias("value"))).alias("pos", "slot"))
     slots = slots.select("id", "rule_id", "event_type", "priority", "constants", "hit", "pos", "slot.kind", "slot.value")
-    kinds = [r["kind"] for r in keys.select("kind").distinct().collect()]
-    found = None
-    for kind in sorted(kinds):
-        own = slots.where(F.col("kind") == kind).select(F.col("value").alias("text"))
-        one = match_entries(own, keys.where(F.col("kind") == kind)).withColumn("slot_kind", F.lit(kind))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return slots.withColumns({"label": F.col("value"), "score": F.lit(1.0), "status": F.lit("accepted")})
+    known = keys.select(F.col("kind").alias("known_kind")).distinct()
+    found = match_entries(slots.select("kind", F.col("value").alias("text")), keys, scope="kind").withColumnRenamed("kind", "slot_kind")
     joined = slots.join(found, (slots["kind"] == found["slot_kind"]) & (slots["value"] == found["text"]), "left")
-    free = ~F.col("kind").isin(kinds)
+    joined = joined.join(F.broadcast(known), joined["kind"] == known["known_kind"], "left")  # as many rows as kinds of slots
+    free = F.col("known_kind").isNull()
     return joined.select(
         "id", "rule_id", "event_type", "priority", "constants", "hit", "pos", "kind", "value",
         F.when(free, F.col("value")).otherwise(F.col("label")).alias("label"),
@@ -79,25 +78,140 @@ def resolved_hits(hits: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def decoded(surfaces: DataFrame, rules: DataFrame, keys: DataFrame) -> DataFrame:
-    """The best event of each message: id, rule_id, event_type, slots (map kind to label), confidence.
+def decoded(surfaces: DataFrame, rules: DataFrame, keys: DataFrame, as_list: bool = False) -> DataFrame:
+    """The best event of each message: id, rule_id, event_type, found (map of slot to label) or, as a list, slots
+    (pos, kind, label), confidence.
 
     A rule counts if all its slots are accepted. Order: priority, mean score, rule id.
     Messages without one are left out (see the gate for what becomes of them).
     """
     patterns = compiled(rules)
     hits = template_hits(surfaces, patterns)
-    slotless = hits.where(F.size("slots") == 0).select("id", "rule_id", "event_type", "priority", "hit", "constants", F.lit(1.0).alias("confidence"), F.create_map().cast("map<string,string>").alias("found"))
+    slotless = hits.where(F.size("slots") == 0).select("id", "rule_id", "event_type", "priority", "hit", "constants", F.lit(1.0).alias("confidence"), F.array().cast("array<struct<pos:int,kind:string,label:string>>").alias("slots"))
     by_slot = resolved_hits(hits.where(F.size("slots") > 0), keys)
     whole = by_slot.groupBy("id", "rule_id", "event_type", "priority", "hit").agg(
         F.first("constants").alias("constants"),
         F.avg("score").alias("confidence"),
         F.bool_and(F.col("status") == "accepted").alias("sure"),
-        F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.concat_ws("_", "kind", F.col("pos").cast("string")), "label")))).alias("found"),
+        F.sort_array(F.collect_set(F.struct("pos", "kind", "label"))).alias("slots"),
     )
     every = whole.where("sure").drop("sure").unionByName(slotless)
     by = Window.partitionBy("id").orderBy(F.desc("priority"), F.desc("confidence"), "rule_id", "hit")
-    return every.withColumn("place", F.row_number().over(by)).where(F.col("place") == 1).drop("place", "hit")
+    best = every.withColumn("place", F.row_number().over(by)).where(F.col("place") == 1).drop("place", "hit")
+    if as_list:
+        return best
+    named = F.transform("slots", lambda s: F.struct(F.concat_ws("_", s["kind"], s["pos"].cast("string")), s["label"]))
+    return best.withColumn("found", F.map_from_entries(named)).drop("slots")
+
+
+# The constrained decoder's bounds and weights.
+LITERAL_LEAST, FINAL_LEAST, MARGIN_LEAST, FUZZY_CONFIDENCE = 0.62, 0.72, 0.04, 0.65
+AHEAD_FIRST, AHEAD_LATER, SEGMENT = 32, 4, 24
+WEIGHTS = {"literal": 0.35, "slots": 0.45, "confidence": 0.15, "surface": 0.05}
+UNKNOWN_CONFIDENCE = 0.75
+
+
+def literal_places(surfaces: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, priority, rule_id, regex, nth, start, end, likeness): where each literal of a pattern stands in a text, word for word or
+    nearly (a stretch of its length, or one more or less, that is similar enough).
+
+    Only patterns whose longest literal has a two-character piece in common with the text are looked at.
+    """
+    size = F.length("text")
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(2))))
+    heads = surfaces.select("id", "priority", "text", "confidence", F.explode(cut).alias("piece"))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("anchor") - 1, F.lit(1))), lambda k: F.substring(F.col("anchor"), k, F.lit(2))))
+    known = patterns.select(F.col("id").alias("rule_id"), "event_type", F.col("priority").alias("rule_priority"), "regex", "literals", F.explode(own).alias("piece"))
+    near = heads.join(sized(known), "piece").drop("piece").distinct()
+    each = near.select("id", "priority", "text", "rule_id", "regex", F.posexplode("literals").alias("nth", "literal")).where("literal <> ''")
+    spans = F.flatten(F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("text") - F.length("literal") - d + 1, F.lit(1))),
+        lambda at: F.struct(at.alias("at"), F.substring(F.col("text"), at, F.length("literal") + d).alias("part")),
+    )))
+    each = each.select("id", "priority", "rule_id", "regex", "nth", "literal", F.explode(spans).alias("s"))
+    likeness = similarity(F.col("s.part"), F.col("literal"))
+    each = each.select("id", "priority", "rule_id", "regex", "nth", (F.col("s.at") - 1).alias("start"), (F.col("s.at") - 1 + F.length("s.part")).alias("end"), likeness.alias("likeness")).where((F.col("likeness") >= LITERAL_LEAST) & (F.col("end") > F.col("start")))
+    # A stretch beside a better one of the same literal tells nothing new.
+    by = Window.partitionBy("id", "priority", "rule_id", "regex", "nth", "start").orderBy(F.desc("likeness"), "end")
+    return each.withColumn("r", F.row_number().over(by)).where("r = 1").drop("r")
+
+
+def constrained(surfaces: DataFrame, patterns: DataFrame, keys: DataFrame) -> DataFrame:
+    """Readings of surfaces(id, priority, text, confidence) by patterns whose literals and slots may both be worn:
+    id, rule_id, event_type, slots, confidence, accepted, reason, candidate; the best of each message.
+
+    The literals of a pattern are chained by joins, each behind the one before and not too far away; what lies between is a
+    slot. Slots are resolved once for each distinct text: a known name inside it scores by how much of it it is,
+    a similar one by its likeness. A reading is accepted if its score and its lead over the next different one
+    are high enough; one with a worn literal or slot also needs a good confidence of the text. The result
+    is written to the shared folder, the tables on the way are removed.
+    """
+    with scratch(surfaces.sparkSession) as put:
+        return written(_constrained(surfaces, patterns, keys, put), "constrained")
+
+
+def _constrained(surfaces: DataFrame, patterns: DataFrame, keys: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    places = put(literal_places(surfaces, patterns), "literals")
+    shape = patterns.select(F.col("id").alias("rule_id"), "event_type", F.col("priority").alias("rule_priority"), "regex", "literals", F.col("slots").alias("kinds"))
+    # Patterns have a handful of literals.
+    most = (patterns.select(F.max(F.size("literals"))).first() or [0])[0] or 0
+    texts = surfaces.select("id", "priority", "text", "confidence")
+    grown = texts.join(places.select("id", "priority", "rule_id", "regex").distinct(), ["id", "priority"]).join(F.broadcast(shape), ["rule_id", "regex"])
+    grown = grown.withColumns({"at": F.lit(0), "worn": F.lit(1.0), "cuts": F.array().cast("array<struct<from:int,to:int>>")})
+    for k in range(most):
+        here = places.where(F.col("nth") == k).select("id", "priority", "rule_id", "regex", F.col("start").alias("s"), F.col("end").alias("e"), "likeness")
+        literal = F.get("literals", F.lit(k))
+        with_text = grown.where(literal != "").join(here, ["id", "priority", "rule_id", "regex"])
+        slot = F.struct(F.col("at").alias("from"), F.col("s").cast("int").alias("to"))
+        between = F.col("s") - F.col("at")
+        fits = F.when(F.lit(k == 0), between <= AHEAD_LATER).otherwise(between.between(1, AHEAD_FIRST))
+        chained = with_text.where(fits).withColumns({"cuts": F.when(F.lit(k > 0), F.concat("cuts", F.array(slot))).otherwise(F.col("cuts")), "at": F.col("e").cast("int"), "worn": F.least("worn", "likeness")}).drop("s", "e", "likeness")
+        # No literal at this place: a slot at the very start (nothing to do) or at the very end.
+        last = F.struct(F.col("at").alias("from"), F.length("text").alias("to"))
+        open_end = grown.where(literal == "").withColumn("cuts", F.when(F.lit(k > 0), F.concat("cuts", F.array(last))).otherwise(F.col("cuts"))).withColumn("at", F.when(F.lit(k > 0), F.length("text")).otherwise(F.col("at")))
+        done = grown.where(literal.isNull())
+        grown = chained.unionByName(open_end.select(chained.columns)).unionByName(done.select(chained.columns))
+    # Little may follow the last literal; a pattern that begins with a slot has it in front of its first literal.
+    grown = grown.where((F.length("text") - F.col("at") <= 10) & (F.size("cuts") == F.size("kinds")))
+    values = F.transform("cuts", lambda c: F.substring(F.col("text"), c["from"] + 1, c["to"] - c["from"]))
+    grown = grown.where(F.forall("cuts", lambda c: (c["to"] - c["from"]).between(1, SEGMENT)))
+    grown = grown.withColumn("hit", F.sha2(F.concat_ws("\x1f", "id", F.col("priority").cast("string"), "rule_id", "regex", F.to_json("cuts"), F.col("worn").cast("string")), 256))
+    wide = put(grown.select("id", "priority", "rule_id", "event_type", "rule_priority", "confidence", "worn", "hit", "kinds", values.alias("values")).dropDuplicates(["hit"]), "chains")
+    slots = wide.select("hit", F.posexplode(F.arrays_zip(F.col("kinds").alias("kind"), F.col("values").alias("value"))).alias("pos", "s")).select("hit", "pos", "s.kind", "s.value")
+    known = keys.select(F.col("kind").alias("known_kind")).distinct()
+    asked = slots.select("kind", F.col("value").alias("text")).distinct()
+    spans = dictionary_spans(asked.select(F.struct("kind", "text").alias("id"), "text"), keys)
+    inside = spans.select("id.kind", "id.text", "key").join(keys.select("kind", "key", F.col("label").alias("held")).dropDuplicates(["kind", "key"]), ["kind", "key"])
+    inside = inside.groupBy("kind", "text").agg(F.max_by(F.struct("held", (0.92 + 0.08 * F.length("key") / F.length("text")).alias("held_score")), F.struct(F.length("key"), "key")).alias("h")).select("kind", "text", "h.*")
+    like = match_entries(asked, keys, 0.78, 0.7, 0.06, scope="kind").select("kind", "text", F.col("label").alias("like"), F.col("score").alias("like_score"), F.col("status"))
+    solved = asked.join(like, ["kind", "text"], "left").join(inside, ["kind", "text"], "left").join(F.broadcast(known), F.col("kind") == F.col("known_kind"), "left")
+    free = F.col("known_kind").isNull()
+    exact = F.coalesce(F.col("held_score"), F.lit(0.0)) >= F.coalesce("like_score", F.lit(0.0))
+    solved = put(solved.select(
+        "kind", F.col("text").alias("value"),
+        F.when(free, F.col("text")).when(exact, F.col("held")).when(F.col("status") == "accepted", F.col("like")).alias("label"),
+        F.when(free, 1.0).when(exact, F.col("held_score")).when(F.col("status") == "accepted", F.col("like_score")).otherwise(0.0).alias("score"),
+        (~free & ~exact).alias("fuzzy"),
+    ), "slots")
+    by_hit = slots.join(solved, ["kind", "value"]).groupBy("hit").agg(F.avg("score").alias("slot_score"), F.sum(F.col("fuzzy").cast("int")).alias("fuzzy"), F.bool_and(F.col("label").isNotNull()).alias("whole"), F.sort_array(F.collect_list(F.struct("pos", "kind", "label"))).alias("slots"))
+    rows = wide.drop("kinds", "values").join(by_hit, "hit", "left").withColumns({"whole": F.coalesce("whole", F.lit(True)), "fuzzy": F.coalesce("fuzzy", F.lit(0)), "slot_score": F.coalesce("slot_score", F.lit(1.0)), "slots": F.coalesce("slots", F.array().cast("array<struct<pos:int,kind:string,label:string>>"))})
+    final = WEIGHTS["literal"] * F.col("worn") + WEIGHTS["slots"] * F.col("slot_score") + WEIGHTS["confidence"] * F.coalesce("confidence", F.lit(UNKNOWN_CONFIDENCE)) + WEIGHTS["surface"] * (1.0 / (1.0 + F.col("priority")))
+    told = F.concat_ws(";", F.concat(F.lit("rule="), F.col("rule_id")), F.transform("slots", lambda s: F.concat(s["kind"], F.lit("="), F.coalesce(F.url_encode(s["label"]), F.lit("")))))
+    rows = rows.withColumns({"final": final, "candidate": told})
+    best = rows.groupBy("id", "candidate").agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns if c not in ("id", "candidate")]), F.struct("final", "hit")).alias("b")).select("id", "candidate", "b.*")
+    by = Window.partitionBy("id").orderBy(F.desc("whole"), F.desc("final"), F.desc("rule_priority"), "candidate")
+    ranked = best.withColumns({"place": F.row_number().over(by), "next": F.lead("final").over(by), "next_whole": F.lead("whole").over(by)}).where("place = 1")
+    lead = F.col("final") - F.when(F.col("next_whole"), F.col("next")).otherwise(0.0)
+    worn = (F.col("worn") < 1.0) | (F.col("fuzzy") > 0)
+    reason = (
+        F.when(~F.col("whole"), "slot")
+        .when(F.col("final") < FINAL_LEAST, "score")
+        .when(F.coalesce(lead, F.lit(1.0)) < MARGIN_LEAST, "margin")
+        .when(worn & (F.coalesce("confidence", F.lit(0.0)) < FUZZY_CONFIDENCE), "confidence")
+        .when((F.col("fuzzy") >= 2) & ((F.col("confidence") < 0.78) | (F.coalesce(lead, F.lit(1.0)) < 0.08)), "two_fuzzy")
+        .when((F.col("fuzzy") == 1) & (F.coalesce(lead, F.lit(1.0)) < 0.06), "one_fuzzy")
+    )
+    return ranked.select("id", "rule_id", "event_type", "slots", F.least("confidence", "slot_score", "worn").alias("confidence"), reason.isNull().alias("accepted"), F.coalesce(reason, F.lit("")).alias("reason"), "candidate")
 
 
 def surfaces_of(messages: DataFrame) -> DataFrame:

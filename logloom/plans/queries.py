@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import signals, text
-from logloom.operators import aggregates, context, entities, gate, joins, lifecycle, sessions, templates, timeline
+from logloom.operators import aggregates, cascade, context, entities, gate, joins, lifecycle, sessions, templates, timeline
+from logloom.operators.shapes import effect_target_shape, shapes_of
 from logloom.plans import fixtures
 from logloom.sources import logs, rulesets
 from logloom.views import event_log, fixed, messages, table
@@ -382,7 +383,7 @@ def gate_decisions(spark, d):
 
 @query()
 def gate_decisions_all(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.normalize_text("text").alias("normal"), text.match_text("text").alias("match"))
+    docs = table(spark, d, "documents").select("doc_id", text.both_texts("text").alias("t")).select("doc_id", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
     return docs.select("doc_id", gate.gate_reason(F.col("match"), F.col("normal"), (F.col("doc_id") % 100) / 100.0, F.lit(None).cast("array<string>")).alias("reason"))
 
 
@@ -469,7 +470,7 @@ def similarity_contains(spark, d):
 @query()
 def normalize_match_text(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", text.normalize_text("text").alias("normalized"), text.match_text("text").alias("match"))
+    return docs.select("doc_id", text.both_texts("text").alias("t")).select("doc_id", "t.normalized", "t.match")
 
 
 @query()
@@ -548,7 +549,7 @@ def replay_summary(spark, d):
     log = fixtures.messages(spark)
     events = templates.decoded(fixtures.surfaces(spark), fixtures.rules(spark), fixtures.keys(spark))
     rows = log.join(events.select("id", "event_type", F.to_json("found").alias("slots")), "id", "left")
-    rows = rows.withColumns({"normal": text.normalize_text("text"), "match": text.match_text("text")})
+    rows = rows.withColumn("t", text.both_texts("text")).withColumns({"normal": F.col("t.normalized"), "match": F.col("t.match")}).drop("t")
     reason = gate.gate_reason(F.col("match"), F.col("normal"), F.col("confidence"), F.lit(None).cast("array<string>"))
     rows = rows.withColumn("reason", F.when(F.col("event_type").isNull(), reason))
     rows = rows.withColumn("key", F.when(F.col("event_type").isNotNull(), text.identity(F.lit("event"), F.col("event_type"), F.col("slots"))).otherwise(F.concat(F.lit("unknown:"), F.col("match"))))
@@ -669,10 +670,82 @@ def coverage_candidates(spark, d):
     return lifecycle.coverage_candidates(names, index).withColumn("score", fixed(F.col("score"), 6))
 
 
-@query()
+PARSED_RULES = [
+    ("entry", "switch_in", 90, ["ゆけっ{name}", "{name}を繰り出した"], {}),
+    ("move", "move", 80, ["{name}の{move}"], {}),
+    ("hurt", "damage", 90, ["{name}は反動でダメージを受けた"], {}),
+]
+#: A log in the words of the rules and keywords, about the parts as names and the types of parts as moves.
+SPOKEN = """SELECT event_id AS id, event_type AS kind, n.label AS name, n.key AS name_key, m.label AS move, m.key AS move_key,
+  CASE event_type WHEN 'click' THEN '相手の' || n.key || 'の' || m.key || '!' WHEN 'view' THEN 'ゆけっ!' || n.key || '!' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN '相手の' ELSE '' END || n.key || 'は倒れた!'
+    WHEN 'signup' THEN CASE event_id % 4 WHEN 0 THEN n.key || 'に 効果はバツグンだ!' WHEN 1 THEN n.key || 'の素早さが がくっと下がった!' WHEN 2 THEN n.key || 'は反動でダメージを受けた!' ELSE '急所に当たった!' END
+    ELSE CASE WHEN event_id % 2 = 0 THEN '03:15' ELSE n.key || 'の' END END AS text
+ FROM events JOIN n ON n.place = user_id % (SELECT count(*) FROM n) JOIN m ON m.place = event_id % (SELECT count(*) FROM m)"""
+NAMES = """n AS (SELECT label, replace(label, ' ', '') AS key, dense_rank() OVER (ORDER BY label) - 1 AS place FROM (SELECT DISTINCT p_name AS label FROM part)),
+ m AS (SELECT label, lower(replace(label, ' ', '')) AS key, dense_rank() OVER (ORDER BY label) - 1 AS place FROM (SELECT DISTINCT p_type AS label FROM part))"""
+
+
+def spoken(spark, d):
+    """The log in SPOKEN and the dictionary of its names and moves."""
+    for name in ("events", "part"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    log = spark.sql(f"WITH {NAMES} {SPOKEN}")
+    keys = spark.sql(f"WITH {NAMES} SELECT 'name' AS kind, label AS entry_id, label, key FROM n UNION ALL SELECT 'move', label, label, key FROM m")
+    return log.select("id", "text"), keys
+
+
+@query(f"""WITH {NAMES}, s AS ({SPOKEN})
+ SELECT id, CASE WHEN kind IN ('purchase') OR (kind = 'signup' AND id % 4 <> 2) THEN 'context' WHEN kind = 'signup' THEN 'constrained' WHEN kind = 'view' THEN 'constrained' WHEN kind = 'click' THEN 'move' ELSE 'unknown' END AS stage,
+  CASE kind WHEN 'click' THEN 'move' WHEN 'view' THEN 'switch_in' WHEN 'purchase' THEN 'faint' WHEN 'signup' THEN CASE id % 4 WHEN 0 THEN 'supereffective' WHEN 1 THEN 'unboost' WHEN 2 THEN 'damage' ELSE 'critical' END END AS event_type,
+  CASE WHEN kind IN ('click', 'view', 'purchase') OR (kind = 'signup' AND id % 4 IN (1, 2)) THEN name END AS actor, CASE WHEN kind = 'click' OR (kind = 'purchase' AND id % 2 = 0) THEN 'opponent' END AS side,
+  CASE WHEN kind = 'click' THEN move END AS move, CASE WHEN kind = 'signup' AND id % 4 = 0 THEN name END AS target, CASE WHEN kind = 'signup' AND id % 4 = 1 THEN '素早さ' END AS stat,
+  CASE kind WHEN 'click' THEN '相手の' || name || 'の ' || move || '!' WHEN 'view' THEN 'ゆけっ! ' || name || '!' WHEN 'purchase' THEN CASE WHEN id % 2 = 0 THEN '相手の' ELSE '' END || name || 'は たおれた!'
+   WHEN 'signup' THEN CASE id % 4 WHEN 0 THEN name || 'に 効果は バツグンだ!' WHEN 1 THEN name || 'の 素早さが がくっと 下がった!' WHEN 2 THEN name || 'は ダメージを 受けた!' ELSE '急所に 当たった!' END END AS said
+ FROM s""")
+def message_parse(spark, d):
+    """Every message of a log made from events and parts through the whole cascade, rendered in canonical words."""
+    log, keys = spoken(spark, d)
+    rows = log.select("id", F.lit(0.9).alias("confidence"), text.both_texts("text").alias("t")).select("id", "confidence", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
+    surfaces = rows.select("id", F.lit(0).alias("priority"), "match")
+    rules = spark.createDataFrame(PARSED_RULES, "id string, event_type string, priority int, patterns array<string>, constants map<string,string>")
+    read = cascade.cascade(rows, surfaces, rules, keys)
+    evidence = F.array_join("evidence", ":")
+    said = context.canonical_text(F.col("event_type"), F.col("actor"), F.col("side"), F.col("move"), F.col("target"), F.col("target_side"), evidence, context.stat_captured(evidence))
+    stage = F.when((F.col("event_type") == "move") & F.col("stage").isin("constrained", "template", "move_split", "move_span"), "move").otherwise(F.col("stage"))
+    return read.select("id", stage.alias("stage"), "event_type", "actor", "side", "move", "target", "stat", said.alias("said"))
+
+
+@query(f"""WITH {NAMES}, s AS ({SPOKEN})
+ SELECT id, CASE kind WHEN 'purchase' THEN 'faint' ELSE CASE id % 4 WHEN 0 THEN 'supereffective' WHEN 1 THEN 'unboost' ELSE 'critical' END END AS event_type,
+  CASE WHEN kind = 'purchase' THEN 'faint' ELSE CASE id % 4 WHEN 0 THEN 'effect_supereffective' WHEN 1 THEN 'stat_unboost' ELSE 'critical_hit' END END AS reading,
+  CASE WHEN kind = 'purchase' OR id % 4 = 1 THEN name END AS actor, CASE WHEN kind = 'signup' AND id % 4 = 0 THEN name END AS target, CASE WHEN kind = 'purchase' AND id % 2 = 0 THEN 'opponent' END AS side,
+  CASE WHEN kind = 'signup' AND id % 4 = 1 THEN '素早さ' END AS stat, CASE WHEN kind = 'signup' AND id % 4 = 1 THEN 'がくっと' END AS degree
+ FROM s WHERE kind = 'purchase' OR (kind = 'signup' AND id % 4 <> 2)""")
 def context_events(spark, d):
-    """Keyword readings of the bundled log, rendered in canonical words."""
-    log = fixtures.messages(spark).select("id", text.match_text("text").alias("match"))
-    found = context.context_events(log, fixtures.keys(spark).where("kind = 'name'"))
-    said = context.canonical_text(F.col("event_type"), F.col("actor"), F.col("side"), F.lit(None).cast("string"), F.col("target"))
-    return found.withColumn("said", said)
+    """Keyword readings of a log made from events and parts."""
+    log, keys = spoken(spark, d)
+    found = context.context_events(log.select("id", text.match_text("text").alias("match")), keys.where("kind = 'name'").drop("kind"))
+    return found.drop("score")
+
+
+@query(f"""WITH {NAMES}, s AS ({SPOKEN})
+ SELECT id, CASE WHEN kind = 'click' THEN 'move' WHEN kind = 'purchase' THEN 'faint' WHEN kind = 'signup' AND id % 4 = 0 THEN 'supereffective' WHEN kind = 'signup' AND id % 4 = 1 THEN 'unboost' END AS shape,
+  kind = 'signup' AND id % 4 = 0 AS aimed
+ FROM s""")
+def surface_shapes(spark, d):
+    """The shapes that only one kind has, of a log made from events and parts."""
+    log, _ = spoken(spark, d)
+    rows = log.select("id", text.match_text("text").alias("text"))
+    shapes = F.array_intersect(shapes_of(F.col("text")), F.array(*map(F.lit, ("faint", "supereffective", "unboost"))))
+    theirs = F.startswith("text", F.lit(context.OPPONENT)) & ~F.contains("text", F.lit("倒れ"))
+    return rows.select("id", F.when(theirs, "move").otherwise(F.get(shapes, F.lit(0))).alias("shape"), effect_target_shape(F.col("text")).alias("aimed"))
+
+
+@query()
+def bundled_parse(spark, d):
+    """The bundled log, worn texts included, through the whole cascade; without oracle, see tests/test_cascade.py."""
+    log = fixtures.messages(spark)
+    rows = log.select("id", "confidence", text.both_texts("text").alias("t")).select("id", "confidence", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
+    views = templates.surfaces_of(log.select("id", "text")).select("id", "priority", text.match_text("text").alias("match"))
+    views = views.groupBy("id", "match").agg(F.min("priority").alias("priority")).where("match <> ''")
+    return cascade.cascade(rows, views, fixtures.rules(spark), fixtures.keys(spark))
