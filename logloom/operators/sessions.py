@@ -1,7 +1,7 @@
 """Keyed state machines: the phase gate and the message watcher.
 
 Each has one pure transition function. Batch runs feed it the time-ordered rows of a key
-through applyInPandas; the streaming twins in logloom.streaming feed it
+through mapInPandas; the streaming twins in logloom.streaming feed it
 from a state store. Keys are spread over tasks; one key's rows need their order.
 """
 
@@ -38,10 +38,16 @@ def _streak(now: int, wanted: bool) -> int:
 
 
 def advance_gate(state: GateState, row: dict, cfg: GateConfig = GateConfig()) -> list[str]:
-    """Take one sample (timestamp_ms, hud, vs or None, busy) into the state; return what changed."""
+    """Take one sample (timestamp_ms, hud, vs or None, busy; activity and ended where they are known) into the
+    state; return what changed. An end is final; activity renews the lease of an open phase."""
     if state.phase == "ended":
         return []
     ts, out = int(row["timestamp_ms"]), []
+    if row.get("ended") is True:
+        state.phase, state.changed_at = "ended", ts
+        return ["battle_ended"]
+    if row.get("activity") is True and state.phase == "message_candidate":
+        state.activity_at = ts
 
     def enter(phase: str, said: str) -> None:
         if state.phase == phase:
@@ -251,7 +257,7 @@ def run_sessions(samples: DataFrame, new_state: Callable[[], object], step: Call
 
 
 def phase_gate(samples: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
-    """Phase transitions of samples(battle_id, timestamp_ms, seq, hud, vs, busy)."""
+    """Phase transitions of samples(battle_id, timestamp_ms, seq, hud, vs, busy[, activity, ended])."""
     return run_sessions(samples, GateState, gate_rows, cfg, GATE_OUT)
 
 

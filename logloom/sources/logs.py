@@ -155,7 +155,7 @@ class DocumentStore:
     """Documents by id in a Parquet folder partitioned by a hash of the id.
 
     put appends a batch; get and latest look at the newest version of an id; compact
-    rewrites the folder without the older ones.
+    rewrites the folder without the older ones, on which all() then has no work left.
     """
 
     SCHEMA = "id string, updated_at string, body string"
@@ -183,6 +183,19 @@ class DocumentStore:
         bucket = F.pmod(F.xxhash64(F.lit(key)), F.lit(self.buckets)).cast("int")
         return self.versions().where((F.col("bucket") == bucket) & (F.col("id") == key)).orderBy(F.desc("updated_at"), F.desc("body")).limit(1).select("id", "updated_at", "body")
 
+    def compact(self) -> None:
+        """Replace the folder by one with the newest version of each id; readers of the old files must be done.
+
+        The new folder is whole before the old one goes, so a run that ends in between loses nothing.
+        """
+        following = f"{self.path.rstrip('/')}.next"
+        keyed = self.all().select("id", "updated_at", "body", F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        keyed.write.mode("overwrite").partitionBy("bucket").parquet(following)
+        old, new = (self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (self.path, following))
+        files = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        files.rename(new, old)
+
     def latest(self) -> DataFrame:
         return self.versions().orderBy(F.desc("updated_at"), F.desc("id")).limit(1).select("id", "updated_at", "body")
 
