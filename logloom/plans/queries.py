@@ -17,7 +17,7 @@ from logloom.operators import aggregates, cascade, context, entities, gate, join
 from logloom.operators.shapes import effect_target_shape, shapes_of
 from logloom.plans import fixtures
 from logloom.sources import logs, rulesets
-from logloom.views import event_log, fixed, messages, table
+from logloom.views import event_log, fixed, messages, spread, table
 
 HOUR = 3_600_000
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -374,7 +374,7 @@ GATE_MATCH = r"lower(regexp_replace(regexp_replace(text, '[!?.,:;()|*$%&#_]', ''
    AND len(list_filter(list_filter(string_split(normal, ' '), lambda t: t <> ''), lambda t: length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) <= 1)) / len(list_filter(string_split(normal, ' '), lambda t: t <> '')) >= 0.5 THEN 'other_noise'
   WHEN sure < 0.5 THEN 'low_confidence_no_action_signal' WHEN length(match) >= 6 AND sure >= 0.7 THEN 'accepted' WHEN length(match) < 3 THEN 'too_short' ELSE 'other_noise' END AS reason FROM m""")
 def gate_decisions(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     match = F.lower(F.regexp_replace(F.regexp_replace("text", r"[!?.,:;()|*$%&#_]", ""), r"\s+", ""))
     normal = F.trim(F.regexp_replace("text", r"\s+", " "))
     made = docs.select("doc_id", match.alias("match"), normal.alias("normal"))
@@ -383,7 +383,7 @@ def gate_decisions(spark, d):
 
 @query()
 def gate_decisions_all(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.both_texts("text").alias("t")).select("doc_id", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", text.both_texts("text").alias("t")).select("doc_id", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
     return docs.select("doc_id", gate.gate_reason(F.col("match"), F.col("normal"), (F.col("doc_id") % 100) / 100.0, F.lit(None).cast("array<string>")).alias("reason"))
 
 
@@ -452,7 +452,7 @@ def dictionary_spans(spark, d):
   UNION ALL SELECT doc_id, ls[k + 1], 20 + k FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM l))
  SELECT doc_id, md5(text) AS view_md5, min(priority)::INT AS priority FROM v GROUP BY doc_id, text""")
 def line_windows(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
     return templates.surfaces_of(docs).select(F.col("id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("view_md5"), "priority")
 
 
@@ -469,7 +469,7 @@ def similarity_contains(spark, d):
 
 @query()
 def normalize_match_text(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.select("doc_id", text.both_texts("text").alias("t")).select("doc_id", "t.normalized", "t.match")
 
 

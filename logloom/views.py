@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, where a scan has fewer (a file of one row group): for work that
+    costs far more than a shuffle of them. Large tables have more partitions and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def millis(ts: Column) -> Column:
     """Milliseconds since the epoch of a zone-less UTC time."""
     return F.unix_millis(ts.cast("timestamp"))
