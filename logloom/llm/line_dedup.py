@@ -269,7 +269,7 @@ def _probe_hashes(hashed: DataFrame, index: LineIndex, min_docs: int) -> DataFra
 
 def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: Sequence[str] = ()) -> DataFrame:
     """Return doc_id, text (the lines that stay, joined by \\n), n_lines, n_dropped and the columns
-    named in carry for each row of docs.
+    named in carry for each row of docs; a name of a result column in carry is passed over.
 
     A line goes if its key is in the index, has min_docs documents, and this isn't the
     largest doc_id that holds it. A null or empty text is one empty line. Rows that
@@ -282,6 +282,7 @@ def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int =
     """
     spark = docs.sparkSession
     short_batches(spark)
+    carry = [c for c in carry if c not in ("doc_id", "text", "n_lines", "n_dropped")]
     state = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -306,7 +307,7 @@ def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int =
         lost = reduce(DataFrame.unionByName, marks).groupBy(F.col("row_key").alias("lost_key")).agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("gone"))
         state = keyed.join(lost, keyed["row_key"] == lost["lost_key"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     lines = F.split("text", "\n")
-    kept = F.when(F.size("gone") == 0, lines).otherwise(F.filter(lines, lambda _, k: ~F.array_contains(F.col("gone"), k)))
+    kept = F.when(F.size("gone") == 0, lines).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda k: F.get(lines, k)))
     made = state.select("doc_id", kept.alias("kept"), F.size("gone").cast("long").alias("n_dropped"), "carried")
     return made.select(
         "doc_id", F.array_join("kept", "\n").alias("text"), (F.size("kept") + F.col("n_dropped")).alias("n_lines"), "n_dropped", *[F.col("carried")[c].alias(c) for c in carry]
