@@ -4,10 +4,11 @@ Two documents are linked if their fingerprints are within the distance of operat
 at its anchors, or if the Jaccard similarity of their sets of shingles is at least SIMILARITY.
 At that similarity some ten of 64 bits differ, which no covering of practical size finds; so pairs
 of the second kind come from MinHash bands beside the anchors and are checked exactly, in joins.
-A band bucket is first compared with one leader only, of which there are LEADERS by turns; what
-fingerprints and these links have put into one component needs no further pair, so a large group
-of near copies takes pairs in proportion to its size. The pairs of a bucket whose ends are
-still apart are all checked then, so the components are those of all pairs of all buckets.
+A band bucket is first compared with its leader only, the set that shares the most buckets: in a group of
+copies the original. What fingerprints and these links have put into one component
+needs no further pair, so a large group of near copies takes pairs in proportion to its size. What
+is still apart in a bucket is then compared inside a join that returns the similar pairs
+alone, so the components are those of all pairs of all buckets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import BROADCAST_IDS, scratch, short_batches, without_ids, written
@@ -29,8 +30,6 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 #: MinHash bands and rows of a band: a pair of similarity 0.8 is in no common bucket with
 #: a chance of (1 - 0.8 ** 5) ** 24, which is 7 in 100,000.
 BANDS, ROWS = 24, 5
-#: Orders by which the bands choose the leader of a bucket.
-LEADERS = 3
 #: Shingle hashes that are permuted at once.
 BLOCK = 1 << 12
 
@@ -96,13 +95,19 @@ def shingle_sets(sketches: DataFrame, wanted: DataFrame) -> DataFrame:
     return one.select("set_id", made("text").alias("shingles"))
 
 
+def enough_shared(a: str, b: str) -> Column:
+    """Whether the Jaccard similarity of two shingle sets is at least SIMILARITY; sizes that rule it out are looked at first."""
+    part, whole = SIMILARITY
+    n, m = F.size(a), F.size(b)
+    shared = F.size(F.array_intersect(a, b))
+    return (F.least(n, m) * whole >= F.greatest(n, m) * part) & (shared * whole >= (n + m - shared) * part)
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(u, v, ...) of set ids whose Jaccard similarity is at least SIMILARITY."""
     first = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("a"))
     second = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(first, "u").join(second, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
-    part, whole = SIMILARITY
-    return both.where(F.col("shared") * whole >= (F.size("a") + F.size("b") - F.col("shared")) * part).select(*pairs.columns)
+    return pairs.join(first, "u").join(second, "v").where(enough_shared("a", "b")).select(*pairs.columns)
 
 
 def rooted_by(sets: DataFrame, links: DataFrame, put: Put) -> DataFrame:
@@ -111,26 +116,30 @@ def rooted_by(sets: DataFrame, links: DataFrame, put: Put) -> DataFrame:
     return sets.join(found, sets["root"] == found["node"], "left").withColumn("root", F.coalesce("new_root", "root")).drop("node", "new_root")
 
 
-def bucket_links(rooted: DataFrame, buckets: DataFrame, sketches: DataFrame, put: Put) -> DataFrame:
+def bucket_links(rooted: DataFrame, sketches: DataFrame, put: Put) -> DataFrame:
     """Links (u, v) of roots of rooted(set_id, root) by which all similar pairs of a bucket are joined."""
+    one = sketches.groupBy("set_id").agg(F.first("buckets").alias("buckets"))
+    dealt = one.join(rooted.select("set_id", "root"), "set_id").select("set_id", "root", F.posexplode("buckets").alias("band", "bucket"))
     # Buckets of one root have nothing to tell.
-    named = buckets.join(rooted.select("set_id", "root"), "set_id")
-    rank = F.xxhash64("set_id", F.col("band") % LEADERS)
-    leaders = named.groupBy("band", "bucket").agg(
-        F.min_by(F.struct(F.col("set_id").alias("u"), F.col("root").alias("root_u")), rank).alias("leader"), (F.min("root") != F.max("root")).alias("apart")
-    )
-    named = put(named.join(leaders.where("apart").select("band", "bucket", "leader.*"), ["band", "bucket"]), "buckets")
+    several = dealt.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "bucket", "n")
+    named = put(dealt.join(several, ["band", "bucket"]), "buckets")
+    shares = named.groupBy("set_id").agg(F.sum("n").alias("shares"))
+    leaders = named.join(shares, "set_id").groupBy("band", "bucket").agg(F.max_by(F.struct(F.col("set_id").alias("u"), F.col("root").alias("root_u")), F.struct("shares", "set_id")).alias("leader"))
+    named = put(named.join(leaders.select("band", "bucket", "leader.*"), ["band", "bucket"]), "led-buckets")
     sets = put(shingle_sets(sketches, put(named.select("set_id").distinct(), "bucket-sets")), "shingle-sets")
     star = named.where("root != root_u").select("u", F.col("set_id").alias("v"), "root_u", F.col("root").alias("root_v")).distinct()
     found = put(similar(star, sets), "star-links")
     # What the leaders have joined needs no pair any more; they have been compared with all others.
     joined = components(found.select("root_u", "root_v").toDF("u", "v"), put).toDF("node", "last_root")
     late = named.where("set_id != u").join(joined, named["root"] == joined["node"], "left").select("band", "bucket", "set_id", F.coalesce("last_root", "root").alias("root"))
-    still = late.groupBy("band", "bucket").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("band", "bucket")
-    late = put(late.join(still, ["band", "bucket"]), "late-buckets")
-    left, right = (late.select("band", "bucket", F.col("set_id").alias(at), F.col("root").alias(f"root_{at}")) for at in ("u", "v"))
-    more = left.join(right, ["band", "bucket"]).where("u < v AND root_u != root_v").select("u", "v", "root_u", "root_v").distinct()
-    return found.unionByName(put(similar(more, sets), "late-links")).select("root_u", "root_v").toDF("u", "v")
+    still = late.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "bucket")
+    late = put(late.join(still, ["band", "bucket"]).join(sets, "set_id").join(one, "set_id"), "late-buckets")
+    left, right = (late.select("band", "bucket", *[F.col(c).alias(f"{c}_{at}") for c in ("set_id", "root", "shingles", "buckets")]) for at in ("u", "v"))
+    # Two sets are compared in the first band that they share, and leave the join only if they are similar.
+    first_band = F.array_position(F.zip_with("buckets_u", "buckets_v", lambda x, y: x == y), True) == F.col("band") + 1
+    close = (F.col("set_id_u") < F.col("set_id_v")) & (F.col("root_u") != F.col("root_v")) & first_band & enough_shared("shingles_u", "shingles_v")
+    more = left.join(right, ["band", "bucket"]).where(close).select("root_u", "root_v")
+    return found.select("root_u", "root_v").unionByName(put(more, "late-links")).toDF("u", "v")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -152,8 +161,7 @@ def copies(docs: DataFrame) -> DataFrame:
         near = put(further_links(rooted), "near-prints")
         first = rooted.select(F.col("fp").alias("root"), F.col("root").alias("first_root"))
         sets = put(rooted_by(sets.join(first, "root").select("set_id", "least_id", F.col("first_root").alias("root")), near, put), "rooted-sets")
-        buckets = sketches.select("set_id", F.posexplode("buckets").alias("band", "bucket")).distinct()
-        sets = rooted_by(sets, bucket_links(sets, buckets, sketches, put), put)
+        sets = rooted_by(sets, bucket_links(sets, sketches, put), put)
         least = sets.groupBy("root").agg(F.min("least_id").alias("component_id"))
         classes = sets.join(least, "root").select("set_id", "component_id")
         return written(sketches.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "component_id"), "copies")
