@@ -438,7 +438,11 @@ def fuzzy_part_match(spark, d):
 SPAN_WORDS = ["the", "than", "tion", "and", "ing", "reat", "for"]
 
 
-@query()
+@query(f"""WITH w AS (SELECT unnest({SPAN_WORDS}) AS key), t AS (SELECT conv_id || '-' || turn AS id, text FROM conversations),
+ o AS (SELECT id, {{'o': -length(key), 's': p - 1, 'e': p - 1 + length(key), 'k': key}} AS x FROM t, w, unnest(range(1, length(text) - length(key) + 2)) r(p) WHERE substr(text, p, length(key)) = key),
+ g AS (SELECT id, list_sort(list_distinct(list(x))) AS xs FROM o GROUP BY id),
+ k AS (SELECT id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda got, x: CASE WHEN len(list_filter(got, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN got ELSE list_concat(got, x) END)) AS x FROM g)
+ SELECT id, x.s::INT AS start, x.e::INT AS "end", x.k AS key FROM k""")
 def dictionary_spans(spark, d):
     lines = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     keys = spark.createDataFrame([(w,) for w in SPAN_WORDS], "key string")
@@ -458,7 +462,9 @@ def line_windows(spark, d):
 
 @query("""SELECT p_partkey, p_name, bool_or(p_name = x OR contains(p_name, x) ) AS held FROM part, (VALUES ('lace'), ('rose')) v(x) GROUP BY ALL""", name="contains_exactly")
 def contains_exactly(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_name", (F.contains("p_name", F.lit("lace")) | F.contains("p_name", F.lit("rose"))).alias("held"))
+    """With a threshold above 1 only containment word for word is left of the fuzzy one."""
+    held = [text.contains_fuzzily(F.col("p_name"), F.lit(w), 1.1) for w in ("lace", "rose")]
+    return table(spark, d, "part").select("p_partkey", "p_name", (held[0] | held[1]).alias("held"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_name, length(p_name) AS n FROM part)
@@ -480,7 +486,8 @@ def ocr_similarity(spark, d):
     return pairs.select("a", "b", text.ocr_similarity("a", "b").alias("score"))
 
 
-@query()
+@query("""SELECT p_partkey, lower(to_base(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_brand || chr(31) || p_name, ''), lambda c: ord(c)::BIGINT)),
+  lambda h, c: (xor(h, c) * 16777619) & 4294967295), 36)) AS rule_id FROM part""")
 def rule_hash(spark, d):
     return table(spark, d, "part").select("p_partkey", text.rule_hash(F.col("p_brand"), F.col("p_name")).alias("rule_id"))
 
@@ -588,14 +595,20 @@ def doc_schema_backfill(spark, d):
     return found.select(F.col("key").alias("id"), "error", F.size("warnings").alias("n_warnings"), F.when(F.col("ok"), F.col("summary.detected")).otherwise(0).alias("detected"))
 
 
-@query("SELECT conv_id AS battle_id, count(*)::INT AS n_messages FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id AS battle_id, count(*)::INT AS n_messages, count(*) FILTER (WHERE role = 'assistant')::INT AS n_events, count(*) FILTER (WHERE role = 'user')::INT AS n_unknowns,
+ coalesce(sum(turn) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS event_times, coalesce(sum(length(text)) FILTER (WHERE role = 'user'), 0)::BIGINT AS unknown_chars FROM conversations GROUP BY conv_id""")
 def document_round_trip(spark, d):
     """Build a document for each conversation, parse it again, and count what came back."""
     rows = messages(spark, d).select("battle_id", "id", F.lit(None).cast("string").alias("observationId"), F.col("raw_text").alias("rawText"), F.lit(None).cast("double").alias("ocrConfidence"), F.col("seq").alias("timestampMs"))
-    events = rows.limit(0).select("battle_id", "id", F.lit("move").alias("type"), "timestampMs")
-    unknowns = rows.limit(0).select("battle_id", "id", "timestampMs", "rawText")
+    side = messages(spark, d).select(F.col("id").alias("of"), "side")
+    told = rows.join(side, rows["id"] == side["of"])
+    events = told.where("side = 'assistant'").select("battle_id", "id", F.lit("move").alias("type"), "timestampMs")
+    unknowns = told.where("side = 'user'").select("battle_id", "id", "timestampMs", "rawText")
     docs = logs.build_documents(rows, events, unknowns)
-    return logs.parse_documents(docs, "json").where("ok").select("battle_id", F.size("ocrMessages").alias("n_messages"))
+    back = logs.parse_documents(docs, "json").where("ok")
+    times = F.aggregate("events", F.lit(0).cast("bigint"), lambda a, e: a + e["timestampMs"])
+    chars = F.aggregate("unknowns", F.lit(0).cast("bigint"), lambda a, u: a + F.length(u["rawText"]))
+    return back.select("battle_id", F.size("ocrMessages").alias("n_messages"), F.size("events").alias("n_events"), F.size("unknowns").alias("n_unknowns"), times.alias("event_times"), chars.alias("unknown_chars"))
 
 
 @query()
