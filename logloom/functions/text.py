@@ -59,6 +59,11 @@ def match_text(raw: pd.Series) -> pd.Series:
     return raw.map(match_form, na_action="ignore")
 
 
+def squeezed(normal: Column) -> Column:
+    """The match text of a normalised text, as an expression."""
+    return F.lower(F.regexp_replace(normal, PUNCTUATION.pattern, ""))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 minus the edit distance over the longer length; equal texts give 1, also empty ones."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -13,10 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import similarity
+from logloom.functions.text import normalize_text, similarity, squeezed
 from logloom.operators.entities import dictionary_spans, match_entries, sized
 from logloom.sources.shared import scratch, written
 
+OPPONENT = "相手の"
 MARK = r"\{([a-z]+)(?:\[[0-9]+\])?\}"
 #: Longest captured text of a slot.
 SLOT = 18
@@ -230,6 +231,31 @@ def surfaces_of(messages: DataFrame) -> DataFrame:
     return views.groupBy("id", "text").agg(F.min("priority").alias("priority"))
 
 
+#: Characters of noise that may follow a message.
+NOISE = 10
+
+
+def match_surfaces(views: DataFrame) -> DataFrame:
+    """(id, priority, match) of views(id, priority, text), as surfaces_of makes them, with more of each: what stands up to an exclamation
+    mark behind which little follows, the text without a short last word, and, of all these, what begins at the
+    mark of the other side. Equal match texts of a message once, with the least priority."""
+    rows = views.select("id", "priority", normalize_text("text").alias("normal"))
+    parts = F.split("normal", "!")
+    upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.struct(
+        F.trim(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "!"), F.lit("!"))).alias("text"), F.trim(F.array_join(F.slice(parts, k + 1, F.size(parts)), "!")).alias("rest"),
+    ))
+    ended = F.filter(upto, lambda v: (F.size(parts) > 1) & (v["text"] != "!") & (v["rest"] != "") & (F.length(squeezed(v["rest"])) <= NOISE))
+    ended = F.transform(ended, lambda v, k: F.struct((F.lit(30) + k).alias("more"), v["text"].alias("text")))
+    short = F.regexp_extract("normal", "^(.+?)[\\s\u3000]+[A-Za-z0-9ぁ-んァ-ヶー一-龯]{1,10}$", 1)
+    trimmed = F.filter(F.array(F.struct(F.lit(34).alias("more"), short.alias("text"))), lambda v: v["text"] != "")
+    own = F.array(F.struct(F.lit(0).alias("more"), F.col("normal").alias("text")))
+    every = rows.select("id", "priority", F.explode(F.concat(own, ended, trimmed)).alias("v"))
+    every = every.select("id", (F.col("priority") + F.col("v.more")).alias("priority"), squeezed(F.col("v.text")).alias("match"))
+    at = F.instr("match", OPPONENT)
+    behind = every.where(at > 1).select("id", (F.col("priority") + 40).alias("priority"), F.substring("match", at, F.length("match")).alias("match"))
+    return every.unionByName(behind).where("match <> ''").groupBy("id", "match").agg(F.min("priority").alias("priority")).select("id", "priority", "match")
+
+
 def typed_placeholders(texts: Column, policy: Column) -> Column:
     """Replace {0}, {1}, ... by the names in the array policy, the last one for those beyond it."""
     numbers = F.transform(F.regexp_extract_all(texts, F.lit(r"\{([0-9]+)\}"), F.lit(1)), lambda d: d.cast("int"))

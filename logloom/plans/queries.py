@@ -759,6 +759,5 @@ def bundled_parse(spark, d):
     """The bundled log, worn texts included, through the whole cascade; without oracle, see tests/test_cascade.py."""
     log = fixtures.messages(spark)
     rows = log.select("id", "confidence", text.both_texts("text").alias("t")).select("id", "confidence", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
-    views = templates.surfaces_of(log.select("id", "text")).select("id", "priority", text.match_text("text").alias("match"))
-    views = views.groupBy("id", "match").agg(F.min("priority").alias("priority")).where("match <> ''")
+    views = templates.match_surfaces(templates.surfaces_of(log.select("id", "text")))
     return cascade.cascade(rows, views, fixtures.rules(spark), fixtures.keys(spark))

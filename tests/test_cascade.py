@@ -30,6 +30,7 @@ CASES = [
     ("03:15", 0.9, ("unknown", None, None, None, None, None, None)),
     ("", 0.9, ("unknown", None, None, None, None, None, None)),
     (None, None, ("unknown", None, None, None, None, None, None)),
+    ("アオマルの ひのたま！ ｘｙ", 0.9, ("template", "move", "アオマル", None, "ひのたま", None, None)),
     ("ドロバンの", 0.9, ("unknown", None, None, None, None, None, None)),
     ("アオマルとユキネ", 0.9, ("double_entry", "switch_in", "アオマル", None, None, None, None)),
 ]
@@ -39,8 +40,7 @@ CASES = [
 def parsed(spark):
     log = spark.createDataFrame([(k, t, c) for k, (t, c, _) in enumerate(CASES)], "id int, text string, confidence double")
     rows = log.select("id", "confidence", text.both_texts("text").alias("t")).select("id", "confidence", F.col("t.normalized").alias("normal"), F.coalesce("t.match", F.lit("")).alias("match"))
-    views = templates.surfaces_of(log.select("id", F.coalesce("text", F.lit("")).alias("text"))).select("id", "priority", text.match_text("text").alias("match"))
-    views = views.groupBy("id", "match").agg(F.min("priority").alias("priority")).where("match <> ''")
+    views = templates.match_surfaces(templates.surfaces_of(log.select("id", F.coalesce("text", F.lit("")).alias("text"))))
     out = {}
     for r in cascade.cascade(rows, views, fixtures.rules(spark), fixtures.keys(spark)).orderBy("id", "actor").collect():
         out.setdefault(int(r["id"]), []).append(r)
@@ -118,3 +118,12 @@ def test_evidence_and_mega_forms(spark):
     forms = spark.createDataFrame([("メガユキネ",), ("メガアオマルX",), ("メガアオマルY",)], "label string")
     events = spark.createDataFrame([(1, "ユキネ", None), (2, "アオマル", "アオマルY"), (3, "アオマル", None), (4, "ドロバン", "x")], "id int, actor string, captured string")
     assert {r["id"]: r["mega_form"] for r in context.mega_form_of(events, forms).collect()} == {1: "メガユキネ", 2: "メガアオマルY"}
+
+
+def test_surfaces_without_noise(spark):
+    views = spark.createDataFrame([(1, 0, "いろ 相手のアオマルは! 倒れた! xy 12"), (2, 5, "a!bcdefghijklmn"), (3, 0, "!!")], "id int, priority int, text string")
+    got = {(r["id"], r["match"]): r["priority"] for r in templates.match_surfaces(views).collect()}
+    assert got == {
+        (1, "いろ相手のアオマルは倒れたxy12"): 0, (1, "いろ相手のアオマルは"): 30, (1, "いろ相手のアオマルは倒れた"): 31, (1, "いろ相手のアオマルは倒れたxy"): 34,
+        (1, "相手のアオマルは倒れたxy12"): 40, (1, "相手のアオマルは"): 70, (1, "相手のアオマルは倒れた"): 71, (1, "相手のアオマルは倒れたxy"): 74, (2, "a!bcdefghijklmn".replace("!", "")): 5,
+    }
