@@ -212,7 +212,11 @@ def decode(rows: DataFrame, source: str, ids: str = "ids", into: str = "decoded"
 
 def round_trip(docs: DataFrame, source: str, text: str = "text") -> DataFrame:
     """Digests of each text's ids and of the text decoded from them, made in one pass so that
-    neither leaves the worker. Returns doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    neither leaves the worker. Returns doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text is an empty one, repeated rows give equal digests, an empty table an empty one. Texts
+    may be of any length, word by word; a word of over 96 bytes is merged by a heap.
+    """
 
     def make(own: Vocabulary, texts: pd.Series) -> pd.DataFrame:
         rows = []

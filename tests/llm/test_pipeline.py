@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_copies import slow_copies
 from test_text_operators import ITEM, slow_fingerprint, slow_line_dedup
 
@@ -102,3 +103,14 @@ def test_stages_take_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, folder, name).limit(0).write.parquet(f"{root}/{name}.parquet")
     assert corpus_pipeline.run(spark, root).count() == 0
+
+
+def test_pipeline_takes_repeated_and_missing_ids(spark, folder, tmp_path):
+    root = f"file://{tmp_path}/odd"
+    long = " ".join(f"word{k}" for k in range(3000))
+    docs = [(1, "one text", "en", "s", 8), (1, "one text", "en", "s", 8), (None, long, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, long + " more", "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").withColumn("root", F.lit("own")).write.parquet(f"{root}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, folder, name).write.parquet(f"{root}/{name}.parquet")
+    # Rows of one id stay together, rows without one stay, and 2 stands for the empty texts. The row without an id names no group.
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.run(spark, root).collect()) == [0, 1, 1, 2, 4]
