@@ -113,7 +113,7 @@ def required_slots(kind: Column, actor: Column, target: Column, move: Column) ->
     return (
         F.when(kind == "move", actor.isNotNull() & move.isNotNull())
         .when(kind.isin("switch_in", "switch_out", "faint"), actor.isNotNull())
-        .when(kind.isin(either), actor.isNotNull() | target.isNotNull())
+        .when(kind.isin(*either), actor.isNotNull() | target.isNotNull())
         .otherwise(F.lit(True))
     )
 

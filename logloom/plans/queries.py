@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import signals, text
-from logloom.operators import aggregates, cascade, context, entities, gate, joins, lifecycle, sessions, templates, timeline
+from logloom.operators import aggregates, cascade, context, entities, gate, joins, lifecycle, readings, sessions, templates, timeline
 from logloom.operators.shapes import effect_target_shape, shapes_of
 from logloom.plans import fixtures
-from logloom.sources import logs, rulesets
+from logloom.sources import logs, reports, rulesets
 from logloom.views import event_log, fixed, messages, spread, table
 
 HOUR = 3_600_000
@@ -761,3 +761,107 @@ def bundled_parse(spark, d):
     rows = log.select("id", "confidence", text.both_texts("text").alias("t")).select("id", "confidence", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
     views = templates.match_surfaces(templates.surfaces_of(log.select("id", "text")))
     return cascade.cascade(rows, views, fixtures.rules(spark), fixtures.keys(spark))
+
+
+CAUSE_BITS = ", ".join(f"CASE WHEN (k >> {i}) % 2 = 1 THEN '{c}' END" for i, c in enumerate(aggregates.CAUSES))
+CAUSE_CASES = " ".join(f"WHEN list_contains(causes, '{c}') THEN '{c}'" for c in aggregates.CAUSES)
+CAUSE_LISTS = " ".join(f"WHEN '{c}' THEN {a}" for c, a in aggregates.CAUSE_ACTIONS.items())
+
+
+@query(f"""WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ c AS (SELECT event_id, list_filter([{CAUSE_BITS}], lambda x: x IS NOT NULL) AS causes FROM e),
+ a AS (SELECT *, list_sort(list_distinct(flatten(list_transform(causes, lambda x: CASE x {CAUSE_LISTS} END)))) AS found FROM c)
+ SELECT event_id, CASE {CAUSE_CASES} ELSE 'unclassified' END AS cause, array_to_string(CASE WHEN len(found) = 0 THEN ['review_only'] ELSE found END, ',') AS actions FROM a""")
+def cause_actions(spark, d):
+    """The first cause and the actions of sets of causes."""
+    rows = event_log(spark, d)
+    causes = F.array_compact(F.array(*[F.when(F.shiftright("identity", i) % 2 == 1, F.lit(c)) for i, c in enumerate(aggregates.CAUSES)]))
+    rows = rows.select(F.col("id").alias("event_id"), causes.alias("causes"))
+    return rows.select("event_id", aggregates.classification(F.col("causes")).alias("cause"), F.array_join(aggregates.actions_of(F.col("causes")), ",").alias("actions"))
+
+
+@query("""SELECT event_id, event_id % 4 >= 1 AND event_id % 9 >= 2 AND (event_id % 10) / 10.0::DOUBLE <= 0.55 AND CASE WHEN event_id % 2 = 0
+   THEN value / 60 >= 0.94 AND value / 50 >= 0.9 AND (event_id % 5) / 5.0::DOUBLE <= 0.35 AND (event_id % 7) / 7.0::DOUBLE >= 0.65 ELSE value / 60 >= 0.97 AND value / 50 >= 0.95 END AS strict,
+  CASE WHEN event_type = 'view' THEN event_id % 3 = 0 AND event_id % 5 = 0 WHEN event_type = 'signup' THEN event_id % 3 = 0 WHEN event_type = 'purchase' THEN event_id % 3 = 0 OR event_id % 4 = 0 ELSE true END AS has_parts,
+  value / 1000 BETWEEN 0.004 AND 0.18 AS dense,
+  CASE WHEN event_type = 'view' THEN 'primary' WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'suppressed' WHEN event_id % 3 = 0 THEN 'secondary' ELSE 'review' END AS shown
+ FROM events""")
+def picture_predicates(spark, d):
+    """The strict visual test, required parts, density and disposition of rows made from events."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    strict = lifecycle.strict_fallback(k % 4, k % 9, (k % 10) / 10.0, k % 2 == 0, F.col("value") / 60, F.col("value") / 50, (k % 5) / 5.0, (k % 7) / 7.0)
+    kind = F.when(F.col("event_type") == "view", "move").when(F.col("event_type") == "signup", "faint").when(F.col("event_type") == "purchase", "miss").otherwise("weather_start")
+    part = lambda n: F.when(k % n == 0, "x")
+    resolution = F.when(F.col("event_type") == "view", "resolved").when(F.col("event_type") == "click", "ocr_unknown").otherwise("unread")
+    shown = gate.disposition(resolution, F.when(k % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("m"))), F.when(k % 3 == 0, "secondary"))
+    return e.select("event_id", strict.alias("strict"), gate.required_slots(kind, part(3), part(4), part(5)).alias("has_parts"), gate.dense_enough(F.col("value") / 1000).alias("dense"), shown.alias("shown"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name || ' {0} and {1}' AS pattern, replace(p_type || ' X ' || p_brand, ' ', '_') AS label FROM part)
+ SELECT p_partkey, array_to_string(regexp_extract_all(pattern, '\{[^}]*\}'), ' ') AS signature, length(regexp_replace(pattern, '\{[^}]*\}', '', 'g'))::INT AS literal, array_to_string(string_split(label, '_')[1:3], '_') AS prefix,
+  regexp_matches(label, 'BRASS|Brand#1|STEEL') AND NOT regexp_matches(label, 'LARGE|SMALL') AS allowed, CASE WHEN p_partkey % 2 = 0 THEN 'time:5' ELSE 'frame:' || p_partkey || ':5' END AS frame FROM p""")
+def rule_shapes(spark, d):
+    """What rules are grouped and filtered by, of patterns and labels made from parts."""
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" {0} and {1}")).alias("pattern"), F.replace(F.concat("p_type", F.lit(" X "), "p_brand"), F.lit(" "), F.lit("_")).alias("label"))
+    return p.select(
+        "p_partkey", text.placeholder_signature(F.col("pattern")).alias("signature"), text.literal_length(F.col("pattern")).alias("literal"), text.label_prefix(F.col("label")).alias("prefix"),
+        gate.label_allowed(F.col("label"), ["BRASS", "Brand#1", "STEEL"], ["LARGE", "SMALL"]).alias("allowed"), text.frame_reference(F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey")), F.lit(5)).alias("frame"),
+    )
+
+
+@query(f"""WITH {NAMES}, s AS ({SPOKEN})
+ SELECT id, CASE WHEN kind = 'view' THEN 'switch_in' WHEN kind = 'purchase' THEN 'faint' WHEN kind = 'signup' THEN CASE id % 4 WHEN 0 THEN 'supereffective' WHEN 1 THEN 'unboost' WHEN 2 THEN 'damage' ELSE 'critical' END ELSE 'activate' END AS event_type,
+  id % 5 = 0 AS hidden, id % 5 <> 0 AND (id % 3 = 0 OR NOT (kind = 'error' OR (kind = 'click' AND false) OR (kind = 'signup' AND false))) AS battle,
+  kind = 'error' AND (id % 2 = 0 OR length(name_key) BETWEEN 2 AND 14 OR length(name_key) < 5) AS fragment, kind = 'error' AND id % 2 = 0 AS noise FROM s""")
+def rule_filters(spark, d):
+    """Types, filters and noise tests of the texts of a log made from events and parts."""
+    log, _ = spoken(spark, d)
+    rows = log.select("id", text.both_texts("text").alias("t")).select("id", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
+    label = F.when(F.col("id") % 5 == 0, "X_INFO_1").when(F.col("id") % 3 == 0, "BTL_MSG")
+    return rows.select(
+        "id", rulesets.keyword_type(F.col("match")).alias("event_type"), rulesets.non_live(label, F.col("match")).alias("hidden"), rulesets.battle_related(F.lit("a.json"), label, F.col("match")).alias("battle"),
+        reports.likely_fragment(F.col("match")).alias("fragment"), reports.likely_ui_noise(F.lit(False), F.col("normal"), F.col("match")).alias("noise"),
+    )
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations)
+ SELECT conv_id AS job_id, coalesce(string_agg(trim(text), chr(10) ORDER BY turn) FILTER (WHERE trim(text) <> ''), '') AS text, floor(avg(CASE WHEN turn % 2 = 0 THEN (turn % 10) / 10.0::DOUBLE END) * 1e6 + 0.5) / 1e6 AS confidence,
+  count(*)::INT AS n_lines FROM s WHERE nth <= 3 GROUP BY conv_id""")
+def combined_readings(spark, d):
+    """The first segments of each conversation as one reading."""
+    turns = table(spark, d, "conversations")
+    segments = turns.select(F.col("conv_id").alias("job_id"), F.lit("r").alias("reading_id"), F.col("turn").alias("nth"), "text", F.when(F.col("turn") % 2 == 0, (F.col("turn") % 10) / 10.0).alias("confidence"), F.array("role").alias("lines"))
+    found = readings.combined_reading(readings.reading_candidates(segments))
+    return found.select("job_id", "text", fixed(F.col("confidence"), 6).alias("confidence"), F.size("lines").alias("n_lines"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS iso, replace(replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z', ':', '-'), '.', '-') AS stamp FROM events""")
+def time_stamps(spark, d):
+    return event_log(spark, d).select(F.col("id").alias("event_id"), readings.iso_time(F.col("timestamp_ms")).alias("iso"), readings.file_stamp(F.col("timestamp_ms")).alias("stamp"))
+
+
+@query(f"""WITH {EV}, p AS (SELECT id, battle_id, type, 0 AS pack FROM ev WHERE type = 'view' UNION ALL SELECT id - 1, battle_id, type, 1 FROM ev UNION ALL SELECT id + 1, battle_id, type, 2 FROM ev WHERE type = 'click'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pack) AS place FROM p) SELECT id, battle_id, type FROM r WHERE place = 1""")
+def united_packs(spark, d):
+    """Three overlapping packs; of one id the earliest holds."""
+    ev = event_log(spark, d).select("id", "battle_id", "type")
+    return rulesets.united_packs(ev.where("type = 'view'"), ev.withColumn("id", F.col("id") - 1), ev.where("type = 'click'").withColumn("id", F.col("id") + 1))
+
+
+@query("""WITH r AS (SELECT p_brand AS file, p_type AS prefix, p_size % 3 AS signature, CASE WHEN p_size % 4 = 0 THEN 'activate' ELSE 'move' END AS event_type FROM part)
+ SELECT file, count(*) AS rules, count(DISTINCT prefix) AS prefixes, count(DISTINCT signature) AS signatures, count(DISTINCT event_type) AS types, floor(avg((event_type = 'activate')::INT) * 1e6 + 0.5) / 1e6 AS untyped_share,
+  CASE WHEN avg((event_type = 'activate')::INT) > 0.5 THEN 'hold' WHEN count(*) < 3 THEN 'review' ELSE 'enable' END AS advice FROM r GROUP BY file""")
+def file_profiles(spark, d):
+    rules = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_type").alias("prefix"), (F.col("p_size") % 3).alias("signature"), F.when(F.col("p_size") % 4 == 0, "activate").otherwise("move").alias("event_type"))
+    return rulesets.file_profile(rules).withColumn("untyped_share", fixed(F.col("untyped_share"), 6))
+
+
+@query("""WITH s AS (SELECT event_id, least(1.0, value / 80) AS before, (event_id % 11) / 10.0::DOUBLE AS after, (event_id % 7) / 7.0::DOUBLE AS bounds, (event_id % 13) / 13.0::DOUBLE AS contained, (event_id % 17) / 20.0::DOUBLE AS apart, event_id % 3 AS lines FROM events),
+ t AS (SELECT *, bounds >= 0.45 AND lines <= 1 AS structure FROM s)
+ SELECT event_id, after <= before AND before >= 0.65 AND structure AS progressive, apart <= 0.22 OR (after <= before AND before >= 0.65 AND structure) OR (after > before AND after >= 0.65 AND structure) OR (contained >= 0.7 AND structure) AS same FROM t""")
+def continued_pictures(spark, d):
+    """Whether a later picture continues an earlier message, over overlaps made from events."""
+    k = F.col("event_id")
+    overlap = F.struct(F.least(F.lit(1.0), F.col("value") / 80).alias("retained_before"), ((k % 11) / 10.0).alias("retained_after"), ((k % 13) / 13.0).alias("contained"))
+    rows = table(spark, d, "events").select("event_id", overlap.alias("overlap"), ((k % 7) / 7.0).alias("bounds"), ((k % 17) / 20.0).alias("apart"), (k % 3).alias("lines"))
+    return rows.select("event_id", signals.same_message(F.col("apart"), F.col("overlap"), F.col("bounds"), F.col("lines")).alias("s")).select("event_id", "s.*")
