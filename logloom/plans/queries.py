@@ -865,3 +865,47 @@ def continued_pictures(spark, d):
     overlap = F.struct(F.least(F.lit(1.0), F.col("value") / 80).alias("retained_before"), ((k % 11) / 10.0).alias("retained_after"), ((k % 13) / 13.0).alias("contained"))
     rows = table(spark, d, "events").select("event_id", overlap.alias("overlap"), ((k % 7) / 7.0).alias("bounds"), ((k % 17) / 20.0).alias("apart"), (k % 3).alias("lines"))
     return rows.select("event_id", signals.same_message(F.col("apart"), F.col("overlap"), F.col("bounds"), F.col("lines")).alias("s")).select("event_id", "s.*")
+
+
+@query("""WITH r AS (SELECT event_id, 100.0::DOUBLE + (event_id % 10) / 20.0::DOUBLE * 800 * least(1000 / 800.0::DOUBLE, 600 / (400.0::DOUBLE + event_id % 3 * 100)) - 100 + (1000 - 800 * least(1000 / 800.0::DOUBLE, 600 / (400.0::DOUBLE + event_id % 3 * 100))) / 2 AS x,
+  greatest(0.0, least(0.5 + (event_id % 7) / 10.0::DOUBLE, 1.0) - greatest((event_id % 7) / 10.0::DOUBLE, 0.2)) * 0.5 / (0.5 * 0.5 + 0.8 * 0.5 - greatest(0.0, least(0.5 + (event_id % 7) / 10.0::DOUBLE, 1.0) - greatest((event_id % 7) / 10.0::DOUBLE, 0.2)) * 0.5) AS overlap FROM events) SELECT event_id, floor(x * 1e6 + 0.5) / 1e6 AS x, floor(overlap * 1e6 + 0.5) / 1e6 AS overlap FROM r""")
+def placed_regions(spark, d):
+    """Where regions lie in a letterboxed display, and how far two boxes overlap."""
+    k, number = F.col("event_id"), lambda x: F.lit(float(x))
+    roi = F.struct(((k % 10) / 20.0).alias("x"), number(0.1).alias("y"), number(0.5).alias("w"), number(0.2).alias("h"))
+    box = signals.letterbox(roi, number(800), (400.0 + k % 3 * 100), number(1000), number(600))
+    one = F.struct(((k % 7) / 10.0).alias("x"), number(0).alias("y"), number(0.5).alias("width"), number(0.5).alias("height"))
+    two = F.struct(number(0.2).alias("x"), number(0).alias("y"), number(0.8).alias("width"), number(0.5).alias("height"))
+    return table(spark, d, "events").select("event_id", fixed(box["x"], 6).alias("x"), fixed(signals.bounds_overlap(one, two), 6).alias("overlap"))
+
+
+@query("""WITH e AS (SELECT 'p' || lpad(p_partkey::VARCHAR, 6, '0') AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN '♀' WHEN 1 THEN '♂' ELSE '' END AS label FROM part),
+ b AS (SELECT id, label, 1 AS part FROM e UNION ALL SELECT id, regexp_replace(label, '[♀♂]$', ''), 0 FROM e WHERE regexp_matches(label, '[♀♂]$')),
+ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id, CASE WHEN regexp_matches(label, '[♀♂]$') OR part = 1 THEN part ELSE 0 END) AS n FROM b)
+ SELECT id, label FROM r WHERE n = 1""")
+def marked_names(spark, d):
+    """Names with a gender mark also count without it, each name once."""
+    part = table(spark, d, "part")
+    mark = F.when(F.col("p_partkey") % 3 == 0, "♀").when(F.col("p_partkey") % 3 == 1, "♂").otherwise("")
+    entries = part.select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("id"), F.concat("p_name", mark).alias("label"), F.array().cast("array<string>").alias("aliases"))
+    return logs.expand_markers(entries).select("id", "label")
+
+
+@query(f"""WITH {EV} SELECT battle_id, type AS event_type, timestamp_ms, CASE WHEN id % 2 = 0 THEN 'time:' || timestamp_ms ELSE 'frame:' || id || ':' || timestamp_ms END AS at FROM ev WHERE type <> 'error'""")
+def context_records(spark, d):
+    """The look-back rows of accepted events."""
+    ev = event_log(spark, d).withColumn("event_type", F.when(F.col("type") != "error", F.col("type")))
+    none = F.lit(None).cast("string")
+    rows = ev.withColumns({"actor": none, "side": none, "reading": none, "frame": F.when(F.col("id") % 2 == 1, F.col("id"))})
+    return readings.accepted_records(rows).select("battle_id", "event_type", "timestamp_ms", "at")
+
+
+@query('SELECT epoch_us(ts) // 1000 AS "timestampMs", event_id::VARCHAR AS id, ' + " || ',' || ".join(CELL.format(c) for c in ("event_id::VARCHAR", "(epoch_us(ts) // 1000)::VARCHAR", "event_type", "''", "(user_id::VARCHAR || ', \"x\"')", "'player'", "''", "''", "''", "props", "props", "'0.5'", "'seed'", "''", "(event_id % 9)::VARCHAR")) + " AS line FROM events")
+def events_csv(spark, d):
+    e = event_log(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("id"), "props"), "id")
+    none = F.lit(None).cast("string")
+    rows = e.select(
+        F.col("id").cast("string").alias("id"), F.col("timestamp_ms").alias("timestampMs"), "type", F.lit(None).cast("int").alias("turn"), F.struct(F.concat(F.col("battle_id").cast("string"), F.lit(', "x"')).alias("name"), F.lit("player").alias("side")).alias("actor"),
+        none.alias("move"), F.struct(none.alias("name"), none.alias("side")).alias("target"), F.col("props").alias("rawText"), F.col("props").alias("normalizedText"), F.lit(0.5).alias("confidence"), F.lit("seed").alias("method"), none.alias("templateId"), (F.col("id") % 9).alias("frameIndex"),
+    )
+    return logs.events_csv(rows)
