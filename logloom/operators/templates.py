@@ -266,14 +266,6 @@ def typed_placeholders(texts: Column, policy: Column) -> Column:
     )
 
 
-def inferred_type(text: Column, rules: list[tuple[str, str]], default: str = "activate") -> Column:
-    """The event type of the first (pattern, type) whose pattern is found in the text."""
-    out = F.lit(default)
-    for pattern, kind in reversed(rules):
-        out = F.when(text.rlike(pattern), kind).otherwise(out)
-    return out
-
-
 def select_reading(readings: DataFrame) -> DataFrame:
     """One reading of each job of readings(job_id, reading_id, event_type, slots, method, confidence, length, bundle).
 

@@ -1,7 +1,8 @@
 """Event-time operators: duplicate suppression, runs, streaks, as-of look-ups.
 
 All are window expressions partitioned by the log's key, ordered by time and then by
-the row's own order column, so results don't depend on how rows are dealt.
+the row's own order column, so results don't depend on how rows are dealt. A key's rows meet in one
+task, sorted and spilled: a battle is as long as a battle is, however many there are.
 """
 
 from __future__ import annotations

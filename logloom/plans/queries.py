@@ -797,7 +797,7 @@ def picture_predicates(spark, d):
     return e.select("event_id", strict.alias("strict"), gate.required_slots(kind, part(3), part(4), part(5)).alias("has_parts"), gate.dense_enough(F.col("value") / 1000).alias("dense"), shown.alias("shown"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name || ' {0} and {1}' AS pattern, replace(p_type || ' X ' || p_brand, ' ', '_') AS label FROM part)
+@query(r"""WITH p AS (SELECT p_partkey, p_name || ' {0} and {1}' AS pattern, replace(p_type || ' X ' || p_brand, ' ', '_') AS label FROM part)
  SELECT p_partkey, array_to_string(regexp_extract_all(pattern, '\{[^}]*\}'), ' ') AS signature, length(regexp_replace(pattern, '\{[^}]*\}', '', 'g'))::INT AS literal, array_to_string(string_split(label, '_')[1:3], '_') AS prefix,
   regexp_matches(label, 'BRASS|Brand#1|STEEL') AND NOT regexp_matches(label, 'LARGE|SMALL') AS allowed, CASE WHEN p_partkey % 2 = 0 THEN 'time:5' ELSE 'frame:' || p_partkey || ':5' END AS frame FROM p""")
 def rule_shapes(spark, d):

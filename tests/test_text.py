@@ -116,7 +116,7 @@ def test_context_readings(spark):
     lines = [(1, "相手のアオマルは倒れた"), (2, "効果はバツグンだ"), (3, "能力が上がった"), (4, "アオマルの攻撃が下がった"), (5, "アオマルとキリカゼを繰り出した"), (6, "相手のキリカゼは命が少し削られた"), (7, "")]
     df = spark.createDataFrame([(k, text.match_form(t)) for k, t in lines], "id long, match string")
     got = {r["id"]: (r["event_type"], r["actor"], r["side"]) for r in context.context_events(df, keys).collect()}
-    assert got == {1: ("faint", "アオマル", "opponent"), 2: ("supereffective", None, None), 4: ("unboost", "アオマル", "player")}
+    assert got == {1: ("faint", "アオマル", "opponent"), 2: ("supereffective", None, None), 4: ("unboost", "アオマル", None)}
     assert sorted((r["id"], r["slot"], r["label"]) for r in context.double_entries(df, keys).collect()) == [(5, 1, "アオマル"), (5, 2, "キリカゼ")]
     assert [(r["id"], r["label"], r["side"]) for r in context.life_cost_events(df, keys).collect()] == [(6, "キリカゼ", "opponent")]
 
