@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logloom.llm.bpe import op8_bpe
+from logloom.llm.byte_bpe import op11_byte_bpe
 from logloom.llm.chat import OP9_SQL, op9_chat
 from logloom.llm.decontamination import op3_decontamination
 from logloom.llm.html_text import op2_html_text
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
