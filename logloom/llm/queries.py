@@ -13,6 +13,7 @@ from logloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from logloom.llm.secrets import OP10_SQL, op10_secrets
 from logloom.llm.simhash import op5_simhash
 from logloom.llm.toxicity import op6_toxicity
+from logloom.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op9_chat": OP9_SQL,
     "op10_secrets": OP10_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
