@@ -10,6 +10,7 @@ from logloom.llm.html_text import op2_html_text
 from logloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from logloom.llm.quality import op1_quality
 from logloom.llm.quality_rules import OP4_SQL, op4_quality_rules
+from logloom.llm.ranked_search import OP12_SQL, op12_ranked_search
 from logloom.llm.secrets import OP10_SQL, op10_secrets
 from logloom.llm.simhash import op5_simhash
 from logloom.llm.toxicity import op6_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_ranked_search": op12_ranked_search,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -35,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op9_chat": OP9_SQL,
     "op10_secrets": OP10_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
