@@ -64,9 +64,10 @@ class Ranks:
 
     @cached_property
     def map(self) -> list[bytes]:
-        """The pairs in two tables (cuckoo hashing) of slots of 12 bytes: the letters of rank, left and right id.
+        """The pairs in two tables (cuckoo hashing) of slots: the letters of rank, left and right id, and blanks.
 
-        The lower and the upper half of the XXH64 (seed 42) of a pair's letters give its two possible slots.
+        The lower and the upper half of the XXH64 (seed 42) of a pair's letters, from the bit on that
+        counts slots, give its two possible slots.
         """
         size = max(16, 1 << len(self.pairs).bit_length())
         while True:
@@ -74,7 +75,7 @@ class Ranks:
             for (left, right), rank in self.pairs.items():
                 held, side = letter(rank) + letter(left) + letter(right), 0
                 for _ in range(64):
-                    at = (xxhash.xxh64_intdigest(held[1:].encode(), 42) >> 32 * side) % size
+                    at = (xxhash.xxh64_intdigest(held[1:].encode(), 42) >> 32 * side) // SLOT % size
                     held, tables[side][at] = tables[side][at], held
                     side = 1 - side
                     if not held:
@@ -88,8 +89,8 @@ class Ranks:
 
 #: Inside the fold an id is the letter of this code point plus the id: always four bytes, sorted as the ids are.
 LETTERS = 1 << 16
-#: Bytes of a slot of the rank map.
-SLOT = 12
+#: Bytes of a slot of the rank map, a power of two.
+SLOT = 16
 
 
 def letter(number: int) -> str:
@@ -119,13 +120,13 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def slot_of(pair: Column, tables: list[Column], size: int) -> Column:
-    """The slot (rank, left, right) of two letters in the literal rank map, null where they never merge."""
+    """The slot (rank, left, right) of the letters of two ids in the literal rank map, null where they never merge."""
 
     def of_hash(hashed: Column) -> Column:
         found = []
         for table, half in zip(tables, (hashed, F.shiftrightunsigned(hashed, 32)), strict=True):
-            at = half.bitwiseAND(size - 1).cast("int") * SLOT
-            found.append(F.when(F.substring(table, at + 5, F.lit(8)) == pair.cast("binary"), F.substring(table, at + 1, F.lit(SLOT))))
+            at = half.bitwiseAND((size - 1) * SLOT).cast("int")
+            found.append(F.when(F.substring(table, at + 5, F.lit(8)) == pair, F.substring(table, at + 1, F.lit(12))))
         return F.coalesce(*found)
 
     return bound(F.xxhash64(pair), of_hash)
@@ -140,7 +141,8 @@ def folded(octets: Column, first: Column, tables: list[Column], size: int) -> Co
     """
 
     def merge(word: Column, _: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda k: slot_of(F.substring(word, k, F.lit(2)), tables, size))
+        pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda k: F.substring(word, k, F.lit(2)).cast("binary"))
+        found = F.transform(pairs, lambda pair: slot_of(pair, tables, size))
         replaced = lambda s: F.coalesce(F.replace(word, F.substring(s, 2, 2), F.substring(s, 1, 1)), F.concat(word, F.lit(" ")))
         return F.when(F.endswith(word, F.lit(" ")), word).otherwise(bound(F.array_min(found).cast("string"), replaced))
 
@@ -152,6 +154,14 @@ def folded(octets: Column, first: Column, tables: list[Column], size: int) -> Co
     return F.aggregate(octets, start, merge, ids)
 
 
+class Numbers(dict[str, int]):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Heap(Vocabulary):
     """The merges of a rank file for long words, in a worker."""
 
@@ -176,7 +186,7 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(WORDS).findall
         heap = None
-        known: dict[str, int] = {}
+        known = Numbers()
         codes: list[np.ndarray] = []
         carried: list[pa.RecordBatch] = []
         size = 0
@@ -212,7 +222,7 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
                     yield block()
                     start, size = k, 0
                 size += len(string)
-                codes.append(np.array([known.setdefault(w, len(known)) for w in find(string)], np.int32))
+                codes.append(np.array([*map(known.__getitem__, find(string))], np.int32))
             carried.append(batch.slice(start).select(range(1, 1 + len(carry))))
         if codes:
             yield block()
