@@ -61,6 +61,22 @@ def edit_candidates(texts: DataFrame, keys: DataFrame, least: float, band: int)
     return found.select("text", *keys.columns).distinct()
 
 
+def _scored(own: DataFrame, known: DataFrame, floor: float, band: int) -> DataFrame:
+    """(text, scope, entry_id, label, score) of the entries that score at least floor by their best key."""
+    pairs = edit_candidates(own, known, floor, band)
+    apart = F.abs(F.length("text") - F.length("key"))
+    raw = similarity(F.col("text"), F.col("key"))
+    scored = pairs.withColumn("score", F.when(F.col("text") == F.col("key"), 1.0).otherwise(raw - 0.08 * F.greatest(apart - 1, F.lit(0))))
+    return scored.where(F.col("score") >= floor).groupBy("text", "scope", "entry_id", "label").agg(F.max("score").alias("score"))
+
+
+def scored_entries(texts: DataFrame, keys: DataFrame, floor: float, band: int, scope: str) -> DataFrame:
+    """(scope column, text, entry_id, label, score) of all entries that match_entries would weigh at that floor."""
+    at = F.col(scope).cast("string")
+    own = texts.select("text", at.alias("scope")).where(F.col("text").isNotNull()).distinct()
+    return _scored(own, keys.select("entry_id", "label", "key", at.alias("scope")), floor, band).withColumnRenamed("scope", scope)
+
+
 def match_entries(texts: DataFrame, keys: DataFrame, accept: float = 0.84, review: float = 0.72, margin: float = 0.08, band: int = 4, scope: str | None = None) -> DataFrame:
     """The best entry for each distinct text of texts(text): status, label, score, margin, exact.
 
@@ -74,12 +90,7 @@ def match_entries(texts: DataFrame, keys: DataFrame, accept: float = 0.84, revie
     floor = min(review, accept - margin)
     at = F.col(scope).cast("string") if scope else F.lit("")
     own = texts.select(*([scope] if scope else []), "text", at.alias("scope")).where(F.col("text").isNotNull()).distinct()
-    known = keys.select("entry_id", "label", "key", at.alias("scope"))
-    pairs = edit_candidates(own.select("text", "scope"), known, floor, band)
-    apart = F.abs(F.length("text") - F.length("key"))
-    raw = similarity(F.col("text"), F.col("key"))
-    scored = pairs.withColumn("score", F.when(F.col("text") == F.col("key"), 1.0).otherwise(raw - 0.08 * F.greatest(apart - 1, F.lit(0))))
-    entries = scored.where(F.col("score") >= floor).groupBy("text", "scope", "entry_id", "label").agg(F.max("score").alias("score"))
+    entries = _scored(own.select("text", "scope"), keys.select("entry_id", "label", "key", at.alias("scope")), floor, band)
     by = Window.partitionBy("text", "scope").orderBy(F.desc("score"), "entry_id")
     ranked = entries.select("*", F.row_number().over(by).alias("place"), F.lead("score").over(by).alias("second"), F.lead("label").over(by).alias("second_label"))
     best = ranked.where(F.col("place") == 1).withColumn("margin", F.col("score") - F.coalesce("second", F.lit(floor)))
