@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.occurrences import SPANS, Keys, over_texts
 from logloom.functions.text import similarity
 
 #: A dictionary is broadcast only below this many keys; above, Spark chooses the join.
 BROADCAST_KEYS = 50_000
+#: Characters of all keys together up to which an automaton is broadcast (some 100 bytes each in a worker).
+AUTOMATON_CHARS = 2_000_000
 
 
 def dictionary_keys(entries: DataFrame) -> DataFrame:
@@ -128,15 +131,25 @@ def prioritized_match(texts: DataFrame, session: DataFrame, keys: DataFrame, sco
 
 
 def dictionary_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Occurrences (id, start, end, key) of keys in texts(id, text): longest first, without overlaps.
+    """Occurrences (id, start, end, key) of keys in texts(id, text): longest first, then earliest, without overlaps.
 
-    Texts meet keys on their first two characters, which every occurrence has; the greedy choice is a fold over
-    the few occurrences of one text.
+    Keys of together at most AUTOMATON_CHARS characters are broadcast and looked for all at once, in one pass over each
+    text; beyond, texts meet keys by joins on the first two characters. Empty and null keys and texts have none.
     """
-    starts = texts.select("id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1)))).alias("start"))
-    starts = starts.withColumn("head", F.substring("text", F.col("start"), F.lit(2)))
-    heads = sized(keys.select("key").distinct().where(F.length("key") >= 2).withColumn("head", F.substring("key", 1, 2)))
-    hits = starts.join(heads, "head").where(F.substring("text", F.col("start"), F.length("key")) == F.col("key"))
+    known = keys.select("key").where(F.length("key") > 0).distinct()
+    if known.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0] > AUTOMATON_CHARS:
+        return joined_spans(texts, known)
+    spans = over_texts(texts.sparkSession, Keys([r.key for r in known.collect()]), SPANS, Keys.spans)
+    return texts.select("id", F.explode(spans(F.col("text"))).alias("s")).select("id", "s.start", "s.end", "s.key")
+
+
+def joined_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same by joins: texts meet keys on their first two characters (one, for keys of one), which every
+    occurrence has; the greedy choice is a fold over the few occurrences of one text."""
+    starts = texts.select("id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))).alias("start"))
+    heads = F.array_distinct(F.array(F.substring("text", F.col("start"), F.lit(2)), F.substring("text", F.col("start"), F.lit(1))))
+    starts = starts.withColumn("head", F.explode(heads))
+    hits = starts.join(keys.withColumn("head", F.substring("key", 1, 2)), "head").where(F.substring("text", F.col("start"), F.length("key")) == F.col("key"))
     span = F.struct((-F.length("key")).alias("order"), F.col("start"), (F.col("start") + F.length("key")).alias("end"), F.col("key"))
     one = hits.groupBy("id").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     kept = F.aggregate(

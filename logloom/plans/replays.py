@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logloom.functions import text
+from logloom.operators import lattice
 from logloom.operators import replay as replays
-from logloom.plans.queries import EV, HOUR, query
+from logloom.plans.queries import EV, HOUR, NAMES, query
 from logloom.streaming import replay as streams
-from logloom.views import event_log, table
+from logloom.views import event_log, fixed, table
 
 #: Windows in hours, as the events are hours apart.
 REPLAY = replays.ReplayConfig(duplicate_ms=6 * HOUR, candidate_ms=24 * HOUR, accepted_ms=12 * HOUR, names=4, moves=3)
@@ -92,3 +94,26 @@ def two_clocks(spark, d):
     readings = e.where("type = 'click'").select("battle_id", F.col("id").alias("reading_id"), F.col("timestamp_ms").alias("reading_ms"))
     joined = streams.on_two_clocks(streams.clocked(samples, "sample_ms", "0 seconds"), streams.clocked(readings, "reading_ms", "0 seconds"), NEAR)
     return joined.select("battle_id", "reading_id", "reading_ms", "sample_id", "sample_ms")
+
+
+GAPPED = """SELECT event_id AS id, event_type, n.label AS name, m.label AS move, event_id % 6 AS g, (event_id // 6) % 5 AS h,
+  CASE event_type WHEN 'click' THEN '相手の' ELSE 'zzz' END || n.key || repeat('q', CAST(event_id % 6 AS INT)) || 'は' || repeat('v', CAST((event_id // 6) % 5 AS INT)) || m.key || 'を使った' AS text
+ FROM events JOIN n ON n.place = user_id % (SELECT count(*) FROM n) JOIN m ON m.place = event_id % (SELECT count(*) FROM m)"""
+GAP_RULES = [
+    ("used", "move", 5, ["{name}は{move}を使った"], {}, None),
+    ("used_theirs", "move", 5, ["相手の{name}は{move}を使った"], {"actor.side": "opponent"}, None),
+    ("named", "seen", 1, ["{name}"], {}, 0.6),
+]
+
+
+@query(f"""WITH {NAMES}, s AS ({GAPPED}) SELECT id, CASE WHEN g > 3 OR h > 3 THEN 'named' WHEN event_type = 'click' THEN 'used_theirs' ELSE 'used' END AS rule_id, name AS actor, CASE WHEN g <= 3 AND h <= 3 AND event_type = 'click' THEN 'opponent' END AS actor_side,
+  CASE WHEN g <= 3 AND h <= 3 THEN move END AS move, CASE WHEN g > 3 OR h > 3 THEN 0.6::DOUBLE ELSE floor((0.92::DOUBLE - 0.03::DOUBLE * (g + h)) * 1e6 + 0.5) / 1e6 END AS confidence FROM s""")
+def gapped_templates(spark, d):
+    """Templates walked through texts with noise before, between and behind their tokens."""
+    for name in ("events", "part"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    log = spark.sql(f"WITH {NAMES} {GAPPED.replace(' // ', ' div ')}")
+    keys = spark.sql(f"WITH {NAMES} SELECT 'name' AS kind, label, key FROM n UNION ALL SELECT 'move', label, key FROM m")
+    rules = spark.createDataFrame(GAP_RULES, "id string, event_type string, priority int, patterns array<string>, constants map<string,string>, confidence double")
+    found = lattice.matched_templates(log.select("id", F.lit(0).alias("priority"), text.match_text("text").alias("match")), rules, keys)
+    return found.select("id", "rule_id", "actor", "actor_side", "move", fixed(F.col("confidence"), 6).alias("confidence"))
