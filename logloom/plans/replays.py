@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.functions import text
+from logloom.functions import masks, text
 from logloom.operators import lattice
 from logloom.operators import replay as replays
 from logloom.plans.queries import EV, HOUR, NAMES, query
+from logloom.sources import rulesets
 from logloom.streaming import replay as streams
 from logloom.views import event_log, fixed, table
 
@@ -117,3 +118,60 @@ def gapped_templates(spark, d):
     rules = spark.createDataFrame(GAP_RULES, "id string, event_type string, priority int, patterns array<string>, constants map<string,string>, confidence double")
     found = lattice.matched_templates(log.select("id", F.lit(0).alias("priority"), text.match_text("text").alias("match")), rules, keys)
     return found.select("id", "rule_id", "actor", "actor_side", "move", fixed(F.col("confidence"), 6).alias("confidence"))
+
+
+@query("""WITH g AS (SELECT vec_id, i - 1 AS i FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE CAST(embedding[i] AS DOUBLE) > 0.05),
+ p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x FROM g),
+ link AS (SELECT a.vec_id, a.y * 8 + a.x AS a, b.y * 8 + b.x AS b FROM p AS a JOIN p AS b ON a.vec_id = b.vec_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1),
+ reach AS (WITH RECURSIVE r AS (SELECT vec_id, a, b FROM link UNION SELECT r.vec_id, r.a, link.b FROM r JOIN link ON link.vec_id = r.vec_id AND link.a = r.b) SELECT vec_id, b AS cell, min(a) AS comp FROM r GROUP BY vec_id, b),
+ c AS (SELECT vec_id, comp, count(*) AS n, max(cell % 8) - min(cell % 8) + 1 AS w, max(cell // 8) - min(cell // 8) + 1 AS h FROM reach GROUP BY vec_id, comp),
+ m AS (SELECT vec_id, count(*) AS n_components, max(n) AS largest, max(n) / sum(n) AS share, count(*) FILTER (WHERE n >= 2 AND w >= 2 AND (w * h <= 6 OR n / (w * h) <= 0.92)) AS text_like FROM c GROUP BY vec_id)
+ SELECT vec_id, coalesce(n_components, 0)::INT AS n_components, coalesce(largest, 0)::INT AS largest, floor(coalesce(share, 0) * 1e6 + 0.5) / 1e6 AS largest_share, coalesce(text_like, 0)::INT AS text_like FROM embeddings LEFT JOIN m USING (vec_id)""")
+def picture_components(spark, d):
+    """Connected components of masks made from vectors, eight cells in a row."""
+    e = table(spark, d, "embeddings")
+    found = e.select("vec_id", masks.mask_components(F.transform("embedding", lambda x: x.cast("double") > 0.05), F.lit(8)).alias("m"))
+    return found.select("vec_id", F.col("m.count").alias("n_components"), "m.largest", fixed(F.col("m.largest_share"), 6).alias("largest_share"), "m.text_like")
+
+
+@query("""WITH g AS (SELECT vec_id // 4 AS picture, (vec_id % 4) * 8 + (i - 1) // 8 AS r, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+ rows AS (SELECT picture, r, count(*) FILTER (WHERE v > CASE WHEN r % 14 < 2 THEN 0.12 WHEN r % 14 BETWEEN 5 AND 11 THEN 0.04 ELSE 9 END) AS n FROM g GROUP BY picture, r),
+ act AS (SELECT picture, r, r - lag(r) OVER (PARTITION BY picture ORDER BY r) AS back FROM rows WHERE n > 0),
+ isl AS (SELECT picture, r, sum(CASE WHEN back <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY picture ORDER BY r) AS k FROM act),
+ pad AS (SELECT picture, k, greatest(0, min(r) - 2) AS top, least(32, max(r) + 3) AS stop FROM isl GROUP BY picture, k),
+ b AS (SELECT pad.picture, k, top, stop - top AS height, sum(n) AS pixels, max(n) AS peak FROM pad JOIN rows ON rows.picture = pad.picture AND r >= top AND r < stop GROUP BY ALL),
+ f AS (SELECT *, lead(top) OVER w AS top2, lead(height) OVER w AS height2, lead(pixels) OVER w AS pixels2 FROM b WHERE height >= 2 AND pixels >= 6 AND pixels / (height * 8) <= 0.36 WINDOW w AS (PARTITION BY picture ORDER BY top)),
+ a AS (SELECT *, coalesce(height2 >= 6 AND pixels >= 8 AND height <= greatest(3, height2 * 0.62) AND pixels <= pixels2 * 0.45 AND peak >= 3 AND top2 - (top + height) <= greatest(4, ceil(height2 * 0.45)), false) AS small FROM f)
+ SELECT picture, top::INT AS top, height::INT AS height, pixels::INT AS pixels, small FROM a""")
+def picture_bands(spark, d):
+    """Bands of rows of masks made from four vectors each, before annotations are merged."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("picture"), F.posexplode("embedding").alias("i", "v"), (F.col("vec_id") % 4 * 64).alias("base"))
+    place = (F.col("base") + F.col("i")).cast("int")
+    r = F.floor(place / 8) % 14
+    least = F.when(r < 2, 0.12).when(r.between(5, 11), 0.04).otherwise(9.0)
+    # A picture has 256 cells.
+    cells = e.select("picture", place.alias("place"), (F.col("v").cast("double") > least).alias("on")).groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("place", "on"))).alias("c"))
+    found = cells.select("picture", F.explode(masks.mask_raw_bands(F.transform("c", lambda x: x["on"]), F.lit(8))).alias("b"))
+    return found.select("picture", "b.top", "b.height", "b.pixels", F.col("b.annotated").alias("small"))
+
+
+@query("""WITH g AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+ SELECT vec_id, sum(v)::BIGINT AS whole, coalesce(sum(v) FILTER (WHERE x < 4 AND y < 4), 0)::BIGINT AS corner, coalesce(sum(v) FILTER (WHERE x >= vec_id % 8 AND x < vec_id % 8 + 3 AND y >= 2 AND y < 12), 0)::BIGINT AS cut FROM g GROUP BY vec_id""")
+def picture_regions(spark, d):
+    """Sums of regions of grids made from vectors, by summed areas; one region reaches over the edge."""
+    e = table(spark, d, "embeddings")
+    box = lambda x, y, w, h: F.struct(*[v.cast("int").alias(n) for n, v in zip("xywh", (x, y, w, h), strict=True)])
+    n = F.lit
+    regions = F.array(box(n(0), n(0), n(8), n(8)), box(n(0), n(0), n(4), n(4)), box(F.col("vec_id") % 8, n(2), n(3), n(10)))
+    sums = e.select("vec_id", masks.region_sums(F.transform("embedding", lambda x: F.floor(1024 * x.cast("double"))), F.lit(8), regions).alias("s"))
+    return sums.select("vec_id", *[F.get("s", F.lit(k)).alias(c) for k, c in enumerate(("whole", "corner", "cut"))])
+
+
+@query("""WITH t AS (SELECT p_brand AS file, p_partkey AS key, p_name AS text, p_size > 10 AS candidate, CASE WHEN p_size % 4 <> 0 THEN p_type END AS type FROM part),
+ o AS (SELECT *, CASE WHEN candidate THEN type END AS event_type FROM t), n AS (SELECT *, event_type IS NOT NULL AND row_number() OVER (PARTITION BY event_type, text ORDER BY file, key) > 1 AS again FROM o)
+ SELECT CASE grouping(file, event_type) WHEN 0 THEN 'file_type' WHEN 1 THEN 'file' WHEN 2 THEN 'type' ELSE 'all' END AS scope, file, event_type, count(*) AS extracted, count(*) FILTER (WHERE candidate) AS candidates, count(event_type) AS generated,
+  count(*) FILTER (WHERE again) AS duplicates, count(*) FILTER (WHERE event_type IS NULL) AS skipped FROM n GROUP BY GROUPING SETS ((file, event_type), (file), (event_type), ())""")
+def pack_statistics(spark, d):
+    """What became of the texts of each file, by type and in all, in one pass."""
+    p = table(spark, d, "part")
+    return rulesets.pack_statistics(p.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("key"), F.col("p_name").alias("text"), (F.col("p_size") > 10).alias("candidate"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("event_type")))

@@ -204,3 +204,25 @@ def review_index(texts: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(F.col("needs_policy"), "placeholder_policy_required"), F.when(F.col("risky"), "risky_placeholder"),
     ))
     return rows.select("file", "label", "path", "text", F.col("standing").alias("status"), risks.alias("risks"), match_text("text").alias("match"), match_text(F.regexp_replace("text", r"\{[^}]*\}", "")).alias("skeleton"))
+
+
+def pack_statistics(texts: DataFrame) -> DataFrame:
+    """How a pack came about: for each file, for each type, for both and in all, from texts(file, key, text, candidate, event_type).
+
+    extracted texts; candidates; generated rules (candidates with a type); duplicates among these (not the first, by file and key, of
+    its type and text); skipped (all that aren't generated). One pass of grouping sets; scope says which
+    columns count (file, type, file_type, all). Texts are told apart by one shuffle on type and text.
+    """
+    of = Window.partitionBy("event_type", "text").orderBy("file", "key")
+    generated = F.coalesce(F.col("candidate"), F.lit(False)) & F.col("event_type").isNotNull()
+    first = F.row_number().over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Only generated rows compete, so the others stand in a group of their own type.
+    own = texts.withColumn("event_type", F.when(generated, F.col("event_type"))).withColumn("is_rule", F.col("event_type").isNotNull())
+    numbered = own.where("is_rule").withColumn("again", first > 1).unionByName(own.where("NOT is_rule").withColumn("again", F.lit(False)))
+    count = lambda c: F.count_if(c)
+    grouped = numbered.groupingSets([["file", "event_type"], ["file"], ["event_type"], []], "file", "event_type").agg(
+        F.grouping_id("file", "event_type").alias("level"), F.count("*").alias("extracted"), count(F.coalesce(F.col("candidate"), F.lit(False))).alias("candidates"),
+        count(F.col("is_rule")).alias("generated"), count(F.col("again")).alias("duplicates"), count(~F.col("is_rule")).alias("skipped"),
+    )
+    scope = F.when(F.col("level") == 0, "file_type").when(F.col("level") == 1, "file").when(F.col("level") == 2, "type").otherwise("all")
+    return grouped.select(scope.alias("scope"), "file", "event_type", "extracted", "candidates", "generated", "duplicates", "skipped")
