@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders, so that a question asked again with
 other values has the same template. Windows of template words are hash-joined
-with those of the benchmark; runs of windows at one alignment count only if the
-names in their slots agree: one name of the item must be one in the document. Equal
+with those of the benchmark; windows at one alignment are held against each other:
+one name of the item must be one in the document. Where it isn't, windows over the odd places
+don't count, and the others only if they are most of the item. Equal
 numbers and units may stand for different things, so they needn't stay equal.
 A window has at least WINDOW words and grows until it has LITERALS literal ones, so that items
 made of values have windows too. Where values stand close together, windows of their own words are
@@ -35,6 +36,9 @@ WINDOW, LITERALS, REACH = 5, 3, 16
 LEAST_WORDS = 3
 #: Share of an item's words that must be found, at alignments whose slots agree.
 COVERAGE = 0.5
+#: Share that an alignment must have by itself if its names don't agree everywhere: a passage in which a name was
+#: changed here and there is still the passage, one whose people are others in every other place is not.
+TORN_COVERAGE = 0.75
 #: Bits of the window bitmap: as many as give few false hits, up to a bound of 16 MB; bytes of a block of it.
 LEAST_BITS, MOST_BITS, BITS_EACH, BLOCK_LOG2 = 1 << 20, 1 << 27, 256, 16
 #: Words that are hashed at once, and words that a task remembers.
@@ -205,9 +209,9 @@ class Chunk:
                     add(VERBATIM, rest, np.full(len(rest), least))
         return out
 
-    def text(self, reading: int, at: int, width: int) -> tuple[str, list[str]]:
-        """The template of a window in a reading and the values of its slots, each with its placeholder."""
-        out, values = [], []
+    def text(self, reading: int, at: int, width: int) -> tuple[str, list[str], list[int]]:
+        """The template of a window in a reading, the values of its slots, each with its placeholder, and their places in it."""
+        out, values, places = [], [], []
         for k in range(at, at + width):
             plain = core(self.words[k])
             if reading == VERBATIM:
@@ -219,7 +223,8 @@ class Chunk:
             out.append(mark or plain.lower())
             if mark:
                 values.append(f"{OPENER if opener else mark}{plain.lower()}")
-        return QUOTED * (reading == VERBATIM) + " ".join(out), values
+                places.append(k - at)
+        return QUOTED * (reading == VERBATIM) + " ".join(out), values, places
 
 
 WORDS = re.compile(r"\S+")
@@ -251,13 +256,13 @@ def chunks(texts: list[str | None], codes: Codes) -> Iterator[Chunk]:
 
 
 def windows(rows: DataFrame, key: str, widths: set[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """The template windows of rows(key, text): id, at, width, n_words, hash, template, slots. Without widths,
+    """The template windows of rows(key, text): id, at, width, n_words, hash, template, slots and their places. Without widths,
     of the benchmark's items: WINDOW, or the number of words of a shorter item, and n_words is that of the
     item. With a bitmap, only windows whose bit is set."""
     short_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
     given = rows.select(F.col(key).alias("id"), "text")
-    kinds = {"id": given.schema["id"].dataType, "at": T.LongType(), "width": T.IntegerType(), "n_words": T.LongType(), "hash": T.LongType(), "template": T.StringType(), "slots": T.ArrayType(T.StringType())}
+    kinds = {"id": given.schema["id"].dataType, "at": T.LongType(), "width": T.IntegerType(), "n_words": T.LongType(), "hash": T.LongType(), "template": T.StringType(), "slots": T.ArrayType(T.StringType()), "places": T.ArrayType(T.IntegerType())}
     schema = T.StructType([T.StructField(name, of) for name, of in kinds.items()])
     arrow = to_arrow_schema(schema)
 
@@ -311,8 +316,10 @@ def window_bitmap(own: DataFrame) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pairs (doc_id, item_id, matched_words, item_words, coverage) of documents that hold an item.
 
-    coverage is the share of the item's words inside matched windows of alignments whose
-    names agree; names that open a sentence, numbers and units needn't. Null and empty texts and items match
+    coverage is the share of the item's words inside matched windows. At one alignment a name of the item must be one name
+    in the document; names that open a sentence are read both ways, numbers and units may differ. If a name is several there,
+    places that don't have what most have (none, if nothing is in more than half of them) are torn: windows over
+    them don't count, and those that are left only if they cover TORN_COVERAGE of the item at this alignment. Null and empty texts and items match
     nothing; items of fewer than LEAST_WORDS words match texts that are the same and no more;
     texts may be of any length. Rows that share a doc_id (or have none) are taken together;
     repeated items with one id count once; other columns are ignored; empty tables give no pairs.
@@ -320,28 +327,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     own = written(windows(benchmark, "item_id", None, None).distinct(), "benchmark-windows")
     widths = {r["width"] for r in own.select(F.least("width", F.lit(WINDOW)).alias("width")).distinct().collect()}
     theirs = windows(docs, "doc_id", widths, window_bitmap(own))
-    item = own.select("hash", "template", "width", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"))
+    item = own.select("hash", "template", "width", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"), "places")
     doc = theirs.select("hash", "template", F.col("id").alias("doc_id"), "at", F.col("slots").alias("doc_slots"))
     hits = doc.join(item, ["hash", "template"]).select(
-        "doc_id", "item_id", "item_words", "item_at", "width", (F.col("at") - F.col("item_at")).alias("shift"), "item_slots", "doc_slots"
+        "doc_id", "item_id", "item_words", "item_at", "width", (F.col("at") - F.col("item_at")).alias("shift"), "item_slots", "doc_slots", "places"
     )
     hits = written(hits, "window-hits")
     group = ["doc_id", "item_id", "shift"]
-    pairs = hits.select(*group, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("pair"))
+    pairs = hits.select(*group, "item_at", F.explode(F.arrays_zip("item_slots", "doc_slots", "places")).alias("pair"))
     pairs = pairs.where(F.startswith("pair.item_slots", F.lit(NAME)))
     value = F.regexp_replace("pair.doc_slots", f"^{OPENER}", NAME)
-    bad = (
-        pairs.groupBy(*group, F.col("pair.item_slots").alias("value"))
-        .agg((F.min(value) != F.max(value)).alias("torn"))
-        .where("torn")
-        .select(*[F.col(c).alias(f"bad_{c}") for c in group])
-        .distinct()
-    )
+    # A row for each place of a name at an alignment, however many windows hold it.
+    stands = pairs.select(*group, F.col("pair.item_slots").alias("name"), (F.col("item_at") + F.col("pair.places")).alias("spot"), value.alias("value")).distinct()
+    told = stands.groupBy(*group, "name", "value").agg(F.collect_list("spot").alias("spots"))  # an item has so many places at most
+    names = told.groupBy(*group, "name").agg(F.max(F.struct(F.size("spots"), "spots")).alias("most"), F.sum(F.size("spots")).alias("n"), F.flatten(F.collect_list("spots")).alias("spots"), F.count("*").alias("values"))
+    kept = F.when(F.size("most.spots") * 2 > F.col("n"), F.col("most.spots")).otherwise(F.array().cast("array<bigint>"))
+    torn = names.where("values > 1").groupBy(*group).agg(F.flatten(F.collect_list(F.array_except("spots", kept))).alias("torn")).select(*[F.col(c).alias(f"of_{c}") for c in group], "torn")
     same = F.lit(True)
     for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"bad_{c}"))
-    good = hits.join(bad, same, "left_anti")
-    spots = good.select("doc_id", "item_id", "item_words", F.explode(F.expr("sequence(item_at, item_at + width - 1)")).alias("spot")).distinct()
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    windows_at = hits.select(*group, "item_words", "item_at", "width", F.expr("filter(zip_with(item_slots, places, (s, p) -> if(startswith(s, '<name>'), item_at + p, null)), x -> x IS NOT NULL)").alias("named"))
+    # Alignments with torn places; the others go on as they are.
+    spots = F.explode(F.expr("sequence(item_at, item_at + width - 1)")).alias("spot")
+    whole = windows_at.join(torn, same, "left_anti").select("doc_id", "item_id", "item_words", spots)
+    left = windows_at.join(torn, same).where(~F.arrays_overlap("named", "torn")).select(*group, "item_words", spots).distinct()
+    enough = left.groupBy(*group).agg(F.collect_list("spot").alias("spots"), F.max("item_words").alias("item_words")).where(F.size("spots") >= TORN_COVERAGE * F.col("item_words"))
+    spots = whole.unionByName(enough.select("doc_id", "item_id", "item_words", F.explode("spots").alias("spot"))).distinct()
     found = spots.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched_words"), F.max("item_words").alias("item_words"))
     share = F.col("matched_words") / F.col("item_words")
     return found.withColumn("coverage", share).where(share >= coverage)

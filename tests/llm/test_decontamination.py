@@ -119,7 +119,7 @@ def test_recall_and_precision_on_items_asked_again(spark):
 
 
 def plain_windows(text, whole_only=True):
-    """(place, template, values) of all windows, word by word."""
+    """(place, template, values, places of the values in the text) of all windows, word by word."""
     words = text.split()
     n, base = len(words), min(5, len(words))
     if n == 0:
@@ -134,7 +134,7 @@ def plain_windows(text, whole_only=True):
     def one(at, base, mode):
         if mode == "first" and not (title[at] and not opens[at]):
             return None
-        shown, values, literals, k = [], [], 0, at
+        shown, values, spots, literals, k = [], [], [], 0, at
         while k < n and (k - at < base or (base == 5 and literals < 3 and k - at < 16)):
             opener = title[k] and opens[k] and mode == "openers"
             name = opener or (title[k] and not opens[k] and not (mode == "first" and k == at))
@@ -142,10 +142,11 @@ def plain_windows(text, whole_only=True):
             literals += mark is None
             shown.append(mark or cores[k].lower())
             values += [(("<opener>" if opener else mark) + cores[k].lower())] if mark else []
+            spots += [k] if mark else []
             k += 1
         if k - at < base or literals < 3 or (mode == "openers" and not any(title[j] and opens[j] for j in range(at, k))):
             return None
-        return at, " ".join(shown), tuple(values)
+        return at, " ".join(shown), tuple(values), tuple(spots)
 
     for base in [base] if whole_only else [3, 4, 5]:
         for at in range(n - base + 1):
@@ -153,9 +154,9 @@ def plain_windows(text, whole_only=True):
                 out += [w for mode in ("plain", "first", "openers") if (w := one(at, base, mode))]
             few = sum(kinds[k] == 0 and not (title[k] and not opens[k]) for k in range(at, at + base)) < 3
             if base < 3 or few:
-                out.append((at, "= " + " ".join(c.lower() for c in cores[at : at + base]), ()))
+                out.append((at, "= " + " ".join(c.lower() for c in cores[at : at + base]), (), ()))
     if not whole_only and n < 3:
-        out.append((0, "= " + " ".join(c.lower() for c in cores), ()))
+        out.append((0, "= " + " ".join(c.lower() for c in cores), (), ()))
     return out
 
 
@@ -163,22 +164,31 @@ def plain_contaminated(docs, items):
     out = {}
     for d, doc in enumerate(docs):
         theirs = {}
-        for at, template, values in plain_windows(doc, False):
+        for at, template, values, _ in plain_windows(doc, False):
             theirs.setdefault(template, []).append((at, values))
         for i, item in enumerate(items):
             shifts = {}
-            for at, template, values in plain_windows(item):
+            for at, template, values, spots in plain_windows(item):
                 for place, other in theirs.get(template, []):
-                    shifts.setdefault(place - at, []).append((at, len(template.removeprefix("= ").split()), values, other))
+                    shifts.setdefault(place - at, []).append((at, len(template.removeprefix("= ").split()), values, other, spots))
             words = set()
             for hits in shifts.values():
                 stands = {}
-                for _, _, values, other in hits:
-                    for a, b in zip(values, other, strict=True):
+                for _, _, values, other, spots in hits:
+                    for a, b, k in zip(values, other, spots, strict=True):
                         if a.startswith("<name>"):
-                            stands.setdefault(a, set()).add(b.replace("<opener>", "<name>"))
-                if all(len(s) == 1 for s in stands.values()):
-                    words |= {k for at, wide, _, _ in hits for k in range(at, at + wide)}
+                            stands.setdefault(a, {})[k] = b.replace("<opener>", "<name>")
+                torn = set()
+                for places in stands.values():
+                    for k, b in places.items():
+                        if 2 * sum(x == b for x in places.values()) <= len(places) and len(set(places.values())) > 1:
+                            torn.add(k)
+                own = set()
+                for at, wide, values, _, spots in hits:
+                    if not any(k in torn for k, a in zip(spots, values, strict=True) if a.startswith("<name>")):
+                        own |= set(range(at, at + wide))
+                if not torn or len(own) >= 0.75 * len(item.split()):
+                    words |= own
             if words and 2 * len(words) >= len(item.split()):
                 out[d, i] = len(words) / len(item.split())
     return out
@@ -204,3 +214,32 @@ def test_ids_may_be_texts(spark):
     docs = spark.createDataFrame([("a", SHORT)], "doc_id string, text string")
     got = decontamination.contaminated(docs, spark.createDataFrame([("q1", SHORT)], "item_id string, text string")).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [("a", "q1")]
+
+
+def test_one_changed_name_does_not_hide_a_copy(spark):
+    item = "Each morning before school Tom walks along the river and feeds nine ducks there, then in the old boat house Tom repairs two broken oars for his uncle and at night when everybody else is asleep Tom reads about ships until the small lamp goes out"
+    first, second, third = item.split("Tom")[0], item.split("Tom")[1], item.split("Tom")[2]
+    assert len(item.split()) >= 44
+    docs = [item, item.replace("Tom", "Bob", 1), f"{FILLER} {first}Tom{second}Bob{third}Tom{item.split('Tom')[3]} {FILLER}", item.replace("Tom", "Bob"), f"{first}Ann{second}Bob{third}Eva{item.split('Tom')[3]}"]
+    got = found(spark, docs, [item])
+    assert set(got) >= {(0, 0), (1, 0), (2, 0), (3, 0)} and got[0, 0] == got[3, 0] == 1.0
+    assert 0.75 <= got[1, 0] < 1.0 and 0.75 <= got[2, 0] < 1.0
+
+
+def test_copies_with_one_name_changed_are_found(spark):
+    """Of 60 items of three and more uses of a name, copied but for one of these, nine in ten are found."""
+    rng = random.Random(33)
+    items, docs = [], []
+    while len(items) < 60:
+        words = spoken(rng, parts(rng)).split()
+        name = max(NAMES, key=words.count)
+        if words.count(name) < 3:
+            continue
+        places = [k for k, w in enumerate(words) if w == name]
+        at = rng.choice(places)
+        items.append(" ".join(words))
+        docs.append(" ".join([*FILLER.split(), *words[:at], rng.choice([n for n in NAMES if n not in words]), *words[at + 1 :]]))
+    got = found(spark, docs, items)
+    hit = sum((k, k) in got for k in range(60))
+    print(f"found {hit} of 60")
+    assert hit >= 54
