@@ -211,12 +211,12 @@ def pack_statistics(texts: DataFrame) -> DataFrame:
 
     extracted texts; candidates; generated rules (candidates with a type); duplicates among these (not the first, by file and key, of
     its type and text); skipped (all that aren't generated). One pass of grouping sets; scope says which
-    columns count (file, type, file_type, all). Texts are told apart by one shuffle on type and text.
+    columns count (file, type, file_type, all). Texts are told apart by one shuffle on type and text. No texts give no rows.
     """
     of = Window.partitionBy("event_type", "text").orderBy("file", "key")
     generated = F.coalesce(F.col("candidate"), F.lit(False)) & F.col("event_type").isNotNull()
     first = F.row_number().over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Only generated rows compete, so the others stand in a group of their own type.
+    # Only generated rows compete; the others would meet in one group.
     own = texts.withColumn("event_type", F.when(generated, F.col("event_type"))).withColumn("is_rule", F.col("event_type").isNotNull())
     numbered = own.where("is_rule").withColumn("again", first > 1).unionByName(own.where("NOT is_rule").withColumn("again", F.lit(False)))
     count = lambda c: F.count_if(c)

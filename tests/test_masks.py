@@ -182,4 +182,4 @@ def test_pack_statistics_count_nulls_and_repeats(spark):
     assert got["all", None, None] == (6, 4, 3, 2, 3)
     assert got["file", "a", None] == (2, 2, 2, 1, 0) and got["file", "b", None] == (3, 2, 1, 1, 2) and got["file", None, None] == (1, 0, 0, 0, 1)
     assert got["type", None, "faint"] == (3, 3, 3, 2, 0) and got["file_type", "b", "faint"] == (1, 1, 1, 1, 0)
-    assert rulesets.pack_statistics(spark.createDataFrame([], "file string, key int, text string, candidate boolean, event_type string")).collect()[0]["extracted"] == 0
+    assert rulesets.pack_statistics(spark.createDataFrame([], "file string, key int, text string, candidate boolean, event_type string")).collect() == []
