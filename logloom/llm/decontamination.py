@@ -90,28 +90,28 @@ def kind(word: str) -> int:
 
 class Codes(dict):
     """Place of a word in tables: the hash of its literal or placeholder, the hash of the word itself,
-    and flags. The tables are emptied between chunks when they have grown large."""
+    and flags. The tables are begun anew between chunks when they have grown large."""
 
     def __init__(self) -> None:
-        self.tables: tuple[list[int], list[int], list[int]] = ([], [], [])
+        self.tables = [np.zeros(1 << 12, kind) for kind in (np.uint64, np.uint64, np.uint8)]
 
     def __missing__(self, word: str) -> int:
         plain, of = core(word), kind(word)
         title = of == LITERAL and len(plain) > 1 and plain[0].isupper() and plain[1:].islower()
         own = _hash(plain.lower())
-        made = (_hash(PLACEHOLDERS[of]) if of else own, own, of | TITLE * title | END * bool(STOP.search(word)))
-        for column, value in zip(self.tables, made, strict=True):
-            column.append(value)
-        self[word] = len(self.tables[0]) - 1
-        return len(self.tables[0]) - 1
+        at = len(self)
+        if at == len(self.tables[0]):
+            self.tables = [np.concatenate([column, np.zeros_like(column)]) for column in self.tables]
+        hashes, owns, flags = self.tables
+        hashes[at], owns[at], flags[at] = _hash(PLACEHOLDERS[of]) if of else own, own, of | TITLE * title | END * bool(STOP.search(word))
+        self[word] = at
+        return at
 
     def of(self, words: list[str]) -> list[np.ndarray]:
         if len(self) > KNOWN_WORDS:
             self.clear()
-            for column in self.tables:
-                column.clear()
-        at = list(map(self.__getitem__, words))
-        return [np.array([column[k] for k in at], kind) for column, kind in zip(self.tables, (np.uint64, np.uint64, np.uint8), strict=True)]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return [column[at] for column in self.tables]
 
 
 #: Readings of a window. Whether a title-case word opens a sentence depends on what stands
