@@ -3,7 +3,8 @@
 The builder makes a tree with implied tags (an open paragraph ends before a block, a cell
 gets its row, a list item ends the one before). The renderer walks it with
 visibility rules and emits all visible text: blocks on lines of their own with blank
-lines where margins would be, lists with bullets or numbers, tables with aligned cells.
+lines where margins would be, lists with bullets or numbers, tables with aligned cells, labels of drawings.
+What is hidden by attributes and by an element's own style is left out; style sheets aren't read.
 Elements may nest as deep as they like: the renderer keeps its own stack of steps.
 """
 
@@ -31,7 +32,7 @@ def names(text: str) -> frozenset[str]:
 VOID = names("area base br col embed hr img input link meta param source track wbr")
 RAW = names("script style xmp iframe noembed noframes noscript template")
 TEXT_ONLY = names("title textarea")
-UNSEEN = names("head script style title template noscript iframe noembed noframes datalist audio video object canvas svg colgroup")
+UNSEEN = names("head script style title template noscript iframe noembed noframes datalist audio video object canvas colgroup defs desc metadata symbol clippath marker")
 SPACED = names("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu")
 BLOCK = SPACED | names("html body address article aside dd details dialog div dt footer form header hgroup legend li main nav optgroup option search section summary caption tr td th thead tbody tfoot center figcaption")
 ENDS_PARAGRAPH = BLOCK - names("html body td th tr thead tbody tfoot caption option optgroup legend")
@@ -69,8 +70,10 @@ MARKUP = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-SHOWN_STYLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
+DECLARATION = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*", re.I)
+STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: What visibility may be; a declaration of anything else doesn't count.
+VISIBILITY = names("visible hidden collapse inherit initial unset revert")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -197,6 +200,17 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def declared(style: str) -> dict[str, str]:
+    """display and visibility by a style attribute: of several declarations the last holds, an important one before others."""
+    held: dict[str, tuple[bool, str]] = {}
+    for part in STYLE_COMMENT.sub("", style).split(";"):
+        if found := DECLARATION.fullmatch(part):
+            name, value, important = found[1].lower(), found[2].lower(), bool(found[3])
+            if (name == "display" or value in VISIBILITY) and important >= held.get(name, (False, ""))[0]:
+                held[name] = important, value
+    return {name: value for name, (_, value) in held.items()}
+
+
 def state_of(element: Element, hidden: bool) -> tuple[bool, bool]:
     """Whether the element is out of the layout, and whether its own text is invisible."""
     attributes = element.attributes
@@ -207,10 +221,11 @@ def state_of(element: Element, hidden: bool) -> tuple[bool, bool]:
     if element.tag == "input" and attributes.get("type", "").lower() == "hidden":
         return True, hidden
     if style := attributes.get("style"):
-        if found := HIDDEN_STYLE.search(style):
-            return (True, hidden) if found[1].lower().startswith("display") else (False, True)
-        if SHOWN_STYLE.search(style):
-            return False, False
+        held = declared(style)
+        if held.get("display") == "none":
+            return True, hidden
+        if (own := held.get("visibility", "inherit")) not in ("inherit", "unset", "revert"):
+            return False, own in ("hidden", "collapse")
     return False, hidden
 
 
@@ -322,7 +337,7 @@ class Renderer:
                     yield self.element(child, hidden, preformatted)
                     break
             self.flush()
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "text":  # a label of a drawing
             edge = self.margin if tag in SPACED else self.flush
             edge()
             if tag in ("blockquote", "dd") and not deep:

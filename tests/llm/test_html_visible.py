@@ -96,3 +96,47 @@ def test_long_cells_do_not_multiply_blanks():
     page = "<table><tr><td>" + "long " * 5000 + "<td>x" + "<tr><td>a<td>b" * 5000
     found = page_text(page)
     assert len(found) < 3 * len(page) and found.split() == ["long"] * 5000 + ["x"] + ["a", "b"] * 5000
+
+
+def test_of_several_declarations_the_last_holds():
+    shown = ["display:none;display:block", "visibility:hidden; visibility: visible", "visibility:hidden;visibility:bogus;visibility:visible", "color:red", "display:none /* no */; display:inline", "x-display:none", "display:none;display:block !important", "visibility:visible!important;visibility:hidden"]
+    for style in shown:
+        assert page_text(f'<p style="{style}">word</p>') == "word", style
+    for style in ["display:block;display:none", "visibility:visible;visibility:hidden", "DISPLAY : NONE", "display:none!important;display:block", "visibility:collapse", "/* x */display:none", "visibility:hidden;visibility:bogus"]:
+        assert page_text(f'<p style="{style}">word</p>') == "", style
+    assert page_text("<div style='visibility:hidden;display:none'>a<b style='visibility:visible'>b</b></div>c") == "c"
+
+
+STYLES = ["display:none", "display:block", "visibility:hidden", "visibility:visible", "visibility:inherit", "color:red", "display:none !important"]
+
+
+def test_visible_words_under_any_declarations():
+    """A plain walk with its own reading of declarations: the last of the most important ones holds."""
+    rng = random.Random(12)
+    for _ in range(150):
+        parts, shown, stack = [], [], [(False, False)]
+        for word in range(60):
+            if rng.random() < 0.5 and len(stack) < 12:
+                declarations = [rng.choice(STYLES) for _ in range(rng.randrange(4))]
+                gone, unseen = stack[-1]
+                for name in ("display", "visibility"):
+                    own = [d for d in declarations if d.startswith(name)]
+                    own = [d for d in own if "important" in d] or own
+                    if own and name == "display":
+                        gone = gone or "none" in own[-1]
+                    elif own and "inherit" not in own[-1]:
+                        unseen = "hidden" in own[-1]
+                parts.append(f'<div style="{"; ".join(declarations)}">')
+                stack.append((gone, unseen))
+            elif rng.random() < 0.3 and len(stack) > 1:
+                stack.pop()
+                parts.append("</div>")
+            parts.append(f" w{word} ")
+            if stack[-1] == (False, False):
+                shown.append(f"w{word}")
+        assert page_text("".join(parts)).split() == shown
+
+
+def test_labels_of_drawings_are_text():
+    drawing = "<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g><text x=1>North<tspan> gate</tspan></text><text>South</text></g></svg>"
+    assert page_text(f"<p>before {drawing} after</p>").split() == ["before", "North", "gate", "South", "after"]
