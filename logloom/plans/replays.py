@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import masks, text
-from logloom.operators import lattice
+from logloom.operators import gate, lattice
 from logloom.operators import replay as replays
 from logloom.plans.queries import EV, HOUR, NAMES, query
 from logloom.sources import rulesets
@@ -175,3 +175,27 @@ def pack_statistics(spark, d):
     """What became of the texts of each file, by type and in all, in one pass."""
     p = table(spark, d, "part")
     return rulesets.pack_statistics(p.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("key"), F.col("p_name").alias("text"), (F.col("p_size") > 10).alias("candidate"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("event_type")))
+
+
+@query(f"""WITH {EV}, r AS (SELECT id, CASE type WHEN 'error' THEN 'ended' WHEN 'click' THEN 'message_candidate' WHEN 'view' THEN 'hud' ELSE 'unknown' END AS phase, timestamp_ms AS now, timestamp_ms - id % 900 AS opened, timestamp_ms - (id * 7) % 4000 + 500 AS closed, score > 25 AS strict FROM ev)
+ SELECT id, opened + 500 AS deadline, CASE WHEN phase = 'ended' THEN 'reject' WHEN phase = 'message_candidate' THEN 'queue' WHEN phase = 'hud' AND now - closed BETWEEN 0 AND 1500 THEN 'queue' WHEN now < opened + 500 THEN 'defer' WHEN strict THEN 'queue' ELSE 'reject' END AS action FROM r""")
+def admission_log(spark, d):
+    """What is done with the pictures of a log, by phase, time and the strict test."""
+    e = event_log(spark, d)
+    phase = F.when(F.col("type") == "error", "ended").when(F.col("type") == "click", "message_candidate").when(F.col("type") == "view", "hud").otherwise("unknown")
+    now, k = F.col("timestamp_ms"), F.col("id")
+    return e.select("id", gate.admission(phase, now, now - k % 900, now - (k * 7) % 4000 + 500, F.col("score") > 25).alias("a")).select("id", "a.deadline", "a.action")
+
+
+RULE_TEXT = "'相手の' || p_name || CASE p_size % 3 WHEN 0 THEN 'は倒れた' WHEN 1 THEN 'には効果がない' ELSE 'の{0}' END"
+
+
+@query(f"""WITH t AS (SELECT p_brand AS file, p_type AS label, {RULE_TEXT} AS text, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)
+ SELECT file, label, '$.lists[' || k || '].OriginalText' AS path, text, CASE p_size % 3 WHEN 0 THEN 'faint' WHEN 1 THEN 'immune' ELSE 'activate' END AS event_type FROM t""")
+def rule_files(spark, d):
+    """Texts out of JSON trees made from parts, one tree for each brand, and their types."""
+    p = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_type").alias("LabelName"), F.expr(RULE_TEXT).alias("OriginalText"))
+    lists = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "LabelName", "OriginalText"))), lambda x: F.struct(x["LabelName"].alias("LabelName"), x["OriginalText"].alias("OriginalText")))
+    files = p.groupBy(F.col("p_brand").alias("file")).agg(F.to_json(F.struct(lists.alias("lists"), F.lit("not a label").alias("Name"))).alias("json"))
+    texts = rulesets.extracted_texts(files)
+    return texts.select("file", "label", "path", "text", rulesets.keyword_type(F.col("text"), F.col("file"), F.col("label")).alias("event_type"))
