@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from logloom.functions import masks, text
 from logloom.operators import gate, lattice
 from logloom.operators import replay as replays
-from logloom.plans.queries import EV, HOUR, NAMES, query
+from logloom.plans.queries import EV, HOUR, NAMES, ORACLES, query
 from logloom.sources import rulesets
 from logloom.streaming import replay as streams
-from logloom.views import event_log, fixed, table
+from logloom.views import event_log, fixed, spread, table
 
 #: Windows in hours, as the events are hours apart.
 REPLAY = replays.ReplayConfig(duplicate_ms=6 * HOUR, candidate_ms=24 * HOUR, accepted_ms=12 * HOUR, names=4, moves=3)
@@ -199,3 +199,36 @@ def rule_files(spark, d):
     files = p.groupBy(F.col("p_brand").alias("file")).agg(F.to_json(F.struct(lists.alias("lists"), F.lit("not a label").alias("Name"))).alias("json"))
     texts = rulesets.extracted_texts(files)
     return texts.select("file", "label", "path", "text", rulesets.keyword_type(F.col("text"), F.col("file"), F.col("label")).alias("event_type"))
+
+
+BLANK = r"\x09-\x0D\x1C-\x20"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '\r\n?', chr(10), 'g') AS a FROM documents),
+ j AS (SELECT doc_id, array_to_string(list_transform(string_split(a, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[{BLANK}]+', ''), '[{BLANK}]+$', '')), '') AS a FROM t),
+ n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '[!/|]+', '!', 'g'), '[{BLANK}]+', ' ', 'g'), '^ ', ''), ' $', '') AS normalized FROM j)
+ SELECT doc_id, normalized, lower(regexp_replace(normalized, '[!?.,/\\|:;"''`_\[\](){{}}<>{BLANK}]+', '', 'g')) AS match FROM n""")
+def ascii_match_text(spark, d):
+    """Normalised and match texts of all documents, other letters than ASCII replaced by question marks first."""
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    return docs.select("doc_id", text.both_texts("text").alias("t")).select("doc_id", "t.normalized", "t.match")
+
+
+# The phase gate, sample by sample, for the query of the same name.
+ORACLES["phase_gate"] = f"""WITH RECURSIVE {EV}, s AS MATERIALIZED (SELECT battle_id, nth * 200 AS ts, nth, type IN ('view', 'click') AS hud_now, CASE WHEN identity > 50 THEN identity > 75 END AS vs_now, type = 'signup' AS busy
+  FROM (SELECT *, row_number() OVER (PARTITION BY battle_id ORDER BY timestamp_ms, id) AS nth FROM ev)),
+ f AS (SELECT DISTINCT battle_id, 0::BIGINT AS nth, 0::BIGINT AS ts, 'unknown' AS phase, -1::BIGINT AS changed, -1::BIGINT AS active, -1 AS hud, 0 AS hud_streak, -1 AS vs, 0 AS vs_streak, false AS opened, CAST([] AS VARCHAR[]) AS said FROM s
+  UNION ALL
+  SELECT battle_id, nth, ts, CASE WHEN ends THEN 'unknown' ELSE phase2 END, CASE WHEN ends THEN ts ELSE changed2 END, active2, hud2, hud_streak, vs2, vs_streak, opened OR vs_falls, list_filter([CASE WHEN vs_falls THEN 'vs_fell' END, CASE WHEN opens1 THEN 'message_phase_opened' END,
+    CASE WHEN rises THEN 'battle_hud_rose' WHEN falls THEN 'battle_hud_fell' END, CASE WHEN closes THEN 'message_phase_closed' WHEN opens2 THEN 'message_phase_opened' END, CASE WHEN ends THEN 'message_phase_expired' END], lambda x: x IS NOT NULL)
+  FROM (SELECT *, phase2 = 'message_candidate' AND NOT busy AND CASE WHEN active2 >= 0 THEN active2 ELSE changed2 END >= 0 AND ts - CASE WHEN active2 >= 0 THEN active2 ELSE changed2 END >= 6000 AS ends
+   FROM (SELECT *, CASE WHEN closes THEN 'hud' WHEN opens2 THEN 'message_candidate' ELSE phase1 END AS phase2, CASE WHEN closes OR opens2 THEN ts ELSE changed1 END AS changed2, CASE WHEN opens2 THEN ts ELSE active1 END AS active2
+    FROM (SELECT *, rises AND phase1 <> 'hud' AS closes, falls AND phase1 <> 'message_candidate' AS opens2
+     FROM (SELECT *, CASE WHEN vs_falls THEN 'message_candidate' ELSE phase END AS phase1, CASE WHEN opens1 THEN ts ELSE changed END AS changed1, CASE WHEN opens1 THEN ts ELSE active END AS active1,
+        hud_streak >= 2 AND hud <> 1 AS rises, hud_streak <= -2 AND hud = 1 AS falls, CASE WHEN hud_streak >= 2 THEN 1 WHEN hud_streak <= -2 THEN 0 ELSE hud END AS hud2
+      FROM (SELECT *, vs_falls AND phase <> 'message_candidate' AS opens1, CASE WHEN vs_now IS NULL THEN vs WHEN vs_streak >= 2 THEN 1 WHEN vs_falls THEN 0 ELSE vs END AS vs2
+       FROM (SELECT *, vs_now IS NOT NULL AND vs_streak <= -2 AND vs = 1 AND NOT opened AS vs_falls
+        FROM (SELECT s.*, f.phase, f.changed, f.active, f.hud, f.vs, f.opened, CASE WHEN s.hud_now THEN greatest(f.hud_streak, 0) + 1 ELSE least(f.hud_streak, 0) - 1 END AS hud_streak,
+           CASE WHEN s.vs_now IS NULL THEN f.vs_streak WHEN s.vs_now THEN greatest(f.vs_streak, 0) + 1 ELSE least(f.vs_streak, 0) - 1 END AS vs_streak
+         FROM f JOIN s ON s.battle_id = f.battle_id AND s.nth = f.nth + 1))))))))
+ SELECT battle_id, ts AS timestamp_ms, unnest(said) AS transition, phase FROM f WHERE nth > 0"""
