@@ -273,8 +273,8 @@ def drop_lines(docs: DataFrame, index: DataFrame, shards: int, min_chars: int =
 
     A line goes if its key is in the index, has min_docs documents, and this isn't the
     largest doc_id that holds it. A null or empty text is one empty line. Rows that
-    share the largest doc_id all keep the line; rows with a null doc_id count as
-    documents and lose it (unless no document that holds it has an id: then all lose it).
+    share the largest doc_id all keep the line; rows with a null doc_id are no documents that
+    count, and lose the lines that go.
 
     An index within PASS_BYTES is probed in one narrow pass over the texts. For a larger
     one the line hashes are written once, each part of the index is probed with them,
