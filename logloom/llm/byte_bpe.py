@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, lru_cache
 from pathlib import Path
 
@@ -222,7 +222,7 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
                     yield block()
                     start, size = k, 0
                 size += len(string)
-                codes.append(np.array([*map(known.__getitem__, find(string))], np.int32))
+                codes.append(np.fromiter(map(known.__getitem__, find(string)), np.int32))
             carried.append(batch.slice(start).select(range(1, 1 + len(carry))))
         if codes:
             yield block()
@@ -237,23 +237,57 @@ def encode(docs: DataFrame, source: str, text: str = "text", carry: tuple[str, .
     give a row; an empty table gives none. A text of any length is encoded whole;
     words of over 96 bytes are merged by a heap. Other columns than those of carry don't matter.
     """
+    blocks, ids = word_ids(docs, source, text, list(carry))
+    gathered = lambda of: lambda r: F.struct(*carried(r, carry), F.flatten(F.transform(r["codes"], lambda c: F.get(of, c))).alias("ids"))
+    each = blocks.select(F.explode(bound(ids, lambda of: F.transform("rows", gathered(of)))).alias("r"))
+    return each.select(*(F.col(f"r.c{k}").alias(c) for k, c in enumerate(carry)), F.col("r.ids").alias(into))
+
+
+def word_ids(docs: DataFrame, source: str, text: str, carry: list[str]) -> tuple[DataFrame, Column]:
+    """Blocks of texts, and the ids of the distinct words of each."""
     ranks = ranks_of(source)
-    carry = list(carry)
     first = literal([letter(k) for k in ranks.first], "array<string>")
     size = len(ranks.map[0]) // SLOT
 
     def of_words(one: Column, two: Column) -> Column:
         return F.transform("words", lambda w: F.coalesce(w["ids"], folded(w["bytes"], first, [one, two], size)))
 
-    def of_texts(ids: Column) -> Column:
-        gathered = lambda r: F.flatten(F.transform(r["codes"], lambda c: F.get(ids, c)))
-        return F.transform("rows", lambda r: F.struct(*(r[f"c{k}"].alias(f"c{k}") for k in range(len(carry))), gathered(r).alias("ids")))
-
     # Bound here, each table of the map stands in the plan once.
     ids = bound(F.lit(ranks.map[0]), lambda one: bound(F.lit(ranks.map[1]), lambda two: of_words(one, two)))
-    blocks = in_blocks(docs, ranks, text, carry)
-    each = blocks.select(F.explode(bound(ids, of_texts)).alias("r"))
-    return each.select(*(F.col(f"r.c{k}").alias(c) for k, c in enumerate(carry)), F.col("r.ids").alias(into))
+    return in_blocks(docs, ranks, text, carry), ids
+
+
+def carried(row: Column, carry: Sequence[str]) -> list[Column]:
+    return [row[f"c{k}"].alias(f"c{k}") for k in range(len(carry))]
+
+
+def round_trip(docs: DataFrame, source: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of carry, n_tokens, ids_sha256 (of the ids in decimal, joined by commas) and decoded_sha256 (of the bytes that the ids
+    stand for) of each whole text.
+
+    Ids are written down and decoded once for each distinct word of a block; a text joins those of its words. Nulls,
+    repeated rows, empty tables and long texts are as in encode.
+    """
+    blocks, ids = word_ids(docs, source, text, list(carry))
+    pieces = literal([t.hex() for t in ranks_of(source).token_bytes], "array<string>")
+
+    def of_texts(numbers: Column, octets: Column) -> Column:
+        joined = lambda r, of, by: F.array_join(F.transform(r["codes"], lambda c: F.get(of, c)), by)
+        return F.transform("rows", lambda r: F.struct(*carried(r, carry), joined(r, numbers, ",").alias("numbers"), F.unhex(joined(r, octets, "")).alias("bytes")))
+
+    def of_ids(each: Column) -> Column:
+        numbers = F.transform(each, lambda i: F.array_join(i.cast("array<string>"), ","))
+        octets = F.transform(each, lambda i: F.array_join(F.transform(i, lambda k: F.get(pieces, k)), ""))
+        return bound(numbers, lambda n: bound(octets, lambda o: of_texts(n, o)))
+
+    rows = blocks.select(F.explode(bound(ids, of_ids)).alias("r")).select("r.*")
+    commas = F.octet_length("numbers") - F.octet_length(F.replace("numbers", F.lit(","), F.lit("")))
+    return rows.select(
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)),
+        F.when(F.col("numbers") == "", 0).otherwise(commas + 1).cast("bigint").alias("n_tokens"),
+        F.sha2(F.col("numbers").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
 
 
 def decoded(ids: Column, source: str) -> Column:
@@ -263,11 +297,4 @@ def decoded(ids: Column, source: str) -> Column:
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = public_ranks()
-    rows = encode(table(spark, sf_dir, "documents"), source)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), source), 256).alias("decoded_sha256"),
-    )
+    return round_trip(table(spark, sf_dir, "documents"), public_ranks())

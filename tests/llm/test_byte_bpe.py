@@ -1,6 +1,7 @@
 """Ranked byte-level BPE against tiktoken and against a merge-by-merge version."""
 
 import base64
+import hashlib
 
 import pytest
 import tiktoken
@@ -39,6 +40,10 @@ def test_ids_are_those_of_tiktoken(spark, monkeypatch, block):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)] + [(None, "no id", "y")], "doc_id long, text string, ids string").repartition(2)
     rows = byte_bpe.encode(docs, SOURCE).withColumn("bytes", byte_bpe.decoded(F.col("ids"), SOURCE)).collect()
     assert len(rows) == len(TEXTS) + 1
+    digests = {r.doc_id: tuple(r)[1:] for r in byte_bpe.round_trip(docs, SOURCE).collect()}
+    for k, text in [*enumerate(TEXTS), (None, "no id")]:
+        ids = expected(text)
+        assert digests[k] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
     for row in rows:
         text = "no id" if row.doc_id is None else TEXTS[row.doc_id]
         assert row.ids == expected(text)
