@@ -145,13 +145,14 @@ def picture_components(spark, d):
  SELECT picture, top::INT AS top, height::INT AS height, pixels::INT AS pixels, small FROM a""")
 def picture_bands(spark, d):
     """Bands of rows of masks made from four vectors each, before annotations are merged."""
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("picture"), F.posexplode("embedding").alias("i", "v"), (F.col("vec_id") % 4 * 64).alias("base"))
-    place = (F.col("base") + F.col("i")).cast("int")
-    r = F.floor(place / 8) % 14
-    least = F.when(r < 2, 0.12).when(r.between(5, 11), 0.04).otherwise(9.0)
-    # A picture has 256 cells.
-    cells = e.select("picture", place.alias("place"), (F.col("v").cast("double") > least).alias("on")).groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("place", "on"))).alias("c"))
-    found = cells.select("picture", F.explode(masks.mask_raw_bands(F.transform("c", lambda x: x["on"]), F.lit(8))).alias("b"))
+    e = table(spark, d, "embeddings").where("vec_id IS NOT NULL").select(F.expr("vec_id div 4").alias("picture"), F.posexplode("embedding").alias("i", "v"), (F.col("vec_id") % 4 * 8).alias("base"))
+    r = F.col("base") + F.expr("i div 8")
+    least = F.when(r % 14 < 2, 0.12).when((r % 14).between(5, 11), 0.04).otherwise(9.0)
+    # A picture has 32 rows, also where vectors are missing.
+    counts = e.groupBy("picture", r.cast("int").alias("r")).agg(F.count_if(F.col("v").cast("double") > least).alias("n")).where("r BETWEEN 0 AND 31")
+    rows = counts.groupBy("picture").agg(F.map_from_entries(F.collect_list(F.struct("r", "n"))).alias("n"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.coalesce(F.element_at("n", k), F.lit(0)))
+    found = rows.select("picture", F.explode(masks.row_raw_bands(whole, F.lit(8))).alias("b"))
     return found.select("picture", "b.top", "b.height", "b.pixels", F.col("b.annotated").alias("small"))
 
 

@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from logloom.functions import masks
+from logloom.plans import replays
+from logloom.plans.queries import ORACLES
 
 
 def flood(mask):
@@ -183,3 +186,13 @@ def test_pack_statistics_count_nulls_and_repeats(spark):
     assert got["file", "a", None] == (2, 2, 2, 1, 0) and got["file", "b", None] == (3, 2, 1, 1, 2) and got["file", None, None] == (1, 0, 0, 0, 1)
     assert got["type", None, "faint"] == (3, 3, 3, 2, 0) and got["file_type", "b", "faint"] == (1, 1, 1, 1, 0)
     assert rulesets.pack_statistics(spark.createDataFrame([], "file string, key int, text string, candidate boolean, event_type string")).collect() == []
+
+
+def test_pictures_with_missing_vectors_have_all_their_rows(spark, tmp_path):
+    vectors = [(k, [0.2 if (k + i) % 4 == 0 else 0.0 for i in range(64)]) for k in (0, 1, 2, 3, 4, 6, 7, 8)]
+    spark.createDataFrame([*vectors, (None, [0.2] * 64), (9, None)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        expected = sorted(connection.sql(ORACLES["picture_bands"]).fetchall())
+    found = sorted(map(tuple, replays.picture_bands(spark, str(tmp_path)).collect()))
+    assert {r[0] for r in found} == {0, 1, 2} and found == expected
