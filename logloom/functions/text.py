@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.session import short_batches
+
 # What normalised text and match text leave out or fold.
 SQUEEZE = (
     (re.compile("[!！/／|｜]+"), "!"),
@@ -42,6 +45,18 @@ def match_form(raw: str) -> str:
     return PUNCTUATION.sub("", normalized(raw)).lower()
 
 
+def in_short_batches(of: Callable[[Column | str], Column]) -> Callable[[Column | str], Column]:
+    """A function of whole texts; a worker holds a few megabytes of them, however many rows a task has."""
+
+    @wraps(of)
+    def apply(raw: Column | str) -> Column:
+        short_batches(SparkSession.active())
+        return of(raw)
+
+    return apply
+
+
+@in_short_batches
 @F.pandas_udf(T.StructType([T.StructField("normalized", T.StringType()), T.StructField("match", T.StringType())]))
 def both_texts(raw: pd.Series) -> pd.DataFrame:
     """The normalised text and the match text, in one pass."""
@@ -49,11 +64,13 @@ def both_texts(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"normalized": plain, "match": plain.map(lambda t: PUNCTUATION.sub("", t).lower(), na_action="ignore")})
 
 
+@in_short_batches
 @F.pandas_udf(T.StringType())
 def normalize_text(raw: pd.Series) -> pd.Series:
     return raw.map(normalized, na_action="ignore")
 
 
+@in_short_batches
 @F.pandas_udf(T.StringType())
 def match_text(raw: pd.Series) -> pd.Series:
     return raw.map(match_form, na_action="ignore")

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.session import short_batches
 from logloom.sources.shared import removed, scratch, shared_dir, written
 from logloom.views import spread
 
 __all__ = ["SPACE", "fold_of", "removed", "scratch", "shared_dir", "short_batches", "table", "without_ids", "written"]
 
-#: Rows and bytes of one Arrow batch (a longer row is a batch of its own): they bound what a
-#: Python worker holds at once.
-ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
-
 #: The white space that separates words: space and \t \n \x0b \f \r.
 SPACE = " \t\n\x0b\f\r"
 
@@ -23,13 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session's Python stages: Spark reads the setting when a
-    stage starts, so it holds for the session and not for one plan."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-
-
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

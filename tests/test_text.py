@@ -127,3 +127,12 @@ def test_canonical_words_and_suffix_guard(spark):
     assert got == ["相手のアオマルは たおれた!", "アオマルの ひのたま!", "キリカゼに 効果が ない!", "odd"]
     row = spark.createDataFrame([("ひのたまを", "ひのたま"), ("ひのたま", "ひのたま")], "a string, b string")
     assert [r[0] for r in row.select(context.unsafe_suffix(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_workers_hold_few_texts_at_once(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    seen = F.pandas_udf(lambda t: t.map(lambda _: len(t)), "long")
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("ab "), 3000).alias("text"))
+    rows.select(text.both_texts("text").alias("t")).count()
+    assert rows.select(seen("text").alias("n")).agg(F.max("n")).first()[0] <= 512
