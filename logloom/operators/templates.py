@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from logloom.functions.text import normalize_text, similarity, squeezed
 from logloom.operators.entities import dictionary_spans, match_entries, sized
 from logloom.sources.shared import scratch, written
+from logloom.views import let
 
 OPPONENT = "相手の"
 MARK = r"\{([a-z]+)(?:\[[0-9]+\])?\}"
 #: Longest captured text of a slot.
 SLOT = 18
+#: Ids of several rows that may be broadcast; more are joined by shuffles.
+BROADCAST_IDS = 200_000
 
 
 def compiled(rules: DataFrame) -> DataFrame:
@@ -217,7 +220,9 @@ def _constrained(surfaces: DataFrame, patterns: DataFrame, keys: DataFrame, put:
 
 def surfaces_of(messages: DataFrame) -> DataFrame:
     """The views of messages(id, text) with line breaks that templates are tried on: the whole,
-    each line, two and three lines together; equal texts once, with the least priority."""
+    each line, two and three lines together; equal texts once, with the least priority.
+
+    Views of a row are told apart within the row; only those of ids that several rows have are grouped by a shuffle."""
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")
     n = F.size("lines")
     cut = messages.select("id", lines.alias("lines"))
@@ -227,8 +232,17 @@ def surfaces_of(messages: DataFrame) -> DataFrame:
         return F.transform(starts, lambda k: F.struct((k + base).alias("priority"), F.array_join(F.slice(F.col("lines"), k + 1, size), "").alias("text")))
 
     whole = F.array(F.struct(F.lit(0).alias("priority"), F.array_join("lines", "").alias("text")))
-    views = cut.select("id", F.explode(F.concat(whole, windows(2, 12), windows(3, 13), windows(1, 20))).alias("v")).select("id", "v.*")
-    return views.groupBy("id", "text").agg(F.min("priority").alias("priority"))
+    views = F.transform(F.concat(whole, windows(2, 12), windows(3, 13), windows(1, 20)), lambda v: F.struct(v["text"], v["priority"]))
+    once = let(F.sort_array(views), lambda vs: F.filter(vs, lambda v, k: (k == 0) | (F.get(vs, k - 1)["text"] != v["text"])))
+    shown = lambda rows: rows.select("id", F.explode(once).alias("v")).select("id", "v.*")
+    again = messages.groupBy(F.col("id").alias("again")).count().where("count > 1").select("again")
+    repeated = again.count()
+    if not repeated:
+        return shown(cut)
+    again = F.broadcast(again) if repeated <= BROADCAST_IDS else again
+    same = F.col("id").eqNullSafe(F.col("again"))
+    grouped = shown(cut.join(again, same, "left_semi")).groupBy("id", "text").agg(F.min("priority").alias("priority"))
+    return shown(cut.join(again, same, "left_anti")).unionByName(grouped)
 
 
 #: Characters of noise that may follow a message.

@@ -136,3 +136,14 @@ def test_workers_hold_few_texts_at_once(spark):
     rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("ab "), 3000).alias("text"))
     rows.select(text.both_texts("text").alias("t")).count()
     assert rows.select(seen("text").alias("n")).agg(F.max("n")).first()[0] <= 512
+
+
+def test_views_of_a_row_need_no_shuffle_and_repeated_ids_share_theirs(spark):
+    texts = [(1, "a\nb\na\nb"), (2, "a"), (3, ""), (4, None), (None, "x\ny")]
+    views = templates.surfaces_of(spark.createDataFrame(texts, "id long, text string"))
+    assert "Exchange" not in views._jdf.queryExecution().executedPlan().toString()
+    expected = {(1, "abab"): 0, (1, "ab"): 12, (1, "ba"): 13, (1, "aba"): 13, (1, "bab"): 14, (1, "a"): 20, (1, "b"): 21, (2, "a"): 0, (3, ""): 0, (4, None): 0, (None, "xy"): 0, (None, "x"): 20, (None, "y"): 21}
+    assert {(r.id, r.text): r.priority for r in views.collect()} == expected and views.count() == len(expected)
+    again = templates.surfaces_of(spark.createDataFrame([*texts, (1, "b\nc"), (None, "y")], "id long, text string"))
+    expected |= {(1, "bc"): 0, (1, "b"): 20, (1, "c"): 21, (None, "y"): 0}
+    assert {(r.id, r.text): r.priority for r in again.collect()} == expected and again.count() == len(expected)
