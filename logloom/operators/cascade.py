@@ -205,3 +205,17 @@ def cascade(messages: DataFrame, surfaces: DataFrame, rules: DataFrame, keys: Da
         whole = written(first.unionByName(stage_rows(unread, "unknown", none, none, confidence=F.col("confidence"), evidence=evidence)), "cascade")
         removed(messages.sparkSession, tried)
         return whole
+
+
+def once_each(log: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """read(texts) of log(id, ...), where texts has each row that differs in more than the id once, given back for every id.
+
+    What read makes must be written by then, as by cascade: a log says the same things over and over, and its texts are few.
+    """
+    own = [c for c in log.columns if c != "id"]
+    key = F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)
+    asked = log.select("id", key.alias("asked"))
+    with scratch(log.sparkSession) as put:
+        texts = put(log.select(key.alias("id"), *own).distinct(), "texts")
+        found = read(texts).withColumnRenamed("id", "asked")
+    return asked.join(found, "asked").drop("asked")

@@ -718,10 +718,13 @@ def spoken(spark, d):
 def message_parse(spark, d):
     """Every message of a log made from events and parts through the whole cascade, rendered in canonical words."""
     log, keys = spoken(spark, d)
-    rows = log.select("id", F.lit(0.9).alias("confidence"), text.both_texts("text").alias("t")).select("id", "confidence", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
-    surfaces = rows.select("id", F.lit(0).alias("priority"), "match")
     rules = spark.createDataFrame(PARSED_RULES, "id string, event_type string, priority int, patterns array<string>, constants map<string,string>")
-    read = cascade.cascade(rows, surfaces, rules, keys)
+
+    def parsed(texts: DataFrame) -> DataFrame:
+        rows = texts.select("id", F.lit(0.9).alias("confidence"), text.both_texts("text").alias("t")).select("id", "confidence", F.col("t.normalized").alias("normal"), F.col("t.match").alias("match"))
+        return cascade.cascade(rows, rows.select("id", F.lit(0).alias("priority"), "match"), rules, keys)
+
+    read = cascade.once_each(log, parsed)
     evidence = F.array_join("evidence", ":")
     said = context.canonical_text(F.col("event_type"), F.col("actor"), F.col("side"), F.col("move"), F.col("target"), F.col("target_side"), evidence, context.stat_captured(evidence))
     stage = F.when((F.col("event_type") == "move") & F.col("stage").isin("constrained", "template", "move_split", "move_span"), "move").otherwise(F.col("stage"))

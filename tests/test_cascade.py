@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logloom.functions import text
 from logloom.operators import cascade, context, shapes, templates
 from logloom.plans import fixtures
+from logloom.sources.shared import written
 
 #: text, confidence, and what is read: stage, kind, actor, side, move, target, stat.
 CASES = [
@@ -127,3 +128,17 @@ def test_surfaces_without_noise(spark):
         (1, "いろ相手のアオマルは倒れたxy12"): 0, (1, "いろ相手のアオマルは"): 30, (1, "いろ相手のアオマルは倒れた"): 31, (1, "いろ相手のアオマルは倒れたxy"): 34,
         (1, "相手のアオマルは倒れたxy12"): 40, (1, "相手のアオマルは"): 70, (1, "相手のアオマルは倒れた"): 71, (1, "相手のアオマルは倒れたxy"): 74, (2, "a!bcdefghijklmn".replace("!", "")): 5,
     }
+
+
+def test_equal_messages_are_read_once_and_told_for_each(spark):
+    asked = []
+
+    def read(texts):
+        asked.extend(texts.collect())
+        two = texts.select("id", F.explode(F.array(F.lit("a"), F.col("text"))).alias("said"))
+        return written(two.where("text IS NOT NULL"), "read")
+
+    log = spark.createDataFrame([(1, "x", 0.5), (2, "x", 0.5), (3, "x", None), (4, None, 0.5), (5, "x", 0.5), (5, "y", 0.5)], "id int, text string, confidence double")
+    got = sorted(tuple(r) for r in cascade.once_each(log, read).collect())
+    assert len(asked) == 4
+    assert got == sorted((k, s) for k, t in ((1, "x"), (2, "x"), (3, "x"), (5, "x"), (5, "y")) for s in ("a", t))
