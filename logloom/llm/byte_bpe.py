@@ -171,7 +171,8 @@ class Heap(Vocabulary):
 
 
 def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> DataFrame:
-    """A row for each block of texts: rows (carry, codes), words (bytes, or ids of long words)."""
+    """A row for each block of texts: rows (carry, codes), words (bytes, or ids of long words and of words that are tokens:
+    Ranks sees that their merges reach them)."""
     spark = docs.sparkSession
     short_batches(spark)
     kinds = [docs.schema[c] for c in carry]
@@ -179,6 +180,7 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
     words = T.StructType([T.StructField("bytes", T.ArrayType(T.ByteType())), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     schema = T.StructType([T.StructField("rows", T.ArrayType(rows)), T.StructField("words", T.ArrayType(words))])
     shared = spark.sparkContext.broadcast((ranks.first, ranks.pairs))
+    tokens = spark.sparkContext.broadcast({t: rank for rank, t in enumerate(ranks.token_bytes) if t})
 
     def lists(values: pa.Array, lengths: list[int]) -> pa.Array:
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values)
@@ -196,7 +198,10 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
             raw = [w.encode() for w in known]
             own, sizes, ids = [], [], []
             for word in raw:
-                if len(word) > SHORT_WORD:
+                if (rank := tokens.value.get(word)) is not None:
+                    ids.append([rank])
+                    sizes.append(0)
+                elif len(word) > SHORT_WORD:
                     heap = heap or Heap(*shared.value)
                     ids.append(heap.long_word([heap.first[b] for b in word]))
                     sizes.append(0)
@@ -273,11 +278,12 @@ def round_trip(docs: DataFrame, source: str, text: str = "text", carry: tuple[st
 
     def of_texts(numbers: Column, octets: Column) -> Column:
         joined = lambda r, of, by: F.array_join(F.transform(r["codes"], lambda c: F.get(of, c)), by)
-        return F.transform("rows", lambda r: F.struct(*carried(r, carry), joined(r, numbers, ",").alias("numbers"), F.unhex(joined(r, octets, "")).alias("bytes")))
+        return F.transform("rows", lambda r: F.struct(*carried(r, carry), joined(r, numbers, ",").alias("numbers"), joined(r, octets, "").alias("text")))
 
     def of_ids(each: Column) -> Column:
         numbers = F.transform(each, lambda i: F.array_join(i.cast("array<string>"), ","))
-        octets = F.transform(each, lambda i: F.array_join(F.transform(i, lambda k: F.get(pieces, k)), ""))
+        # The bytes of a whole word are a string again, which a text joins as it is.
+        octets = F.transform(each, lambda i: F.unhex(F.array_join(F.transform(i, lambda k: F.get(pieces, k)), "")).cast("string"))
         return bound(numbers, lambda n: bound(octets, lambda o: of_texts(n, o)))
 
     rows = blocks.select(F.explode(bound(ids, of_ids)).alias("r")).select("r.*")
@@ -286,7 +292,7 @@ def round_trip(docs: DataFrame, source: str, text: str = "text", carry: tuple[st
         *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)),
         F.when(F.col("numbers") == "", 0).otherwise(commas + 1).cast("bigint").alias("n_tokens"),
         F.sha2(F.col("numbers").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

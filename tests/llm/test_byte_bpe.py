@@ -77,3 +77,10 @@ def test_files_whose_merges_do_not_reach_a_token_are_refused():
         byte_bpe.Ranks(small_ranks(b"abc"))
     with pytest.raises(ValueError, match="without a rank"):
         byte_bpe.Ranks("YQ== 0")
+
+
+def test_words_that_are_tokens_need_no_fold(spark):
+    docs = spark.createDataFrame([(1, "the cat " + "q" * 90 + "zx")], "doc_id long, text string")
+    blocks = byte_bpe.in_blocks(docs, byte_bpe.ranks_of(SOURCE), "text", ["doc_id"])
+    words = [(bytes(b & 255 for b in w.bytes), w.ids) for w in blocks.first().words]
+    assert [w[1] for w in words[:2]] == [[RANKS[b"the"]], [RANKS[b" cat"]]] and words[2] == (b" " + b"q" * 90 + b"zx", None)
