@@ -1,9 +1,9 @@
 """Operator 11: byte-level BPE by ranks, folded with Spark's higher-order functions.
 
 A Python step cuts whole texts into words, block by block, and gives every block the byte
-arrays of its distinct words and, for every text, their numbers. All merging is
-done by Spark expressions: a fold over a word's bytes looks up every adjacent pair in a
-literal rank map and merges the pair of least rank. Ids are gathered by word number;
+arrays of its distinct words, with the ranks of the tokens that stand in them, and, for every text, the words' numbers.
+All merging is done by Spark expressions: a fold over a word's ranks, from the least on, looks up each one's pair
+in a literal rank map and merges it where its parts still stand side by side. Ids are gathered by word number;
 decoding looks up each id's bytes in a literal array and joins them.
 
 Blocks need no shuffle, so no word, text or source is hot, and a lost executor costs the
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import json
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, lru_cache
 from pathlib import Path
@@ -21,7 +22,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,34 +63,14 @@ class Ranks:
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     @cached_property
-    def map(self) -> list[bytes]:
-        """The pairs in two tables (cuckoo hashing) of slots: the letters of rank, left and right id, and blanks.
-
-        The lower and the upper half of the XXH64 (seed 42) of a pair's letters, from the bit on that
-        counts slots, give its two possible slots.
-        """
-        size = max(16, 1 << len(self.pairs).bit_length())
-        while True:
-            tables: list[list[str]] = [[""] * size, [""] * size]
-            for (left, right), rank in self.pairs.items():
-                held, side = letter(rank) + letter(left) + letter(right), 0
-                for _ in range(64):
-                    at = (xxhash.xxh64_intdigest(held[1:].encode(), 42) >> 32 * side) // SLOT % size
-                    held, tables[side][at] = tables[side][at], held
-                    side = 1 - side
-                    if not held:
-                        break
-                if held:
-                    break
-            else:
-                return [b"".join(slot.encode().ljust(SLOT) for slot in t) for t in tables]
-            size *= 2
+    def prefixes(self) -> dict[bytes, int]:
+        """What tokens begin with, and the rank where that is a token itself, else -1."""
+        found = {token[:k]: -1 for token in self.token_bytes for k in range(1, len(token))}
+        return found | {token: rank for rank, token in enumerate(self.token_bytes) if token}
 
 
 #: Inside the fold an id is the letter of this code point plus the id: always four bytes, sorted as the ids are.
 LETTERS = 1 << 16
-#: Bytes of a slot of the rank map, a power of two.
-SLOT = 16
 
 
 def letter(number: int) -> str:
@@ -119,39 +99,30 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
-def slot_of(pair: Column, tables: list[Column], size: int) -> Column:
-    """The slot (rank, left, right) of the letters of two ids in the literal rank map, null where they never merge."""
+def ranks_in(word: bytes, prefixes: dict[bytes, int]) -> list[int]:
+    """The ranks of all tokens of two or more bytes that stand anywhere in a word, ascending. No other token can be merged in it."""
+    found = set()
+    for start in range(len(word) - 1):
+        for end in range(start + 2, len(word) + 1):
+            if (rank := prefixes.get(word[start:end])) is None:
+                break
+            if rank >= 0:
+                found.add(rank)
+    return sorted(found)
 
-    def of_hash(hashed: Column) -> Column:
-        found = []
-        for table, half in zip(tables, (hashed, F.shiftrightunsigned(hashed, 32)), strict=True):
-            at = half.bitwiseAND((size - 1) * SLOT).cast("int")
-            found.append(F.when(F.substring(table, at + 5, F.lit(8)) == pair, F.substring(table, at + 1, F.lit(12))))
-        return F.coalesce(*found)
 
-    return bound(F.xxhash64(pair), of_hash)
+def folded(octets: Column, ranks: Column, first: Column, pairs: Column, letters: Column) -> Column:
+    """Ids of a word from its bytes, by a fold over the ranks of the tokens in it, ascending.
 
-
-def folded(octets: Column, first: Column, tables: list[Column], size: int) -> Column:
-    """Ids of a word from its bytes, by a fold that has a step for each byte, as no word has more merges.
-
-    A step looks up all neighbours and replaces those of least rank from left to right; where there
-    are none it puts a blank behind the letters, which ends the work. Replacing all at once gives what one by one would,
-    as no merge of a rank file that Ranks accepts makes a pair of a lower rank.
+    A step replaces the pair that makes a token, if it stands there, by the token, from left to right. That is the order
+    of merging least ranks first, as no merge of a rank file that Ranks accepts makes a pair of a lower rank.
     """
 
-    def merge(word: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda k: F.substring(word, k, F.lit(2)).cast("binary"))
-        found = F.transform(pairs, lambda pair: slot_of(pair, tables, size))
-        replaced = lambda s: F.coalesce(F.replace(word, F.substring(s, 2, 2), F.substring(s, 1, 1)), F.concat(word, F.lit(" ")))
-        return F.when(F.endswith(word, F.lit(" ")), word).otherwise(bound(F.array_min(found).cast("string"), replaced))
-
     def ids(word: Column) -> Column:
-        letters = F.sequence(F.lit(1), F.length(F.rtrim(word)))
-        return F.transform(letters, lambda k: F.ascii(F.substring(word, k, F.lit(1))) - LETTERS)
+        return F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.ascii(F.substring(word, k, F.lit(1))) - LETTERS)
 
     start = F.array_join(F.transform(octets, lambda b: F.get(first, b.cast("int").bitwiseAND(255))), "")
-    return F.aggregate(octets, start, merge, ids)
+    return F.aggregate(ranks, start, lambda word, rank: F.replace(word, F.get(pairs, rank), F.get(letters, rank)), ids)
 
 
 class Numbers(dict[str, int]):
@@ -171,16 +142,16 @@ class Heap(Vocabulary):
 
 
 def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> DataFrame:
-    """A row for each block of texts: rows (carry, codes), words (bytes, or ids of long words and of words that are tokens:
-    Ranks sees that their merges reach them)."""
+    """A row for each block of texts: rows (carry, codes), words (bytes and the ranks of the tokens in them, or ids of
+    long words and of words that are tokens: Ranks sees that their merges reach them)."""
     spark = docs.sparkSession
     short_batches(spark)
     kinds = [docs.schema[c] for c in carry]
     rows = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(kinds)] + [T.StructField("codes", T.ArrayType(T.IntegerType()))])
-    words = T.StructType([T.StructField("bytes", T.ArrayType(T.ByteType())), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    words = T.StructType([T.StructField("bytes", T.ArrayType(T.ByteType())), T.StructField("ranks", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     schema = T.StructType([T.StructField("rows", T.ArrayType(rows)), T.StructField("words", T.ArrayType(words))])
     shared = spark.sparkContext.broadcast((ranks.first, ranks.pairs))
-    tokens = spark.sparkContext.broadcast({t: rank for rank, t in enumerate(ranks.token_bytes) if t})
+    known_prefixes = spark.sparkContext.broadcast(ranks.prefixes)
 
     def lists(values: pa.Array, lengths: list[int]) -> pa.Array:
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values)
@@ -195,10 +166,11 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
 
         def block() -> pa.RecordBatch:
             nonlocal heap
-            raw = [w.encode() for w in known]
-            own, sizes, ids = [], [], []
-            for word in raw:
-                if (rank := tokens.value.get(word)) is not None:
+            prefixes = known_prefixes.value
+            own, sizes, ids, inside, steps = [], [], [], array("i"), []
+            for word in map(str.encode, known):
+                before = len(inside)
+                if (rank := prefixes.get(word, -1)) >= 0:
                     ids.append([rank])
                     sizes.append(0)
                 elif len(word) > SHORT_WORD:
@@ -209,8 +181,10 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
                     ids.append(None)
                     own.append(word)
                     sizes.append(len(word))
+                    inside.extend(ranks_in(word, prefixes))
+                steps.append(len(inside) - before)
             octets = pa.array(np.frombuffer(b"".join(own), np.int8))
-            distinct = pa.StructArray.from_arrays([lists(octets, sizes), pa.array(ids, pa.list_(pa.int32()))], ["bytes", "ids"])
+            distinct = pa.StructArray.from_arrays([lists(octets, sizes), lists(pa.array(np.frombuffer(inside, np.int32)), steps), pa.array(ids, pa.list_(pa.int32()))], words.names)
             flat = np.concatenate([np.empty(0, np.int32), *codes])
             columns = [pa.concat_arrays([b.column(k) for b in carried]) for k in range(len(carry))]
             of_text = pa.StructArray.from_arrays([*columns, lists(pa.array(flat), [len(c) for c in codes])], rows.names)
@@ -251,14 +225,11 @@ def encode(docs: DataFrame, source: str, text: str = "text", carry: tuple[str, .
 def word_ids(docs: DataFrame, source: str, text: str, carry: list[str]) -> tuple[DataFrame, Column]:
     """Blocks of texts, and the ids of the distinct words of each."""
     ranks = ranks_of(source)
+    parts = {rank: letter(left) + letter(right) for (left, right), rank in ranks.pairs.items()}
     first = literal([letter(k) for k in ranks.first], "array<string>")
-    size = len(ranks.map[0]) // SLOT
-
-    def of_words(one: Column, two: Column) -> Column:
-        return F.transform("words", lambda w: F.coalesce(w["ids"], folded(w["bytes"], first, [one, two], size)))
-
-    # Bound here, each table of the map stands in the plan once.
-    ids = bound(F.lit(ranks.map[0]), lambda one: bound(F.lit(ranks.map[1]), lambda two: of_words(one, two)))
+    pairs = literal([parts.get(k) for k in range(len(ranks.token_bytes))], "array<string>")
+    letters = literal([letter(k) for k in range(len(ranks.token_bytes))], "array<string>")
+    ids = F.transform("words", lambda w: F.coalesce(w["ids"], folded(w["bytes"], w["ranks"], first, pairs, letters)))
     return in_blocks(docs, ranks, text, carry), ids
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 import tiktoken
@@ -84,3 +85,21 @@ def test_words_that_are_tokens_need_no_fold(spark):
     blocks = byte_bpe.in_blocks(docs, byte_bpe.ranks_of(SOURCE), "text", ["doc_id"])
     words = [(bytes(b & 255 for b in w.bytes), w.ids) for w in blocks.first().words]
     assert [w[1] for w in words[:2]] == [[RANKS[b"the"]], [RANKS[b" cat"]]] and words[2] == (b" " + b"q" * 90 + b"zx", None)
+
+
+def test_a_fold_takes_the_tokens_that_stand_in_a_word_and_no_others(spark):
+    docs = spark.createDataFrame([(1, "toonesingon " + "ab" * 40)], "doc_id long, text string")
+    blocks = byte_bpe.in_blocks(docs, byte_bpe.ranks_of(SOURCE), "text", ["doc_id"])
+    for row in blocks.first().words:
+        word = bytes(b & 255 for b in row.bytes)
+        parts = {word[i:j] for i in range(len(word)) for j in range(i + 2, len(word) + 1)}
+        assert row.ranks == sorted(RANKS[p] for p in parts if p in RANKS)
+
+
+def test_words_put_together_at_random_are_encoded_as_by_tiktoken(spark):
+    draw = random.Random(11)
+    pieces = [t.decode("utf-8", "ignore") for t in draw.sample(sorted(RANKS), 400)] + list("aeinorst éßñ數") + ["aa", "abab"]
+    texts = [" ".join("".join(draw.choices(pieces, k=draw.randint(1, 9))) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in byte_bpe.encode(docs, SOURCE).collect():
+        assert row.ids == expected(texts[row.doc_id])
