@@ -16,6 +16,7 @@ can't match out of the join; it never loses one that can.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -55,12 +56,15 @@ NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 )
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: The commonest of these marks; what they leave is looked through for others only where it needs it.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STOP = re.compile(r"[.!?][\W_]*$")
 NUMBER = re.compile(r"[\d][\d.,:/]*(st|nd|rd|th)?")
 MEASURE = re.compile(r"([\d][\d.,]*)([a-z]{1,3})")
 LITERAL, NUM, UNIT, NUM_UNIT = 0, 1, 2, 3
 #: Flags below the hash of a word: its kind (two bits), title case, end of a sentence.
 TITLE, END, FLAGS = 4, 8, 15
+WORD_KINDS = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUM)
 PLACEHOLDERS = {NUM: "<num>", UNIT: "<unit>", NUM_UNIT: "<num><unit>"}
 NAME = "<name>"
 
@@ -74,44 +78,72 @@ NAME_CODE = np.uint64(_hash(NAME))
 
 def core(word: str) -> str:
     """The word without marks at its ends; a word of marks only is itself."""
+    plain = word.strip(MARKS)
+    if plain[:1].isalnum() and plain[-1:].isalnum():
+        return plain
     return EDGES.sub("", word) or word
 
 
 def kind(word: str) -> int:
-    low = core(word).lower()
-    if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-        return NUM
-    if low in UNITS:
-        return UNIT
-    if (found := MEASURE.fullmatch(low)) and found[2] in UNITS:
-        return NUM_UNIT
-    return LITERAL
+    return kind_of(core(word).lower())
+
+
+def kind_of(low: str) -> int:
+    """The kind of a word without marks at its ends, in lower case."""
+    if low[:1].isdecimal():
+        if NUMBER.fullmatch(low):
+            return NUM
+        return NUM_UNIT if (found := MEASURE.fullmatch(low)) and found[2] in UNITS else LITERAL
+    return WORD_KINDS.get(low, LITERAL)
+
+
+#: Hashes of the placeholders by kind.
+PLACEHOLDER_CODES = np.array([_hash(PLACEHOLDERS.get(of, "")) for of in (LITERAL, NUM, UNIT, NUM_UNIT)], np.uint64)
 
 
 class Codes(dict):
-    """Place of a word in tables: the hash of its literal or placeholder, the hash of the word itself,
-    and flags. The tables are begun anew between chunks when they have grown large."""
+    """Place of a word in a table of the words' hashes with their flags. When it has grown large between chunks,
+    the words that were met only once, or less often than KNOWN_WORDS / 2 others, are forgotten."""
 
     def __init__(self) -> None:
-        self.tables = [np.zeros(1 << 12, kind) for kind in (np.uint64, np.uint64, np.uint8)]
+        self.table, self.used = array("Q"), np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
-        plain, of = core(word), kind(word)
-        title = of == LITERAL and len(plain) > 1 and plain[0].isupper() and plain[1:].islower()
-        own = _hash(plain.lower())
-        at = len(self)
-        if at == len(self.tables[0]):
-            self.tables = [np.concatenate([column, np.zeros_like(column)]) for column in self.tables]
-        hashes, owns, flags = self.tables
-        hashes[at], owns[at], flags[at] = _hash(PLACEHOLDERS[of]) if of else own, own, of | TITLE * title | END * bool(STOP.search(word))
-        self[word] = at
+        if word.isalpha() and word.islower() and word.isascii():
+            low, flags = word, WORD_KINDS.get(word, LITERAL)
+        else:
+            plain = core(word)
+            low = plain.lower()
+            flags = kind_of(low)
+            if flags == LITERAL and len(plain) > 1 and plain[0].isupper() and plain[1:].islower():
+                flags |= TITLE
+            if not word[-1].isalnum() and STOP.search(word):
+                flags |= END
+        self[word] = at = len(self.table)
+        self.table.append(_hash(low) | flags)
         return at
 
+    def forget(self) -> None:
+        often = np.flatnonzero(self.used > 1)
+        if len(often) > KNOWN_WORDS // 2:
+            often = np.sort(often[np.argsort(-self.used[often], kind="stable")[: KNOWN_WORDS // 2]])
+        words = list(self)
+        kept = np.array(self.table, np.uint64)[often]
+        self.clear()
+        self.update(zip([words[k] for k in often.tolist()], range(len(often)), strict=True))
+        self.table, self.used = array("Q", kept.tobytes()), np.zeros(len(often), np.int64)
+
     def of(self, words: list[str]) -> list[np.ndarray]:
+        """Of each word the hash of its literal or placeholder, the hash of the word itself, and flags."""
         if len(self) > KNOWN_WORDS:
-            self.clear()
+            self.forget()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return [column[at] for column in self.tables]
+        self.used = np.bincount(at, minlength=len(self)) + np.pad(self.used, (0, len(self) - len(self.used)))
+        own = np.array(self.table, np.uint64)[at]
+        flags = (own & np.uint64(FLAGS)).astype(np.uint8)
+        own &= ~np.uint64(FLAGS)
+        of = flags & 3
+        return [np.where(of > 0, PLACEHOLDER_CODES[of], own), own, flags]
 
 
 #: Readings of a window. Whether a title-case word opens a sentence depends on what stands

@@ -243,3 +243,30 @@ def test_copies_with_one_name_changed_are_found(spark):
     hit = sum((k, k) in got for k in range(60))
     print(f"found {hit} of 60")
     assert hit >= 54
+
+
+def test_words_met_often_are_kept_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(decontamination, "KNOWN_WORDS", 8)
+    words = ["the", "Tom", "5kg", "end."]
+    codes = decontamination.Codes()
+    first = [c.tolist() for c in codes.of(words * 2 + [f"w{k}" for k in range(30)])]
+    again = [c.tolist() for c in codes.of(["new", *words])]
+    assert list(codes) == [*words, "new"]
+    assert [c[1:] for c in again] == [c[: len(words)] for c in first]
+    codes.of([f"v{k}" for k in range(30)])
+    # Words that have become rare are forgotten and read anew.
+    assert [c.tolist() for c in codes.of(["new", *words])] == again and len(codes) == 5
+
+
+def test_marks_and_kinds_are_those_of_the_patterns():
+    draw = random.Random(7)
+    letters = "aA1٣²½ⅫßÉ_'.!?-,٫:/(́​ǅ數kgmstndrh0123456789"
+    for word in ["", "seven", "5KG", "10km", "3rd", "---", *("".join(draw.choices(letters, k=draw.randint(1, 7))) for _ in range(20_000))]:
+        plain = decontamination.EDGES.sub("", word) or word
+        low = plain.lower()
+        assert decontamination.core(word) == plain
+        measure = decontamination.MEASURE.fullmatch(low)
+        number = decontamination.NUMBER.fullmatch(low) or low in decontamination.NUMBER_WORDS
+        unit = low in decontamination.UNITS
+        of = decontamination.NUM if number else decontamination.UNIT if unit else decontamination.NUM_UNIT if measure and measure[2] in decontamination.UNITS else decontamination.LITERAL
+        assert decontamination.kind(word) == of
