@@ -70,7 +70,10 @@ NAME = "<name>"
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) & ~FLAGS
+    try:
+        return xxhash.xxh64_intdigest(text) & ~FLAGS
+    except UnicodeEncodeError:
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) & ~FLAGS
 
 
 NAME_CODE = np.uint64(_hash(NAME))
@@ -251,7 +254,7 @@ class Chunk:
                 continue
             opener = reading == OPENERS_NAMES and self.openers[k]
             named = opener or self.names[k] and not (reading == FIRST_LITERAL and k == at)
-            mark = NAME if named else PLACEHOLDERS.get(kind(self.words[k]))
+            mark = NAME if named else PLACEHOLDERS[kind(self.words[k])] if self.typed[k] else None
             out.append(mark or plain.lower())
             if mark:
                 values.append(f"{OPENER if opener else mark}{plain.lower()}")
