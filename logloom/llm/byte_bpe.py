@@ -1,7 +1,8 @@
 """Operator 11: byte-level BPE by ranks, folded with Spark's higher-order functions.
 
 A Python step cuts whole texts into words, block by block, and gives every block the byte
-arrays of its distinct words, with the ranks of the tokens that stand in them, and, for every text, the words' numbers.
+arrays of its distinct words, with the ranks of the tokens that stand in them, and, for every text, the words' numbers;
+numbers and ranks come from Arrow and numpy, many words at once.
 All merging is done by Spark expressions: a fold over a word's ranks, from the least on, looks up each one's pair
 in a literal rank map and merges it where its parts still stand side by side. Ids are gathered by word number;
 decoding looks up each id's bytes in a literal array and joins them.
@@ -14,13 +15,15 @@ from __future__ import annotations
 
 import base64
 import json
-from array import array
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, lru_cache
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,23 @@ from logloom.llm.common import short_batches, table
 SHORT_WORD = 96
 #: Characters of a block's texts; a longer text is a block of its own.
 BLOCK_CHARS = 16 << 20
+#: Characters of texts whose words are numbered together before a block's words are: no block's words are held with their repeats.
+PIECE_CHARS = 1 << 20
+#: Words whose tokens are looked for at once: arrays of this size stay in a core's cache.
+WORDS_AT_ONCE = 8_000
+#: WORDS for texts of ASCII only, which the plain module reads in half the time. White space is spelt out, as there it holds \x1c to \x1f too.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
+
+class Beginnings(NamedTuple):
+    """What tokens begin with, numbered by length and then by bytes: 0 is the empty one, 1 + b the byte b."""
+
+    #: Ascending, for each but the empty one: 256 times the number of what stands before its last byte, plus that byte.
+    longer: np.ndarray
+    #: The rank where the beginning is a token itself, else -1.
+    ranks: np.ndarray
+    #: Bytes of the token of each rank.
+    sizes: np.ndarray
 
 
 class Ranks:
@@ -63,10 +83,13 @@ class Ranks:
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     @cached_property
-    def prefixes(self) -> dict[bytes, int]:
-        """What tokens begin with, and the rank where that is a token itself, else -1."""
-        found = {token[:k]: -1 for token in self.token_bytes for k in range(1, len(token))}
-        return found | {token: rank for rank, token in enumerate(self.token_bytes) if token}
+    def beginnings(self) -> Beginnings:
+        ranks = {token[:k]: -1 for token in self.token_bytes for k in range(len(token))}
+        ranks |= {token: rank for rank, token in enumerate(self.token_bytes) if token}
+        every = sorted(ranks, key=lambda b: (len(b), b))
+        numbers = {b: k for k, b in enumerate(every)}
+        longer = np.array([numbers[b[:-1]] << 8 | b[-1] for b in every[1:]], np.int64)
+        return Beginnings(longer, np.array([ranks[b] for b in every], np.int64), np.array([len(b) for b in self.token_bytes], np.int64))
 
 
 #: Inside the fold an id is the letter of this code point plus the id: always four bytes, sorted as the ids are.
@@ -99,16 +122,30 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
-def ranks_in(word: bytes, prefixes: dict[bytes, int]) -> list[int]:
-    """The ranks of all tokens of two or more bytes that stand anywhere in a word, ascending. No other token can be merged in it."""
-    found = set()
-    for start in range(len(word) - 1):
-        for end in range(start + 2, len(word) + 1):
-            if (rank := prefixes.get(word[start:end])) is None:
-                break
-            if rank >= 0:
-                found.add(rank)
-    return sorted(found)
+def ranks_in(octets: np.ndarray, starts: np.ndarray, sizes: np.ndarray, known: Beginnings) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of all tokens of two or more bytes that stand anywhere in some words, which are slices of octets, as
+    pairs of arrays (number of the word, rank), ascending and distinct. No other token can be merged in a word.
+
+    All places of all words are read at once, a byte further at each step, as long as a token begins with what was read.
+    """
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(word)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    last = (starts + sizes - 1)[word]
+    state = octets[at].astype(np.int64) + 1
+    found = [np.empty(0, np.int64)]
+    while len(at):
+        more = at < last
+        at, word, last = at[more] + 1, word[more], last[more]
+        sought = state[more] << 8 | octets[at]
+        place = np.searchsorted(known.longer, sought)
+        hit = known.longer.take(place, mode="clip") == sought
+        at, word, last, state = at[hit], word[hit], last[hit], place[hit] + 1
+        ranks = known.ranks[state]
+        token = ranks >= 0
+        found.append(word[token] << 32 | ranks[token])
+    every = np.sort(np.concatenate(found))
+    every = every[np.diff(every, prepend=-1) != 0]
+    return every >> 32, every & 0xFFFFFFFF
 
 
 def folded(octets: Column, ranks: Column, first: Column, pairs: Column, letters: Column) -> Column:
@@ -125,14 +162,6 @@ def folded(octets: Column, ranks: Column, first: Column, pairs: Column, letters:
     return F.aggregate(ranks, start, lambda word, rank: F.replace(word, F.get(pairs, rank), F.get(letters, rank)), ids)
 
 
-class Numbers(dict[str, int]):
-    """Words numbered as they come."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class Heap(Vocabulary):
     """The merges of a rank file for long words, in a worker."""
 
@@ -151,46 +180,62 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
     words = T.StructType([T.StructField("bytes", T.ArrayType(T.ByteType())), T.StructField("ranks", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     schema = T.StructType([T.StructField("rows", T.ArrayType(rows)), T.StructField("words", T.ArrayType(words))])
     shared = spark.sparkContext.broadcast((ranks.first, ranks.pairs))
-    known_prefixes = spark.sparkContext.broadcast(ranks.prefixes)
+    beginnings = spark.sparkContext.broadcast(tuple(ranks.beginnings))
 
-    def lists(values: pa.Array, lengths: list[int]) -> pa.Array:
+    def lists(values: pa.Array, lengths: Sequence[int]) -> pa.Array:
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(WORDS).findall
+        find, find_ascii = regex.compile(WORDS).findall, re.compile(ASCII_WORDS).findall
         heap = None
-        known = Numbers()
-        codes: list[np.ndarray] = []
+        found: list[pa.Array] = []
+        numbered: list[pa.DictionaryArray] = []
+        counts: list[int] = []
         carried: list[pa.RecordBatch] = []
-        size = 0
+        size = held = 0
+
+        def number() -> None:
+            nonlocal held
+            if found:
+                numbered.append(pa.concat_arrays(found).dictionary_encode())
+            found.clear()
+            held = 0
 
         def block() -> pa.RecordBatch:
             nonlocal heap
-            prefixes = known_prefixes.value
-            own, sizes, ids, inside, steps = [], [], [], array("i"), []
-            for word in map(str.encode, known):
-                before = len(inside)
-                if (rank := prefixes.get(word, -1)) >= 0:
-                    ids.append([rank])
-                    sizes.append(0)
-                elif len(word) > SHORT_WORD:
-                    heap = heap or Heap(*shared.value)
-                    ids.append(heap.long_word([heap.first[b] for b in word]))
-                    sizes.append(0)
-                else:
-                    ids.append(None)
-                    own.append(word)
-                    sizes.append(len(word))
-                    inside.extend(ranks_in(word, prefixes))
-                steps.append(len(inside) - before)
-            octets = pa.array(np.frombuffer(b"".join(own), np.int8))
-            distinct = pa.StructArray.from_arrays([lists(octets, sizes), lists(pa.array(np.frombuffer(inside, np.int32)), steps), pa.array(ids, pa.list_(pa.int32()))], words.names)
-            flat = np.concatenate([np.empty(0, np.int32), *codes])
+            known = Beginnings(*beginnings.value)
+            number()
+            every = pa.concat_arrays(numbered)
+            numbered.clear()
+            sizes = pc.binary_length(every.dictionary).to_numpy().astype(np.int64)
+            octets = np.frombuffer(every.dictionary.buffers()[2] or b"", np.uint8)
+            starts = np.cumsum(sizes) - sizes
+            steps, inside = np.zeros(len(sizes), np.int64), [np.empty(0, np.int32)]
+            ids: list[list[int] | None] = [None] * len(sizes)
+            for k in np.flatnonzero(sizes == 1).tolist():
+                ids[k] = [int(known.ranks[1 + octets[starts[k]]])]
+            for k in np.flatnonzero(sizes > SHORT_WORD).tolist():
+                heap = heap or Heap(*shared.value)
+                ids[k] = heap.long_word([heap.first[b] for b in octets[starts[k] : starts[k] + sizes[k]].tolist()])
+            short = np.flatnonzero((sizes > 1) & (sizes <= SHORT_WORD))
+            for some in (short[k : k + WORDS_AT_ONCE] for k in range(0, len(short), WORDS_AT_ONCE)):
+                word, rank = ranks_in(octets, starts[some], sizes[some], known)
+                whole = known.sizes[rank] == sizes[some][word]
+                for k, own in zip(some[word[whole]].tolist(), rank[whole].tolist(), strict=True):
+                    ids[k] = [own]
+                folds = np.ones(len(some), bool)
+                folds[word[whole]] = False
+                inside.append(rank[folds[word]].astype(np.int32))
+                steps[some] = np.bincount(word, minlength=len(some)) * folds
+            folds = np.array([i is None for i in ids], bool)
+            own = pa.array(octets[np.repeat(folds, sizes)].view(np.int8))
+            in_words = pa.array(np.concatenate(inside))
+            inside.clear()
+            distinct = pa.StructArray.from_arrays([lists(own, sizes * folds), lists(in_words, steps), pa.array(ids, pa.list_(pa.int32()))], words.names)
             columns = [pa.concat_arrays([b.column(k) for b in carried]) for k in range(len(carry))]
-            of_text = pa.StructArray.from_arrays([*columns, lists(pa.array(flat), [len(c) for c in codes])], rows.names)
-            made = [lists(of_text, [len(of_text)]), lists(distinct, [len(distinct)])]
-            known.clear(), codes.clear(), carried.clear()
-            return pa.RecordBatch.from_arrays(made, ["rows", "words"])
+            of_text = pa.StructArray.from_arrays([*columns, lists(every.indices, counts)], rows.names)
+            counts.clear(), carried.clear()
+            return pa.RecordBatch.from_arrays([lists(of_text, [len(of_text)]), lists(distinct, [len(distinct)])], ["rows", "words"])
 
         for batch in batches:
             texts, start = batch.column(0), 0
@@ -200,10 +245,14 @@ def in_blocks(docs: DataFrame, ranks: Ranks, text: str, carry: list[str]) -> Dat
                     carried.append(batch.slice(start, k - start).select(range(1, 1 + len(carry))))
                     yield block()
                     start, size = k, 0
+                if held and held + len(string) > PIECE_CHARS:
+                    number()
                 size += len(string)
-                codes.append(np.fromiter(map(known.__getitem__, find(string)), np.int32))
+                held += len(string)
+                found.append(pa.array((find_ascii if string.isascii() else find)(string), pa.string()))
+                counts.append(len(found[-1]))
             carried.append(batch.slice(start).select(range(1, 1 + len(carry))))
-        if codes:
+        if counts:
             yield block()
 
     return docs.select(F.col(text), *(F.col(c) for c in carry)).mapInArrow(cut, schema)

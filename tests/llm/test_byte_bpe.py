@@ -2,9 +2,14 @@
 
 import base64
 import hashlib
+import itertools
 import random
+import re
+import time
 
+import numpy as np
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -103,3 +108,63 @@ def test_words_put_together_at_random_are_encoded_as_by_tiktoken(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for row in byte_bpe.encode(docs, SOURCE).collect():
         assert row.ids == expected(texts[row.doc_id])
+
+
+def standing(word, tokens):
+    """The ranks of the tokens that stand in a word, place by place; tokens: RANKS, and -1 for what only begins one."""
+    found = set()
+    for i in range(len(word) - 1):
+        for j in range(i + 2, len(word) + 1):
+            if (rank := tokens.get(word[i:j])) is None:
+                break
+            if rank >= 0:
+                found.add(rank)
+    return sorted(found)
+
+
+def test_tokens_of_all_words_are_found_at_once_and_faster_than_place_by_place():
+    draw = random.Random(3)
+    pieces = [t for t in draw.sample(sorted(RANKS), 400) if len(t) < 9] + ["ß".encode(), b"\xff", b"\x00"]
+    words = [b"".join(draw.choices(pieces, k=draw.randint(1, 5))) for _ in range(byte_bpe.WORDS_AT_ONCE)]
+    octets, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    known = byte_bpe.ranks_of(SOURCE).beginnings
+    tokens = {t[:k]: -1 for t in RANKS for k in range(1, len(t))} | RANKS
+    took = {"plain": [], "own": []}
+    for _ in range(3):
+        began = time.process_time()
+        plain = [standing(w, tokens) for w in words]
+        took["plain"].append(time.process_time() - began)
+        began = time.process_time()
+        word, rank = byte_bpe.ranks_in(octets, np.cumsum(sizes) - sizes, sizes, known)
+        took["own"].append(time.process_time() - began)
+        assert list(zip(word.tolist(), rank.tolist(), strict=True)) == [(k, r) for k, ranks in enumerate(plain) for r in ranks]
+    assert 2 * min(took["own"]) < min(took["plain"])
+    some = [5, 2, 9]  # slices may be any of those of octets
+    word, rank = byte_bpe.ranks_in(octets, (np.cumsum(sizes) - sizes)[some], sizes[some], known)
+    assert list(zip(word.tolist(), rank.tolist(), strict=True)) == [(k, r) for k, w in enumerate(some) for r in plain[w]]
+
+
+def test_texts_of_ascii_are_cut_into_the_same_words():
+    find, find_ascii = regex.compile(public_tokenizers.PATTERN).findall, re.compile(byte_bpe.ASCII_WORDS).findall
+    every = list(map(chr, range(128)))
+    chosen = "a Z9'\n\t\x1c\x1f\x0b\x00-_" + "stmdrevl"
+    for text in [*map("".join, itertools.product(every, repeat=2)), *map("".join, itertools.product(chosen, repeat=4))]:
+        assert find_ascii(text) == find(text), repr(text)
+
+
+@pytest.mark.parametrize("piece", [1, 200])
+def test_words_numbered_in_pieces_are_those_of_the_block(spark, monkeypatch, piece):
+    monkeypatch.setattr(byte_bpe, "PIECE_CHARS", piece)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
+    blocks = byte_bpe.in_blocks(docs, byte_bpe.ranks_of(SOURCE), "text", ["doc_id"])
+    words = {w for t in TEXTS for w in regex.findall(public_tokenizers.PATTERN, t or "")}
+    assert [len(b.words) for b in blocks.collect()] == [len(words)]
+    for row in byte_bpe.encode(docs, SOURCE).collect():
+        assert row.ids == expected(TEXTS[row.doc_id])
+
+
+def test_words_of_one_byte_and_null_texts_keep_their_places(spark):
+    texts = ["a", "\x1c\x1d a", " ", "a b\n\n", None, "\x00", "\x1f", "é", "q" * 97 + " the xqzj é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for row in byte_bpe.encode(docs, SOURCE).collect():
+        assert row.ids == expected(texts[row.doc_id])
